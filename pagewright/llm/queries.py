@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import bpe
+from pagewright.llm import bpe, quality, toxicity
+from pagewright.llm.shared import held_out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,29 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_byte_bpe": op2_byte_bpe}
+def _judged(made: DataFrame, line: float) -> DataFrame:
+    return made.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= line).cast("int").alias("predicted"),
+    )
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _judged(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))), 0.7)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _judged(quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"))), 0.5)
+
+
+QUERIES = {
+    "op2_byte_bpe": op2_byte_bpe,
+    "op7_toxicity": op7_toxicity,
+    "op10_quality": op10_quality,
+}
 
 ORACLE_SQL: dict[str, str] = {}
