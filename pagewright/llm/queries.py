@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import bpe, mixing, quality, sql, toxicity
+from pagewright.llm import bpe, mixing, quality, secrets, sql, toxicity
 from pagewright.llm.shared import held_out
 
 
@@ -44,6 +44,19 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.concat("assign", "access", "hex")
+    return found.select(
+        "doc_id",
+        F.size("assign").cast("long").alias("n_assign"),
+        F.size("access").cast("long").alias("n_access"),
+        F.size("hex").cast("long").alias("n_hex"),
+        F.sha2(secrets.spelt(base), 256).alias("base_sha256"),
+        secrets.spelt(F.concat(base, "linked")).alias("spans"),
+    )
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return _judged(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))), 0.7)
@@ -57,8 +70,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_mixing": op4_mixing,
+    "op6_secrets": op6_secrets,
     "op7_toxicity": op7_toxicity,
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_mixing": sql.MIXING}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": sql.MIXING, "op6_secrets": sql.secrets()}

@@ -45,3 +45,49 @@ select r.doc_id, r.size, r.source_size, r.target,
        ((r.certain::bigint + case when r.drawn <> (b.size is not null) then 1 else 0 end) * r.size)::bigint as taken
 from ranked r left join best b on r.source is not distinct from b.source and r.doc_id is not distinct from b.doc_id and r.size = b.size
 """
+
+
+def secrets() -> str:
+    """For secrets.scan; patterns are the operator's own, which both engines read alike."""
+    from pagewright.llm import secrets as s
+
+    def spans(kind: int, pattern: str) -> str:
+        found, gaps = f"regexp_extract_all(t, $p${pattern}$p$, 0)", f"string_split_regex(t, $p${pattern}$p$)"
+        lengths = "coalesce(list_sum(list_transform({}, lambda w: length(w))), 0)"
+        start = f"({lengths.format('g[1:i]')} + {lengths.format('f[1:i-1]')})::int"
+        return f"(select coalesce(list({{'s': {start}, 'k': {kind}, 'e': ({start} + length(f[i]))::int, 'w': f[i]}} order by i), []) from (select {found} as f, {gaps} as g) q, unnest(range(1, len(f) + 1)) u(i))"
+
+    name = "['assign', 'access', 'hex', 'weak_id', 'weak_secret', 'endpoint']"
+
+    def apart(parts: str, others: str) -> str:
+        return f"list_filter({parts}, lambda x: len(list_filter({others}, lambda y: y.s < x.e and y.e > x.s)) = 0)"
+
+    def near(parts: str, others: str) -> str:
+        return f"list_filter({parts}, lambda x: len(list_filter({others}, lambda y: y.s <= x.e + {s.SCOPE} and y.e >= x.s - {s.SCOPE})) > 0)"
+
+    def mixed(needed: tuple[str, ...]) -> str:
+        return " and ".join(f"regexp_matches(x.w, '{p}')" for p in needed)
+
+    def spelt(parts: str) -> str:
+        return f"coalesce(list_aggregate(list_transform(list_sort(list_transform({parts}, lambda x: {{'s': x.s, 'k': x.k, 'e': x.e}})), lambda x: {name}[x.k] || ':' || x.s || ':' || x.e), 'string_agg', ','), '')"
+
+    return f"""
+with texts as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+found as (
+  select doc_id, {spans(1, s.ASSIGN)} as a0, {spans(2, s.ACCESS)} as c, {spans(3, s.HEX)} as h,
+         {spans(4, s.WEAK_ID)} as i0, {spans(5, s.WEAK_SECRET)} as w0, {spans(6, s.ENDPOINT)} as p
+  from texts
+), kept as (
+  select *, list_filter(a0, lambda x: length(regexp_replace(x.w, $p${s.BEFORE_VALUE}$p$, '')) >= {s.VALUE}) as a from found
+), bases as (
+  select *, a || c || h as base from kept
+), weak as (
+  select *, {apart(f"list_filter(w0, lambda x: {mixed(s.MIXED_SECRET)})", "base")} as w1 from bases
+), ids as (
+  select *, {apart(f"list_filter(i0, lambda x: ({mixed(s.MIXED_ID)}) or regexp_matches(x.w, '[:=]'))", "(base || w1)")} as i, {apart("w1", "p")} as w from weak
+)
+select doc_id, len(a)::bigint as n_assign, len(c)::bigint as n_access, len(h)::bigint as n_hex,
+       sha256({spelt("base")}) as base_sha256,
+       {spelt("(base || " + near("i", "(w || a || h)") + " || " + near("w", "(i || p || c)") + " || " + near("p", "(w || a || h)") + ")")} as spans
+from ids
+"""
