@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import bpe, mixing, quality, secrets, sql, toxicity
+from pagewright.llm import ann, bpe, mixing, quality, secrets, sql, topk, toxicity
 from pagewright.llm.shared import held_out
 
 
@@ -62,6 +62,14 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))), 0.7)
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, 10)
+
+
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return _judged(quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"))), 0.5)
@@ -72,7 +80,9 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op6_secrets": op6_secrets,
     "op7_toxicity": op7_toxicity,
+    "op8_topk": op8_topk,
+    "op9_ann": op9_ann,
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_mixing": sql.MIXING, "op6_secrets": sql.secrets()}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": sql.MIXING, "op6_secrets": sql.secrets(), "op8_topk": sql.TOPK}
