@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import ann, bpe, mixing, quality, secrets, sql, topk, toxicity
+from pagewright.llm import ann, bpe, mixing, neardup, quality, secrets, sql, topk, toxicity
 from pagewright.llm.shared import held_out
 
 
@@ -44,6 +44,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, per=80)
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.concat("assign", "access", "hex")
@@ -78,6 +82,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_mixing": op4_mixing,
+    "op5_neardup": op5_neardup,
     "op6_secrets": op6_secrets,
     "op7_toxicity": op7_toxicity,
     "op8_topk": op8_topk,
