@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import ann, bpe, mixing, neardup, quality, secrets, sql, topk, toxicity
+from pagewright.llm import ann, bpe, mixing, neardup, quality, repeats, secrets, sql, topk, toxicity
 from pagewright.llm.shared import held_out
 
 
@@ -39,6 +39,18 @@ def _judged(made: DataFrame, line: float) -> DataFrame:
     )
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = repeats.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + (x["end"] - x["start"]))
+    return made.select(
+        "doc_id",
+        (F.octet_length("kept") + removed).cast("long").alias("n_bytes"),
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -81,6 +93,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_repeats": op3_repeats,
     "op4_mixing": op4_mixing,
     "op5_neardup": op5_neardup,
     "op6_secrets": op6_secrets,
