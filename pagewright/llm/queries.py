@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import ann, bpe, mixing, neardup, quality, repeats, secrets, sql, topk, toxicity
-from pagewright.llm.shared import held_out
+from pagewright.llm import ann, bpe, mixing, neardup, quality, repeats, secrets, sql, tokencount, topk, toxicity
+from pagewright.llm.shared import fresh_path, held_out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,14 @@ def _vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes documents into flat token files, then counts tokens from those files alone."""
+    end = 50256  # free in the vocabulary
+    manifest = tokencount.write_flat(table(spark, sf_dir, "documents"), bpe.encoder(spark, *_vocabulary()), end, fresh_path(spark, "tokens"))
+    counted = tokencount.token_counts(manifest.select("file", "bytes").distinct(), end)
+    return manifest.join(counted, ["file", "ordinal"]).select("doc_id", "n_tokens", "start", "closed")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     made = bpe.encode(docs, *_vocabulary(), decoded="decoded")
@@ -91,7 +99,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"))), 0.5)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
+    "op1_token_counts": op1_token_counts,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_repeats": op3_repeats,
     "op4_mixing": op4_mixing,
