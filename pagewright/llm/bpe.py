@@ -281,7 +281,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
         return step
 
     fields = [T.StructField(ids, T.ArrayType(T.IntegerType()))]
-    return append_columns(df, fields + [T.StructField(decoded, T.BinaryType())] * bool(decoded), start, text)
+    return append_columns(df, fields + ([T.StructField(decoded, T.BinaryType())] if decoded else []), start, text)
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
