@@ -119,4 +119,10 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_mixing": sql.MIXING, "op6_secrets": sql.secrets(), "op8_topk": sql.TOPK}
+ORACLE_SQL: dict[str, str] = {
+    "op3_repeats": sql.REPEATS,
+    "op4_mixing": sql.MIXING,
+    "op5_neardup": sql.NEAR_DUPLICATES,
+    "op6_secrets": sql.secrets(),
+    "op8_topk": sql.TOPK,
+}

@@ -108,3 +108,53 @@ with v as (
 )
 select query_id, rank, vec_id, score from ranked where rank <= 10
 """
+
+#: For repeats.without_repeats: every window of 100 bytes, as hexadecimal digits.
+REPEATS = """
+with docs as (
+  select doc_id, hex(encode(coalesce(text, ''))) as x, (length(hex(encode(coalesce(text, '')))) // 2)::bigint as n from documents
+), windows as (
+  select doc_id, p, md5(substr(x, 2 * p + 1, 200)) as w from docs, unnest(range(0, greatest(n - 99, 0))) u(p)
+), ranked as (
+  select doc_id, p, row_number() over (partition by w order by doc_id, p) as r from windows
+), later as (
+  select doc_id, p, case when p - lag(p) over (partition by doc_id order by p) <= 100 then 0 else 1 end as fresh from ranked where r > 1
+), numbered as (
+  select doc_id, p, sum(fresh) over (partition by doc_id order by p rows unbounded preceding) as k from later
+), runs as (
+  select doc_id, k, min(p) as s, max(p) + 100 as e from numbered group by doc_id, k
+), gaps as (
+  select doc_id, k, coalesce(lag(e) over (partition by doc_id order by k), 0) as a, s as b, e from runs
+), kept as (
+  select doc_id, count(*) as n_spans, sum(e - b)::bigint as n_removed, max(e) as last,
+         string_agg(substr(x, 2 * a + 1, 2 * (b - a)), '' order by k) as front
+  from gaps join docs using (doc_id) group by doc_id
+)
+select d.doc_id, d.n as n_bytes, coalesce(k.n_removed, 0)::bigint as n_removed, coalesce(k.n_spans, 0)::bigint as n_spans,
+       sha256(unhex(case when k.last is null then d.x else k.front || substr(d.x, 2 * k.last + 1) end)) as kept_sha256
+from docs d left join kept k on d.doc_id = k.doc_id
+"""
+
+#: For neardup.near_duplicates with words=4 and per=80.
+NEAR_DUPLICATES = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) end as s
+  from words
+), each as (
+  select doc_id, len(s) as n, hash(t) as t from sets, unnest(s) u(t)
+), links as (
+  select a.doc_id as a, b.doc_id as b from each a join each b on a.t = b.t and a.doc_id <> b.doc_id
+    and least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach as (
+  select doc_id as a, doc_id as c from sets
+  union
+  select l.b, r.c from reach r join links l on l.a = r.a and r.c < l.b
+), least_of as (
+  select a, min(c) as c from reach group by a
+)
+select s.doc_id, len(s.s)::bigint as n_shingles, l.c as component_id, l.c = s.doc_id as kept from sets s join least_of l on l.a = s.doc_id
+"""
