@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space, to be used under (?U).
+#: The characters that Python counts as white space, singly and as a class to be used under (?U).
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = r"[\s\x{1c}-\x{1f}]"
 #: Word boundaries before and after a word character, and a decimal digit.
 WORD_START, WORD_END, DIGIT = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])", r"\p{Nd}"
@@ -18,11 +19,11 @@ NEWLINE = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def without_space(text: Column) -> Column:
-    return F.regexp_replace(text, f"(?U){SPACE}+", "")
+    return F.translate(text, SPACES, "")
 
 
 def single_spaces(text: Column) -> Column:

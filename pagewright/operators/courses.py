@@ -17,7 +17,7 @@ from pagewright.functions.text import first_match, single_spaces, strip, without
 #: grand totals, and the first three footers are Thai words whose bytes were once read in a Thai code page.
 CODE = rf"(?i)\A(?:{D}{{8}}|{D}{{5}}x{{3}}|{D}{{4}}x{{4}}|x{{4,8}})\z"
 CREDITS = rf"{D}+\({D}+-{D}+-{D}+\)"
-TOTAL = "(?i)\\A(?:รวม|เธฃเธงเธก|total)\\z"
+TOTALS = ("รวม", "เธฃเธงเธก", "total")
 GRAND_TOTALS = ("รวมตลอด", "เธฃเธงเธกเธ•เธฅเธญเธ”")
 FOOTERS = ("เธงเธ—", "เธ\x84เธ“เธฐ", "เธชเธ\x88เธฅ", "มคอ")
 #: The same footers, read rightly.
@@ -32,12 +32,13 @@ def code_of(text: Column) -> Column:
 
 
 def is_code(text: Column) -> Column:
-    return code_of(text).rlike(CODE)
+    code = code_of(text)
+    return F.length(code).between(4, 8) & code.rlike(CODE)
 
 
 def credits_of(text: Column) -> Column:
     """The first credit tuple, without spaces; doubled closing brackets are one. Null without one."""
-    return first_match(F.replace(without_space(text), F.lit("))"), F.lit(")")), CREDITS)
+    return F.when(text.contains("("), first_match(F.replace(without_space(text), F.lit("))"), F.lit(")")), CREDITS))
 
 
 def looks_english(text: Column) -> Column:
@@ -53,7 +54,7 @@ def is_footer(text: Column, repair: bool = False) -> Column:
 
 
 def ends_block(text: Column, repair: bool = False) -> Column:
-    total = strip(text).rlike(TOTAL)
+    total = F.lower(strip(text)).isin(*TOTALS)
     for token in GRAND_TOTALS:
         total = total | text.contains(token)
     return total | is_footer(text, repair)
