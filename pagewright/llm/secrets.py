@@ -123,12 +123,18 @@ def spelt(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[REDACTED]") -> DataFrame:
-    """docs with every span of `text` replaced by a mark; spans that touch or overlap are one. Null stays null."""
-    kept = docs.columns
+    """docs with every span of `text` replaced by a mark; spans that touch or overlap are one. Null stays null.
+
+    Columns of docs stay as they are, those that bear the names of scan's too.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    out = scan(docs.select(row.alias("row"), F.col(text).cast("string").alias("whole")), "whole")
     spans = F.concat("assign", "access", "hex", "linked")
-    out = scan(docs, text).withColumn("__spans", spans)
-    starts = F.array_sort(F.array_distinct(F.transform(F.filter("__spans", lambda x: ~F.exists("__spans", lambda y: (y["start"] < x["start"]) & (y["end"] >= x["start"]))), lambda x: x["start"])))
-    ends = F.array_sort(F.array_distinct(F.transform(F.filter("__spans", lambda x: ~F.exists("__spans", lambda y: (y["start"] <= x["end"]) & (y["end"] > x["end"]))), lambda x: x["end"])))
-    out = out.withColumn("__cut", F.arrays_zip(F.concat(F.array(F.lit(0)), ends).alias("a"), F.concat(starts, F.array(F.length(text))).alias("b")))
-    whole = F.array_join(F.transform("__cut", lambda x: F.substring(F.col(text), x["a"] + 1, x["b"] - x["a"])), mark)
-    return out.withColumn(text, F.when(F.size("__spans") > 0, whole).otherwise(F.col(text))).select(*[F.col(f"`{c}`") for c in kept])
+    inside = lambda x, y: (y["start"] < x["start"]) & (y["end"] >= x["start"])
+    beyond = lambda x, y: (y["start"] <= x["end"]) & (y["end"] > x["end"])
+    edges = lambda part, covered: F.array_sort(F.array_distinct(F.transform(F.filter("spans", lambda x: ~F.exists("spans", lambda y: covered(x, y))), lambda x: x[part])))
+    out = out.withColumn("spans", spans).withColumns({"starts": edges("start", inside), "ends": edges("end", beyond)})
+    kept = F.arrays_zip(F.concat(F.array(F.lit(0)), "ends").alias("a"), F.concat("starts", F.array(F.length("whole"))).alias("b"))
+    marked = F.array_join(F.transform(kept, lambda x: F.substring(F.col("whole"), x["a"] + 1, x["b"] - x["a"])), mark)
+    made = F.when(F.size("spans") > 0, marked).otherwise(F.col("whole"))
+    return out.select(*[made.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])
