@@ -16,7 +16,9 @@ sentence: their score is the leak. Repeated rows score alike.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,7 +54,17 @@ def sentence_words(text: str) -> list[set[str]]:
     return [words for s in _SENTENCE.findall(text.lower()) if (words := set(_WORD.findall(s)))]
 
 
-def fit_bags(bags: list[list[set[str]]], labels: list[int], share: dict[int, float] | None = None, least_documents: int = 4, penalty: float = 0.2, rounds: int = 160) -> ToxicModel:
+class Bags:
+    """Texts as bags of sentences, split anew at each reading: held as words they take many times their bytes."""
+
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+
+    def __iter__(self):
+        return map(sentence_words, self.texts)
+
+
+def fit_bags(bags: Iterable[list[set[str]]], labels: list[int], share: dict[int, float] | None = None, least_documents: int = 4, penalty: float = 0.2, rounds: int = 160) -> ToxicModel:
     """Noisy-or maximum likelihood by Adam over all bags at once.
 
     Weights are not negative, so no harmless word can hide an offending one beside it;
@@ -67,8 +79,9 @@ def fit_bags(bags: list[list[set[str]]], labels: list[int], share: dict[int, flo
         return ToxicModel({}, -12.0, prior if y.any() else 0.001)
     seen = Counter(f for bag in bags for f in {f for w in set().union(*bag) for f in features(w)})
     vocabulary = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= least_documents))}
+    del seen
     places: dict[str, list[int]] = {}
-    words, sentence_of, bag_of = [], [], []
+    words, sentence_of, bag_of = array("i"), array("i"), array("i")
     for b, bag in enumerate(bags):
         for sentence in bag:
             known = []
@@ -76,10 +89,11 @@ def fit_bags(bags: list[list[set[str]]], labels: list[int], share: dict[int, flo
                 if (at := places.get(w)) is None:
                     places[w] = at = [vocabulary[f] for f in features(w) if f in vocabulary]
                 known += at
-            words += known
-            sentence_of += [len(bag_of)] * len(known)
+            words.extend(known)
+            sentence_of.extend([len(bag_of)] * len(known))
             bag_of.append(b)
-    words, sentence_of, bag_of = np.array(words, np.int32), np.array(sentence_of, np.int32), np.array(bag_of, np.int32)
+    del places
+    words, sentence_of, bag_of = (np.frombuffer(x, np.int32) if len(x) else np.empty(0, np.int32) for x in (words, sentence_of, bag_of))
     cost = np.array([(share or {}).get(int(v), 1.0) for v in y])
     cost /= cost.mean()
     n, v = len(bag_of), len(vocabulary)
@@ -107,7 +121,11 @@ def fit(docs: DataFrame, labels: DataFrame, most_of_each: int = 2500, longest: i
     rows, sizes = labelled_sample(docs, labels, "toxic", most_of_each, longest)
     drawn = Counter(y for _, y in rows)
     share = {y: sizes[y] / drawn[y] for y in drawn}
-    return fit_bags([sentence_words(t) for t, _ in rows], [y for _, y in rows], share)
+    return fit_texts([t for t, _ in rows], [y for _, y in rows], share)
+
+
+def fit_texts(texts: list[str], labels: list[int], share: dict[int, float] | None = None) -> ToxicModel:
+    return fit_bags(Bags(texts), labels, share)
 
 
 class _Weights(dict):
