@@ -94,37 +94,54 @@ class QualityModel:
     prior: float
 
     def project(self, profiles: np.ndarray) -> np.ndarray:
-        x = _scaled(profiles * self.weight) @ self.axes
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        x = profiles * self.weight
+        _scale(x)
+        return _unit(x @ self.axes)
 
 
-def _scaled(x: np.ndarray) -> np.ndarray:
-    x, at = x.copy(), 0
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def _scale(x: np.ndarray) -> None:
+    """Each profile to its weight as length, in place."""
+    at = 0
     for size, weight in zip((WORDS, SHAPES, STATS), WEIGHTS, strict=True):
         part = x[:, at : at + size]
         part *= weight / np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-12)
         at += size
-    return x
+
+
+def leading_axes(x: np.ndarray, dimensions: int, rounds: int = 8) -> np.ndarray:
+    """Right singular vectors of the largest singular values, by subspace iteration from a fixed start."""
+    if not len(x):
+        return np.empty((x.shape[1], 0), np.float32)
+    start = np.random.default_rng(1).standard_normal((x.shape[1], dimensions + 16)).astype(np.float32)
+    basis = np.linalg.qr(x @ start)[0]
+    for _ in range(rounds):
+        basis = np.linalg.qr(x @ (x.T @ basis))[0]
+    _, size, axes = np.linalg.svd(basis.T @ x, full_matrices=False)
+    return np.ascontiguousarray(axes[:dimensions][size[:dimensions] > 1e-3].T)
 
 
 def fit_texts(texts: list[str], labels: list[int], dimensions: int = 48) -> QualityModel:
-    buckets = _Buckets()
-    made = [(p, y) for t, y in zip(texts, labels, strict=True) if (p := profile(t, buckets)) is not None]
-    width = WORDS + SHAPES + STATS
-    x = np.array([p for p, _ in made], np.float32).reshape(-1, width)
-    y = np.array([y for _, y in made], np.float32)
+    buckets, width = _Buckets(), WORDS + SHAPES + STATS
+    x, y = np.empty((len(texts), width), np.float32), np.empty(len(texts), np.float32)
+    n = 0
+    for text, label in zip(texts, labels, strict=True):
+        if (made := profile(text, buckets)) is not None:
+            x[n], y[n] = made, label
+            n += 1
+    x, y = x[:n], y[:n]
     weight = np.ones(width, np.float32)
-    if len(x):
-        rarity = np.log((1 + len(x)) / (1 + (x[:, :WORDS] > 0).sum(0))) + 0.1
+    if n:
+        rarity = np.log((1 + n) / (1 + (x[:, :WORDS] > 0).sum(0))) + 0.1
         weight[:WORDS] = rarity
-    scaled = _scaled(x * weight)
-    values, turn = np.linalg.eigh((scaled @ scaled.T).astype(np.float64)) if len(x) else (np.empty(0), np.empty((0, 0)))
-    lead = np.argsort(values)[::-1][:dimensions]
-    lead = lead[values[lead] > 1e-6]
-    axes = (scaled.T @ (turn[:, lead] / np.sqrt(values[lead]))).astype(np.float32)
-    prior = float(y.mean()) if len(y) else 0.5
-    model = QualityModel(weight, axes, np.empty((0, len(lead)), np.float32), y, prior)
-    return QualityModel(weight, axes, model.project(x), y, prior)
+    x *= weight
+    _scale(x)
+    axes = leading_axes(x, dimensions)
+    prior = float(y.mean()) if n else 0.5
+    return QualityModel(weight, axes, _unit(x @ axes), y, prior)
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_of_each: int = 1500, longest: int = 20_000, dimensions: int = 48) -> QualityModel:
