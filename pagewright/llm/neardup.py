@@ -10,6 +10,11 @@ recall of pairs at the threshold to the target: at similarity 0.8 a level keeps
 with probability 1 - 0.2^2, and a pair that goes down three levels (few do) is missed by
 all five trees with probability 0.115^5, or 2 in 100,000.
 
+A large node would keep a group of near copies together level after level. So its first
+set is a hub: a set whose sketch agrees with the hub's in a share of NEAR leaves the node
+as the hub's candidate, and any of at least AROUND is the hub's candidate too, whether it
+leaves or not. Jaccard distance is a metric: what is linked to a set that left is within
+0.2 + 0.25 of the hub, so within AROUND's reach, and no pair is lost by the leaving.
 Nodes that are still large at depth DEPTH hold sets that agree on every coordinate of
 their path. They become candidates as they are. Candidates are not links: groups of
 connected candidates are brought together with their full sets, and links are confirmed
@@ -41,8 +46,10 @@ COORDINATES, LEAF, BRANCHES, TREES, DEPTH = 128, 256, 2, 5, 4
 GROUP, PIVOTS = 1024, 64
 #: Least share of equal coordinates of a candidate, below the threshold by four deviations.
 SLACK = 4.0
-#: Ids that may be broadcast to find the texts of candidates again (8 bytes each).
+#: Ids that may be broadcast to find the sketches or texts of candidates again (8 bytes each).
 BROADCAST_IDS = 1_000_000
+#: Shares of a hub's coordinates at which a set leaves a large node, and is the hub's candidate.
+NEAR, AROUND = 0.80, 0.38
 CACHE_ENTRIES = 400_000
 
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -94,8 +101,13 @@ def sketch(made: np.ndarray, a: np.ndarray, b: np.ndarray) -> bytes:
     return (least >> _U(32)).astype(np.uint32).tobytes()
 
 
+def brief(whole: bytes | None) -> bytes | None:
+    """The lowest byte of each coordinate: enough to count those that agree."""
+    return None if whole is None else np.frombuffer(whole, np.uint32).astype(np.uint8).tobytes()
+
+
 def _described(docs: DataFrame, words: int, full: bool, text: str) -> DataFrame:
-    """docs with n_shingles, set_hash (null: empty set), and the sketch or the full set."""
+    """docs with n_shingles, set_hash (null: empty set), and the sketch, whole and brief, or the full set."""
 
     def start():
         import xxhash
@@ -104,16 +116,18 @@ def _described(docs: DataFrame, words: int, full: bool, text: str) -> DataFrame:
 
         def step(texts: list) -> list[pa.Array]:
             sets = [shingles(t, words, cache) for t in texts]
-            return [
+            made = [(s.tobytes() if full else sketch(s, a, b)) if len(s) else None for s in sets]
+            out = [
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                pa.array([(s.tobytes() if full else sketch(s, a, b)) if len(s) else None for s in sets], pa.binary()),
+                pa.array(made, pa.binary()),
             ]
+            return out if full else [*out, pa.array([brief(x) for x in made], pa.binary())]
 
         return step
 
-    last = "shingles" if full else "sketch"
-    fields = [T.StructField("n_shingles", T.LongType()), T.StructField("set_hash", T.BinaryType()), T.StructField(last, T.BinaryType())]
+    names = ("shingles",) if full else ("sketch", "brief")
+    fields = [T.StructField("n_shingles", T.LongType()), *[T.StructField(name, T.BinaryType()) for name in ("set_hash", *names)]]
     return append_columns(docs, fields, start, text, drop=(text,))
 
 
@@ -168,7 +182,7 @@ def _bounds(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _compare_leaves(rows: DataFrame, per: int) -> DataFrame:
-    """Links (a, b) that connect the candidates of each node, from rows (node, id, n, sketch)."""
+    """Links (a, b) that connect the candidates of each node, from rows (node, id, n, brief)."""
     share = per / 100
     least = int(COORDINATES * share - SLACK * np.sqrt(COORDINATES * share * (1 - share)))
 
@@ -176,7 +190,7 @@ def _compare_leaves(rows: DataFrame, per: int) -> DataFrame:
         for batch in _runs(batches, "node"):
             col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             ids, n = col["id"].to_numpy(), col["n"].to_numpy()
-            values = np.frombuffer(b"".join(col["sketch"].to_pylist()), np.uint32).reshape(len(ids), COORDINATES)
+            values = np.frombuffer(b"".join(col["brief"].to_pylist()), np.uint8).reshape(len(ids), COORDINATES)
             label = np.arange(len(ids))
             pairs_a, pairs_b = [], []
             for s, e in zip(*_bounds(col["node"].to_numpy()), strict=True):
@@ -256,8 +270,30 @@ def _link_parts(rows: DataFrame, per: int) -> DataFrame:
     return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, "a long, b long")
 
 
+def _around_hubs(large: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (node, id) of large nodes (node, id, first) as (node, id, first, near, around): how they stand to their hub."""
+    hubs = large.select("node", "first").distinct().join(sets.select(F.col("id").alias("first"), F.col("brief").alias("hub")), "first").select("node", "hub")
+    rows = large.join(sets.select("id", "brief"), "id").join(hubs, "node")
+
+    def run(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            mine, hub = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(len(batch), COORDINATES) for i in (3, 4))
+            share = (mine == hub).mean(1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(share >= NEAR), pa.array(share >= AROUND)], names=["node", "id", "first", "near", "around"])
+
+    return rows.select("node", "id", "first", "brief", "hub").mapInArrow(run, "node long, id long, first long, near boolean, around boolean")
+
+
+def _only(sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """The sets whose ids are in rows: found without a shuffle of all sets where the ids are few, by a join beyond."""
+    ids = checkpointed(rows.select("id").distinct())
+    return written(sets.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi"), "narrowed")
+
+
 def _candidates(sets: DataFrame, per: int) -> DataFrame:
-    """Links (a, b) between sets (id, n, sketch) that may be similar: what the trees find."""
+    """Links (a, b) between sets (id, n, sketch, brief) that may be similar: what the trees find."""
     rows = _branch(sets.select("id", "sketch"), root=True)
     out = None
     for level in range(1, DEPTH + 1):
@@ -265,14 +301,17 @@ def _candidates(sets: DataFrame, per: int) -> DataFrame:
         sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("first")).where("size > 1")
         sized = checkpointed(rows.join(sizes, "node"))
         small = sized.where(F.col("size") <= LEAF).select("node", "id")
-        found = _compare_leaves(small.join(sets, "id").select("node", "id", "n", "sketch"), per)
+        found = _compare_leaves(small.join(sets, "id").select("node", "id", "n", "brief"), per)
         out = found if out is None else out.unionByName(found)
         large = sized.where(F.col("size") > LEAF)
         if large.isEmpty():
             return out
         if level == DEPTH:
             return out.unionByName(large.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")))
-        rows = _branch(large.select("node", "id").join(sets.select("id", "sketch"), "id"), root=False)
+        sets = _only(sets, large)
+        placed = checkpointed(_around_hubs(large.select("node", "id", "first"), sets))
+        out = out.unionByName(placed.where("around and id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")))
+        rows = _branch(placed.where("not near").select("node", "id").join(sets.select("id", "sketch"), "id"), root=False)
     return out
 
 
@@ -314,8 +353,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, per: int = 80, text: str =
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     described = written(_described(slim, words, full=False, text="text"), "sketches")
     own = described.where("set_hash is not null and doc_id is not null")
-    reps = written(own.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "sets")
-    clusters = checkpointed(components(_candidates(reps.select("id", "n", "sketch"), per)).distinct())
+    reps = written(own.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("brief").alias("brief")), "sets")
+    clusters = checkpointed(components(_candidates(reps.select("id", "n", "sketch", "brief"), per)).distinct())
     sizes = clusters.groupBy(F.col("component").alias("cluster")).agg(F.count("*").alias("size"))
     members = clusters.join(sizes, F.col("component") == F.col("cluster")).join(reps.select("id", "set_hash"), "id").select("id", "cluster", "size", F.col("set_hash").alias("own_hash"))
     members = checkpointed(members)

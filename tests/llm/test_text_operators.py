@@ -151,7 +151,9 @@ def test_near_duplicates_of_odd_rows(spark):
     assert neardup.near_duplicates(rows.limit(0)).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr("pagewright.llm.components.ONE_TASK", most)
     links = [(i, i + 1) for i in range(40)] + [(100, 99), (101, 100), (50, 50)]
     made = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert made == {i: 0 for i in range(41)} | {99: 99, 100: 99, 101: 99}
@@ -217,6 +219,10 @@ def test_redact(spark):
     rows = spark.createDataFrame([(1, text), (2, None), (3, "clean")], DOC)
     assert [r.text for r in secrets.redact(rows).orderBy("doc_id").collect()] == ['x [REDACTED]" y', None, "clean"]
     assert secrets.redact(rows.limit(0)).columns == rows.columns
+    clash = rows.withColumns({"hex": F.lit(5), "spans": F.lit("s"), "row": F.lit("r")})
+    assert [tuple(r)[2:] for r in secrets.redact(clash).collect()] == [(5, "s", "r")] * 3
+    two = spark.createDataFrame([(1, "a AKIA" + "B" * 12 + ' é token: "AKIA' + "C" * 16 + '" z')], DOC)
+    assert secrets.redact(two).first().text == 'a [REDACTED] é [REDACTED]" z'
 
 
 def test_toxicity_finds_the_sentence():
