@@ -325,7 +325,7 @@ def path_stem(spark, sf_dir):
 
 
 def recognise_blocks(spark, sf_dir):
-    """The table function of recognisers, over pages drawn from the HTML's bytes."""
+    """The table function of recognisers, over pages drawn from all of the HTML's bytes, 64 to a row."""
     def draw(batches):
         import io
 
@@ -333,8 +333,10 @@ def recognise_blocks(spark, sf_dir):
 
         for batch in batches:
             def image(html: str) -> bytes:
-                raw = np.frombuffer((html or "").encode()[: 64 * 64].ljust(64 * 64, b" "), np.uint8).reshape(64, 64)
-                np.save(out := io.BytesIO(), np.where((raw == 10).any(axis=1)[:, None], 0, 255).astype(np.uint8).repeat(64, axis=1)[:, :64])
+                whole = (html or "").encode()
+                height = max(-(-len(whole) // 64), 1)
+                raw = np.frombuffer(whole.ljust(height * 64, b" "), np.uint8).reshape(height, 64)
+                np.save(out := io.BytesIO(), np.where((raw == 10).any(axis=1)[:, None], 0, 255).astype(np.uint8).repeat(64, axis=1))
                 return out.getvalue()
 
             yield batch.assign(content=[image(x) for x in batch["html"]]).drop(columns="html")

@@ -120,6 +120,17 @@ def test_images():
     assert set(np.unique(imaging.prepared(page[:60, :60]))) <= {0, 255}
 
 
+def test_blocks_are_drawn_from_whole_pages(spark, tmp_path):
+    from pagewright.plans.queries import recognise_blocks
+
+    html = {1: "x" * 100 + "\n" + "é" * 3000 + "\n" + "y" * 60000 + "\n", 2: None, 3: "", 4: "z" * 4096 + "\n"}
+    rows = [(i, f"u{i}", text) for i, text in html.items()]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    made = sorted((r.page, r.seq, r.text) for r in recognise_blocks(spark, str(tmp_path)).collect())
+    breaks = {i: [at // 64 for at, byte in enumerate((text or "").encode()) if byte == 10] for i, text in html.items()}
+    assert made == [(i, n, f"band {at}-{at + 1}") for i, rows in breaks.items() for n, at in enumerate(rows, 1)]
+
+
 def test_every_query_has_rows(spark):
     import __spark_entry__
 
