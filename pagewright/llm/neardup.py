@@ -5,16 +5,19 @@ set has a sketch of COORDINATES minwise values. A tree starts with all sets in i
 a node of more than LEAF sets branches on BRANCHES coordinates that its path selects: a
 set goes on to the child of its minwise token there, so two sets stay together with the
 probability of their similarity for each branch. Nodes of at most LEAF sets are compared
-exhaustively, sketch by sketch, and give candidates. TREES independent trees bring the
-recall of pairs at the threshold to the target: at similarity 0.8 a level keeps a pair
-with probability 1 - 0.2^2, and a pair that goes down three levels (few do) is missed by
-all five trees with probability 0.115^5, or 2 in 100,000.
+exhaustively, sketch by sketch, and give candidates. All trees read one sketch. A pair
+whose sketches agree in k coordinates is split by a level where both branches differ, and
+kept twice where both agree; the chance that four levels of all five trees split a pair at
+similarity 0.8, over the binomial k, is 5 in a million (fewer levels: less). A leaf passes
+pairs with k from SLACK deviations below the threshold: 1 in 100 million is under it.
 
 A large node would keep a group of near copies together level after level. So its first
 set is a hub: a set whose sketch agrees with the hub's in a share of NEAR leaves the node
 as the hub's candidate, and any of at least AROUND is the hub's candidate too, whether it
 leaves or not. Jaccard distance is a metric: what is linked to a set that left is within
-0.2 + 0.25 of the hub, so within AROUND's reach, and no pair is lost by the leaving.
+0.2 + 0.25 of the hub, so within AROUND's reach. A set that leaves agrees with the hub in
+103 coordinates at least, one that AROUND leaves out in 48 at most, so the two agree in 73
+at most: the leaf would not pass them either, and no further pair is lost by the leaving.
 Nodes that are still large at depth DEPTH hold sets that agree on every coordinate of
 their path. They become candidates as they are. Candidates are not links: groups of
 connected candidates are brought together with their full sets, and links are confirmed
@@ -44,8 +47,8 @@ from pagewright.llm.shared import append_columns, checkpointed, written
 COORDINATES, LEAF, BRANCHES, TREES, DEPTH = 128, 256, 2, 5, 4
 #: Sets that one task links, at most; pivots that all parts of a larger group share.
 GROUP, PIVOTS = 1024, 64
-#: Least share of equal coordinates of a candidate, below the threshold by four deviations.
-SLACK = 4.0
+#: Least share of equal coordinates of a candidate, below the threshold by six deviations.
+SLACK = 6.0
 #: Ids that may be broadcast to find the sketches or texts of candidates again (8 bytes each).
 BROADCAST_IDS = 1_000_000
 #: Shares of a hub's coordinates at which a set leaves a large node, and is the hub's candidate.

@@ -151,6 +151,19 @@ def test_near_duplicates_of_odd_rows(spark):
     assert neardup.near_duplicates(rows.limit(0)).count() == 0
 
 
+def test_near_duplicates_with_unlucky_sketches(spark):
+    base = " ".join(f"w3731x{i}" for i in range(8))  # 8 of 10 words shared; sketches agree in 82 of 128 places
+    rows = spark.createDataFrame([(1, f"{base} p3731"), (2, f"{base} q3731")], DOC)
+    assert [r.component_id for r in neardup.near_duplicates(rows, words=1).collect()] == [1, 1]
+
+
+def test_hubs_lose_no_pair_that_leaves_pass():
+    n, share = neardup.COORDINATES, 0.8
+    least = int(n * share - neardup.SLACK * (n * share * (1 - share)) ** 0.5)
+    leaves, outside = -int(-n * neardup.NEAR // 1), -int(-n * neardup.AROUND // 1) - 1
+    assert n - (leaves - outside) < least
+
+
 @pytest.mark.parametrize("most", [1_000_000, 0])
 def test_components(spark, monkeypatch, most):
     monkeypatch.setattr("pagewright.llm.components.ONE_TASK", most)
