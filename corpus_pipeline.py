@@ -37,11 +37,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, that of the least doc_id; documents without words all stay.
 
-    Rows that repeat that doc_id are the same document and stay; rows without an id stay.
+    Rows of a group that repeat that doc_id are the same document and stay; rows without an
+    id stay. Rows that repeat an id with another text are decided each by its own text.
     """
-    found = neardup.near_duplicates(docs, WORDS, PER)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.select(*COLUMNS).join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    digest = F.xxhash64(F.col("text"))
+    found = neardup.near_duplicates(docs.select("doc_id", "text", digest.alias("digest")), WORDS, PER, also=("digest",))
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone"), "digest").distinct()
+    return docs.select(*COLUMNS).join(gone, (F.col("doc_id") == F.col("gone")) & (digest == F.col("digest")), "left_anti")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

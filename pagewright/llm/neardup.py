@@ -30,7 +30,7 @@ Texts are lower-cased in A-Z only, words are runs of anything but ASCII white sp
 Null texts, and texts without words, have an empty set and are linked with nothing.
 Texts of fewer words than a shingle are one shingle. Rows with a null id take the
 component of their copies with ids, else null, and link nothing else. Rows that repeat
-an id share its component.
+an id share a component if their sets are equal or linked; each row goes by its own set.
 """
 
 from __future__ import annotations
@@ -346,27 +346,43 @@ def _confirmed(full: DataFrame, per: int) -> DataFrame:
     return components(links.unionByName(first).unionByName(second))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, per: int = 80, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs.
+def _keyed(sets: DataFrame) -> tuple[DataFrame, bool]:
+    """sets with `id` unique and the document's as `own`, and whether they differ: sets that share an id get a hash of the set."""
+    shared = checkpointed(sets.groupBy("id").count().where("count > 1").select(F.col("id").alias("shared")))
+    if shared.isEmpty():
+        return sets.withColumn("own", F.col("id")), False
+    both = sets.join(shared, F.col("id") == F.col("shared"), "left").withColumn("own", F.col("id"))
+    both = both.withColumn("id", F.when(F.col("shared").isNotNull(), F.xxhash64("set_hash")).otherwise(F.col("id")))
+    return written(both.drop("shared"), "keyed"), True
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, per: int = 80, text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs, after the columns named in `also`.
 
     Two sets are linked if 100 * intersection >= per * union. component_id is the least
-    doc_id reachable over links, kept whether it is the row's own. Extra columns of docs
+    doc_id reachable over links, kept whether it is the row's own. Other columns of docs
     are not returned.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    described = written(_described(slim, words, full=False, text="text"), "sketches")
+    rows = docs.select(*also, F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    described = written(_described(rows, words, full=False, text="text"), "sketches")
     own = described.where("set_hash is not null and doc_id is not null")
     reps = written(own.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("brief").alias("brief")), "sets")
+    reps, differ = _keyed(reps)
     clusters = checkpointed(components(_candidates(reps.select("id", "n", "sketch", "brief"), per)).distinct())
     sizes = clusters.groupBy(F.col("component").alias("cluster")).agg(F.count("*").alias("size"))
-    members = clusters.join(sizes, F.col("component") == F.col("cluster")).join(reps.select("id", "set_hash"), "id").select("id", "cluster", "size", F.col("set_hash").alias("own_hash"))
+    members = clusters.join(sizes, F.col("component") == F.col("cluster")).join(reps.select("id", "own", "set_hash"), "id").select("id", "own", "cluster", "size", F.col("set_hash").alias("own_hash"))
     members = checkpointed(members)
-    ids = members.select("id").distinct()
+    ids = members.select("own").distinct()
     wanted = F.broadcast(ids) if members.count() <= BROADCAST_IDS else ids
-    again = _described(slim.join(wanted, F.col("doc_id") == F.col("id"), "left_semi"), words, full=True, text="text")
-    full = again.join(members, (F.col("doc_id") == F.col("id")) & (F.col("set_hash") == F.col("own_hash"))).select("cluster", "size", "id", "shingles")
+    again = _described(slim.join(wanted, F.col("doc_id") == F.col("own"), "left_semi"), words, full=True, text="text")
+    full = again.join(members, (F.col("doc_id") == F.col("own")) & (F.col("set_hash") == F.col("own_hash"))).select("cluster", "size", "id", "shingles")
     labels = _confirmed(written(full, "members"), per).groupBy("id").agg(F.min("component").alias("component"))
-    named = reps.select("set_hash", "id").join(labels, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component"))
-    out = described.select("doc_id", "n_shingles", "set_hash").join(named, "set_hash", "left")
+    named = reps.select("set_hash", "id", "own").join(labels, "id", "left").select("set_hash", "own", F.coalesce("component", "id").alias("component"))
+    if differ:  # components are named by keys: name them by the least document
+        least = named.groupBy("component").agg(F.min("own").alias("least"))
+        named = named.join(least, "component").select("set_hash", F.col("least").alias("component"))
+    named = named.select("set_hash", "component")
+    out = described.select(*also, "doc_id", "n_shingles", "set_hash").join(named, "set_hash", "left")
     component = F.when(F.col("set_hash").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    return out.select(*also, "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))

@@ -48,6 +48,18 @@ def test_stages(spark, folder):
     assert last.count() == docs.count() and last.where("n_tokens <> size(ids)").count() == 0
 
 
+def test_near_duplicates_go_by_row_where_ids_repeat(spark):
+    import corpus_pipeline as cp
+
+    text = lambda tag: " ".join(f"{tag}{i}" for i in range(60))
+    pairs = [(7, text("u")), (7, text("t")), (3, text("t")), (9, text("v")), (9, text("w") + " end"), (5, text("w"))]
+    pairs += [(11, text("x")), (11, text("y")), (11, text("x")), (8, text("z")), (8, text("y") + " end"), (None, text("u")), (9, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in pairs], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in cp.drop_near_duplicates(spark, docs, "").collect()]
+    gone = [(7, text("t")), (9, text("w") + " end"), (11, text("y"))]
+    assert sorted(kept, key=str) == sorted((p for p in pairs if p not in gone), key=str)
+
+
 def test_run_and_empty_tables(spark, folder, tmp_path):
     import corpus_pipeline as cp
 
