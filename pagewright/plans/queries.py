@@ -281,8 +281,9 @@ def template_merge(spark, sf_dir):
         F.when(F.col("p_partkey") % 3 == 0, F.lit("")).otherwise(F.col("p_name")).alias("name_th"), F.lit(None).cast("string").alias("name_en"),
         F.when(F.col("p_partkey") % 2 == 0, F.lit("3(3-0-6)")).alias("credits"), F.when(F.col("p_partkey") % 5 == 0, F.lit(1)).alias("year"), F.lit(None).cast("int").alias("semester"),
     )
-    parsed = part.where("p_partkey % 4 <> 1").select(
-        F.col("p_partkey").alias("pos"), F.when(F.col("p_partkey") % 60 != 0, code).alias("code"), F.upper("p_name").alias("name_th"), F.col("p_brand").alias("name_en"),
+    unmatched = F.concat(F.lit("none "), code)  # no template row has it
+    parsed = part.select(
+        F.col("p_partkey").alias("pos"), F.when(F.col("p_partkey") % 4 == 1, unmatched).when(F.col("p_partkey") % 60 != 0, code).alias("code"), F.upper("p_name").alias("name_th"), F.col("p_brand").alias("name_en"),
         F.lit("1(1-0-2)").alias("credits"), F.lit(4).alias("year"), (F.col("p_size") % 2 + 1).cast("int").alias("semester"),
     )
     return joins.merge_template(template, parsed)

@@ -100,3 +100,14 @@ def test_ground_truth_by_name_then_stem(spark):
     with pytest.raises(Exception, match="No ground truth found for b.jpg"):
         joins.with_ground_truth(predictions, truth.where("key <> 'b.jpg'")).collect()
     assert joins.with_ground_truth(predictions, truth.limit(0), strict=False).where("reference is null").count() == 2
+
+
+def test_template_query_joins_the_whole_table(spark, monkeypatch):
+    from pagewright.operators import joins
+    from pagewright.plans import queries
+
+    sf_dir, seen, merge = "/root/testdata/sf0.001", [], joins.merge_template
+    monkeypatch.setattr(joins, "merge_template", lambda template, parsed: seen.append(parsed) or merge(template, parsed))
+    made, part = queries.template_merge(spark, sf_dir), queries.table(spark, sf_dir, "part")
+    assert seen[0].count() == part.count() == made.count()
+    assert seen[0].where("pos % 4 = 1").join(made, "code", "left_semi").count() == 0
