@@ -159,3 +159,15 @@ def prepared(image: np.ndarray, deskew: bool = True) -> np.ndarray:
     """All steps in order."""
     image = equalized(denoised(grey(enlarged(image))))
     return thresholded(rotated(image, skew(image)) if deskew else image)
+
+
+def png(image: np.ndarray) -> bytes:
+    """A grey image as PNG."""
+    import struct
+    import zlib
+
+    height, width = image.shape
+    rows = np.concatenate([np.zeros((height, 1), np.uint8), image.astype(np.uint8)], axis=1)
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    header = struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", header) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")

@@ -190,6 +190,20 @@ def engine_lines(pages: DataFrame, engine: str, settings: Settings) -> DataFrame
     return pages.select("doc", "page", "content").mapInPandas(run, LINES)
 
 
+def prepared_images(pages: DataFrame, settings: Settings) -> DataFrame:
+    """doc, page, image: what recognisers see of pages (doc, page, content) after preprocessing, as PNG."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                image = imaging.png(imaging.prepared(decode(row.content), settings.deskew))
+                yield pd.DataFrame([(row.doc, row.page, image)], columns=["doc", "page", "image"])
+
+    return pages.select("doc", "page", "content").mapInPandas(run, "doc string, page int, image binary")
+
+
 def recognise(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Lines of pages by the engine of the settings, those below its least confidence left out."""
     if settings.engine == "ensemble":

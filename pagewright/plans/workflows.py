@@ -9,7 +9,7 @@ from pagewright.functions.fields import fields_json, with_fields
 from pagewright.functions.metrics import evaluation
 from pagewright.functions.text import file_name
 from pagewright.operators import courses, joins, lines
-from pagewright.operators.recognise import Settings, recognise
+from pagewright.operators.recognise import Settings, prepared_images, recognise
 from pagewright.sources import readers, writers
 
 
@@ -24,8 +24,10 @@ def recognised_documents(pages: DataFrame, settings: Settings = Settings()) -> D
 
 def run_recognition(spark: SparkSession, path: str, folder: str, settings: Settings = Settings(), renderer=None) -> DataFrame:
     """Recognises the documents at a path, writes them and their fields under folder, and returns them."""
-    made = recognised_documents(readers.document_pages(spark, path, renderer, settings.dpi), settings)
-    writers.save_documents(made, folder)
+    pages = readers.document_pages(spark, path, renderer, settings.dpi)
+    if settings.preprocess and settings.save_debug_images:
+        writers.save_images(prepared_images(pages, settings), folder)
+    writers.save_documents(recognised_documents(pages, settings), folder)
     written = readers.recognised_json(spark, f"{folder}/json")
     written.select(fields_json(F.col("text")).alias("value")).write.mode("overwrite").text(f"{folder}/fields")
     return with_fields(written)

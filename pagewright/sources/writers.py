@@ -34,15 +34,19 @@ def save_documents(docs: DataFrame, folder: str) -> None:
 
 
 def save_images(pages: DataFrame, folder: str, content: str = "image") -> None:
-    """Debug images debug/page_001_preprocessed.png of rows (page, image as PNG bytes), in a folder all executors share."""
+    """Debug images page_001_preprocessed.png of rows (doc, page, image as PNG bytes), in a folder all executors share.
+
+    Each document has a folder under debug: its stem and a hash of its path, for stems may repeat.
+    """
 
     def put(rows) -> None:
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
-        store.create_dir(f"{root}/debug", recursive=True)
         for row in rows:
-            with store.open_output_stream(f"{root}/debug/page_{row['page']:03d}_preprocessed.png") as out:
+            store.create_dir(f"{root}/debug/{row['name']}", recursive=True)
+            with store.open_output_stream(f"{root}/debug/{row['name']}/page_{row['page']:03d}_preprocessed.png") as out:
                 out.write(bytes(row[content]))
 
-    pages.select("page", content).foreachPartition(put)
+    name = F.concat(file_stem(F.col("doc")), F.lit("-"), F.substring(F.md5(F.col("doc").cast("binary")), 1, 8))
+    pages.select(name.alias("name"), "page", content).foreachPartition(put)

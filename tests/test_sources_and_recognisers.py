@@ -34,6 +34,24 @@ def test_documents_from_images(spark, scan, tmp_path):
     assert json.loads(back) == {}
 
 
+def test_debug_images_of_all_documents(spark, tmp_path):
+    import zlib
+
+    image = np.full((16, 400), 255, np.uint8)
+    image[6:10, 20:200] = 0
+    for name in ("a", "b"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "scan.png").write_bytes(encoded(image if name == "a" else image[:, ::-1]))
+    settings = recognise.Settings(engine="blocks", save_debug_images=True)
+    workflows.run_recognition(spark, f"{tmp_path}/*/scan.png", str(tmp_path / "out"), settings)
+    made = [p.read_bytes() for p in sorted((tmp_path / "out/debug").glob("scan-*/page_001_preprocessed.png"))]
+    pixels = [zlib.decompress(x[x.index(b"IDAT") + 4 : -16]) for x in made]
+    want = [imaging.prepared(x, True) for x in (image, image[:, ::-1])]
+    assert sorted(pixels) == sorted(b"".join(b"\0" + row.tobytes() for row in x) for x in want)
+    workflows.run_recognition(spark, f"{tmp_path}/a/scan.png", str(tmp_path / "off"), recognise.Settings(engine="blocks", preprocess=False, save_debug_images=True))
+    assert not (tmp_path / "off/debug").exists()
+
+
 def test_blank_pages_keep_their_heading(spark, scan):
     (scan / "scan.png").write_bytes(encoded(np.full((9, 9), 255, np.uint8)))
     pages = readers.document_pages(spark, f"{scan}/*.png")
