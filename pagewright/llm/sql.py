@@ -93,18 +93,18 @@ from ids
 """
 
 
-#: For topk.top_k with queries whose id 100 divides and k = 10.
+#: For topk.top_k with queries whose id 100 divides and k = 10. Each query row has a list of its own.
 TOPK = """
 with v as (
-  select vec_id::bigint as id, list_transform(embedding, lambda x: floor(1024.0::double * x::double)::bigint) as v
+  select row_number() over () as row_no, vec_id::bigint as id, list_transform(embedding, lambda x: floor(1024.0::double * x::double)::bigint) as v
   from embeddings
   where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), scored as (
-  select q.id as query_id, c.id as vec_id,
+  select q.row_no, q.id as query_id, c.id as vec_id,
          list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::bigint as score
   from v q join v c on q.id <> c.id and len(q.v) = len(c.v) where q.id % 100 = 0
 ), ranked as (
-  select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored
+  select *, row_number() over (partition by row_no order by score desc, vec_id)::int as rank from scored
 )
 select query_id, rank, vec_id, score from ranked where rank <= 10
 """

@@ -8,9 +8,11 @@ with a block when the threshold falls below its kth score so far, which it carri
 block to block. Scores are integers, so results are exact; equal scores go to the
 smaller id, hence lists are read on while threshold and kth score are equal.
 
-Nulls and other rows that take no part: see vectors. Repeated rows are candidates each;
-rows that bear the query's own id are not. With fewer than k candidates all are returned.
-An inner product beyond 64 bits is an error.
+Nulls, other rows that take no part, and repeated rows: see vectors. With fewer than k
+candidates all are returned. An inner product beyond 64 bits is an error.
+
+New rows are scored by gathering them; once they are over a quarter of the queries' rows
+in a round, one matrix product gives the same scores for less.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from pagewright.llm import vectors
 FIRST_ROUND = 8
 #: Queries that go through a block together.
 GROUP = 256
+#: Share of new rows in a round above which a matrix product scores them.
+DENSE = 0.25
 
 
 def scaled(x: np.ndarray, scale: float) -> np.ndarray:
@@ -61,7 +65,7 @@ def threshold_search(queries: np.ndarray, own: np.ndarray, x: np.ndarray, ids: n
         if not exact:
             got = [sum(int(a) * int(b) for a, b in zip(queries[active[i]], x[j], strict=True)) for i, j in zip(r, c, strict=True)]
             scores[active[r], c] = got
-        elif len(r) * 4 > fresh.size:
+        elif len(r) > DENSE * fresh.size:
             scores[active[r], c] = (queries[active] @ x.T)[r, c]
         else:
             for at in range(0, len(r), 65536):
@@ -86,13 +90,11 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 10, scale: float = 1024.0,
     every = vectors.usable(rows, vec_id, vector)
 
     def build(data: np.ndarray) -> list[bytes]:
-        return [np.argsort(scaled(data, scale), axis=0, kind="stable").astype(np.int32).tobytes()]
+        return [np.argsort(scaled(data, scale), axis=0, kind="stable").astype(np.uint16).tobytes()]
 
-    def find_integers(queries, q_ids, block, state):
-        ids = np.frombuffer(block["ids"], np.int64)
-        x = scaled(np.frombuffer(block["data"]).reshape(len(ids), -1), scale)
-        lists = np.frombuffer(block["lists"], np.int32).reshape(x.shape)
-        q = scaled(queries, scale)
+    def find(queries, q_ids, block, state):
+        ids, x, q = block["ids"], scaled(block["x"], scale), scaled(queries, scale)
+        lists = np.frombuffer(block["lists"], np.uint16).reshape(x.shape)
         kth = state.setdefault("kth", np.full(len(q), -np.inf))
         out = []
         for at in range(0, len(q), GROUP):
@@ -106,5 +108,4 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 10, scale: float = 1024.0,
             out.append((r[good] + at, ids[c[good]], np.array([int(v) for v in scores[r[good], c[good]]], np.int64)))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
-    packed = vectors.blocks(every, "lists", build)
-    return vectors.search(every, every.where(is_query), packed, k, find_integers)
+    return vectors.search(every, is_query, k, "lists", build, find, "long")

@@ -86,8 +86,64 @@ def test_few_or_no_rows(spark, frame):
 
 def test_estimates_are_near():
     rng = np.random.default_rng(3)
-    x, q = rng.standard_normal((2000, 64)), rng.standard_normal((20, 64))
-    packed, correction = ann.codes(x)
-    guess, error = ann.estimates(q, packed, correction)
-    true = (q / ann.lengths(q)[:, None]) @ (x / ann.lengths(x)[:, None]).T
-    assert packed.shape == (2000, 8) and (np.abs(guess - true) <= error).mean() > 0.97
+    for dim in (64, 100):
+        x, q = rng.standard_normal((2000, dim)), rng.standard_normal((20, dim))
+        code, correction = ann.codes(x)
+        guess, error = ann.estimates(ann.planes(q), slice(None), code, correction)
+        true = (q / ann.lengths(q)[:, None]) @ (x / ann.lengths(x)[:, None]).T
+        assert code.shape == (2000, -(-dim // 64)) and (np.abs(guess - true) <= error).mean() > 0.94
+
+
+def test_bit_planes_give_the_products_of_rounded_queries():
+    rng = np.random.default_rng(4)
+    x, q = rng.standard_normal((50, 70)), rng.standard_normal((6, 70))
+    code, correction = ann.codes(x)
+    made = ann.planes(q)
+    turned = (q / ann.lengths(q)[:, None]) @ ann.rotation(70)
+    rounded = made.low[:, None] + made.step[:, None] * np.rint((turned - made.low[:, None]) / made.step[:, None])
+    signs = np.where((x / ann.lengths(x)[:, None]) @ ann.rotation(70) > 0, 1, -1)
+    naive = (2 * (rounded @ (signs > 0).T) - turned.sum(1, keepdims=True)) / np.sqrt(70) / correction
+    assert np.allclose(ann.estimates(made, slice(None), code, correction)[0], naive)
+
+
+@pytest.mark.parametrize("search", [topk.top_k, ann.nearest])
+def test_repeated_query_rows_have_lists_of_their_own(spark, search):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((60, 16)).astype(np.float32)
+    ids = [*range(1, 58), 100, 100, 100]
+    x[58] = x[57]  # one row twice, and one more vector under the same id
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], KIND).withColumn("id", F.lit("clash"))
+    made = [tuple(r) for r in search(rows.repartition(3), F.col("id") == 100, 4).collect()]
+    wide = np.floor(1024 * x.astype(float)) if search is topk.top_k else x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    expected = []
+    for q in (57, 58, 59):
+        score = wide[:57] @ wide[q]
+        expected += [(100, r, ids[j]) for r, j in enumerate(np.argsort(-score)[:4], 1)]
+    assert sorted(r[:3] for r in made) == sorted(expected)
+
+
+def test_repeated_candidates_count_each(spark):
+    rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.5]), (1, [1.0, 0.5]), (1, [0.5, 0.5]), (2, [0.1, 0.0])], KIND)
+    assert [r.vec_id for r in topk.top_k(rows, F.col("id") == 0, 10).orderBy("rank").collect()] == [1, 1, 1, 2]
+
+
+def test_ordered_ids_fall_on_many_shelves(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 64)
+    rows = spark.range(4096).select(F.col("id"), F.array(F.lit(1.0)).alias("v")).coalesce(2)
+    packed = vectors.blocks(rows.select(F.lit(0).alias("chunk"), "id", "v"))
+    shelf = F.pmod(F.xxhash64("longs"), F.lit(16))
+    assert packed.count() == 64 and packed.select(shelf).distinct().count() >= 12
+
+
+@pytest.mark.parametrize("dense", [0.0, 1.0])
+def test_both_ways_of_scoring_agree(monkeypatch, dense):
+    monkeypatch.setattr(topk, "DENSE", dense)
+    rng = np.random.default_rng(6)
+    x = np.floor(50 * rng.standard_normal((500, 8)))
+    q = np.floor(50 * rng.standard_normal((7, 8)))
+    lists = np.argsort(x, axis=0, kind="stable")
+    scores, _ = topk.threshold_search(q, np.arange(7), x, np.arange(500), lists, 5, np.full(7, -np.inf))
+    for i in range(7):
+        true = x @ q[i]
+        true[i] = -np.inf
+        assert np.array_equal(np.sort(scores[i])[-5:], np.sort(true)[-5:])
