@@ -1,10 +1,10 @@
 """The same results in SQL for DuckDB, from the tables alone."""
 
-#: For mixing.mix with its default parameters.
+#: For mixing.mix with its default parameters. Every row by itself, whether it is repeated or not.
 MIXING = r"""
 with sized as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-         (('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':mix'), 1, 12))::bigint + 0.5::double) / 281474976710656::double as u
+  select row_number() over () as row_no, doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
+         (('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':mix:' || md5(coalesce(text, ''))), 1, 12))::bigint + 0.5::double) / 281474976710656::double as u
   from documents
 ), sources as (
   select source, sum(size)::bigint as source_size,
@@ -20,30 +20,39 @@ with sized as (
   select level from levels where stop / weight > level order by stop / weight, source nulls last limit 1
 ), targets as (
   select source, source_size, case when stop / weight > level then weight * (select level from shared) else stop end as target from levels
-), ratios as (
-  select *, case when source_size > 0 then floor(target / source_size) else 0.0::double end as certain,
-         case when source_size > 0 then target / source_size - floor(target / source_size) else 0.0::double end as p
-  from targets
+), classes as (
+  select source, length(bin(size)) - 1 as k, sum(size)::bigint as words from sized group by 1, 2
+), class_levels as (
+  select c.source, c.k, c.words, t.source_size, t.target, 1.0::double / (4.0::double + c.k) as per,
+         (t.target - 3.0::double * coalesce(sum(c.words) over (partition by c.source order by c.k rows between unbounded preceding and 1 preceding), 0)::double)
+         / nullif(sum(c.words / (4.0::double + c.k)) over (partition by c.source order by c.k rows between current row and unbounded following), 0.0::double) as level
+  from classes c join targets t on c.source is not distinct from t.source
+), first_free as (
+  select source, arg_min(level, k) as level from class_levels where level * per < 3.0::double group by source
+), copies as (
+  select c.source, c.k, c.words, c.source_size, c.target,
+         case when c.source_size > 0 then least(coalesce(f.level * c.per, 3.0::double), 3.0::double) else 0.0::double end as e
+  from class_levels c left join first_free f on c.source is not distinct from f.source
 ), wants as (
-  select *, target - certain * source_size as wanted from ratios
+  select *, e - floor(e) as p, target - sum(floor(e) * words) over (partition by source) as wanted from copies
 ), ranked as (
-  select d.doc_id, d.source, d.size, d.u, w.source_size, w.target, w.certain, w.p, w.wanted,
-         w.p > 0 and d.size > 0 and coalesce(sum(d.size) over (partition by d.source
-           order by case when w.p > 0 then (d.u / (1 - d.u)) / (w.p / (1 - w.p)) else 0.0::double end, d.u, d.doc_id, d.size
-           rows between unbounded preceding and 1 preceding), 0)::double + d.size / 2.0::double < w.wanted as drawn
-  from sized d join wants w on d.source is not distinct from w.source
+  select d.row_no, d.doc_id, d.source, d.size, d.u, w.source_size, w.target, floor(w.e) as certain, w.wanted, w.p > 0 and d.size > 0 as able,
+         case when w.p > 0 and d.size > 0 then (d.u / (1 - d.u)) / (w.p / (1 - w.p)) end as ratio
+  from sized d join wants w on d.source is not distinct from w.source and length(bin(d.size)) - 1 = w.k
+), sampled as (
+  select *, able and coalesce(sum(size) over (partition by source, able order by ratio, u, doc_id, row_no rows between unbounded preceding and 1 preceding), 0)::double
+            + size / 2.0::double < wanted as drawn
+  from ranked
 ), gaps as (
-  select *, wanted - sum(case when drawn then size else 0 end) over (partition by source)::double as gap from ranked
-), able as (
+  select *, wanted - sum(case when drawn then size else 0 end) over (partition by source)::double as gap from sampled
+), rests as (
   select *, abs(gap - case when drawn then -size else size end) as rest from gaps
 ), best as (
-  select source, doc_id, size from (
-    select source, doc_id, size, row_number() over (partition by source order by rest, u, doc_id, size) as rn
-    from able where p > 0 and size > 0 and rest < abs(gap)) where rn = 1
+  select row_no from (select row_no, row_number() over (partition by source order by rest, u, doc_id, row_no) as place from rests where able and rest < abs(gap)) where place = 1
 )
 select r.doc_id, r.size, r.source_size, r.target,
-       ((r.certain::bigint + case when r.drawn <> (b.size is not null) then 1 else 0 end) * r.size)::bigint as taken
-from ranked r left join best b on r.source is not distinct from b.source and r.doc_id is not distinct from b.doc_id and r.size = b.size
+       ((r.certain::bigint + case when r.drawn <> (b.row_no is not null) then 1 else 0 end) * r.size)::bigint as taken
+from sampled r left join best b on r.row_no = b.row_no
 """
 
 

@@ -191,11 +191,79 @@ def test_mixing(spark):
         assert x[0].target <= 3 * x[0].source_size + 1e-9
     again = mixing.mix(docs.repartition(5)).collect()
     assert sorted(map(str, made)) == sorted(map(str, again))
-    copies = mixing.repeated(docs, mixing.mix(docs))
+    copies = mixing.repeated(docs, mixing.allot(docs))
     assert copies.columns == docs.columns and copies.count() == sum(r.copies for r in made)
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def naive_mix(rows, most=3.0):
+    """(size, taken) of rows (doc_id, source, text) of one source that is its own target."""
+    total = sum(size for size, _ in rows)
+    classes = sorted({size.bit_length() - 1 for size, _ in rows})
+    words_of = {k: sum(size for size, _ in rows if size.bit_length() - 1 == k) for k in classes}
+    for i, first in enumerate(classes):
+        level = (total - most * sum(words_of[k] for k in classes[:i])) / sum(words_of[k] / (4 + k) for k in classes[i:])
+        if level / (4 + first) < most:
+            break
+    expected = [min(most, level / (4 + size.bit_length() - 1)) for size, _ in rows]
+    wanted = total - sum(int(e) * size for e, (size, _) in zip(expected, rows, strict=True))
+    p = [e - int(e) for e in expected]
+    order = sorted((i for i in range(len(rows)) if p[i] > 0), key=lambda i: (rows[i][1] / (1 - rows[i][1]) / (p[i] / (1 - p[i])), rows[i][1], i))
+    before, drawn = 0, set()
+    for i in order:
+        if before + rows[i][0] / 2 < wanted:
+            drawn.add(i)
+        before += rows[i][0]
+    gap = wanted - sum(rows[i][0] for i in drawn)
+    rest = [(abs(gap + rows[i][0] if i in drawn else gap - rows[i][0]), rows[i][1], i) for i in order]
+    if rest and min(rest)[0] < abs(gap):
+        drawn ^= {min(rest)[2]}
+    return sorted((size, (int(e) + (i in drawn)) * size) for i, (e, (size, _)) in enumerate(zip(expected, rows, strict=True)))
+
+
+def test_mixing_by_brute_force_with_unequal_odds(spark):
+    rng = random.Random(17)
+    rows = [(i, "a", words(rng, rng.choice([3, 10, 40, 160, 600]))) for i in range(200)] + [(7, "a", words(rng, 50))] * 30 + [(None, "a", words(rng, 25)) for _ in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    drawn = lambda i, t: (int(hashlib.md5(f"{'' if i is None else i}:mix:{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+    made = sorted((r.size, r.taken) for r in mixing.mix(docs).collect())
+    assert made == naive_mix([(len(t.split()), drawn(i, t)) for i, _, t in rows])
+    odds = mixing.allot(docs).select("size", "certain").distinct().collect()
+    assert len({r.certain for r in odds}) > 1  # small documents are taken more often
+
+
+@pytest.mark.parametrize("piece", [4096, 7])
+def test_mixing_of_repeated_rows_and_null_ids(spark, monkeypatch, piece):
+    monkeypatch.setattr(mixing, "PIECE", piece)
+    rng = random.Random(18)
+    rows = [(None, s, words(rng, 50)) for s in "abc" for _ in range(200)]  # ids are all null
+    rows += [(5, s, words(random.Random(s), 50)) for s in "abc" for _ in range(100)]  # a third of rows alike
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("SIZE", F.lit("clash"))
+    made = mixing.mix(docs).collect()
+    assert len(made) == len(rows)
+    for s in "abc":
+        mine = [r for r in made if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 25 and all(r.taken <= 3 * r.size for r in mine)
+    copies = mixing.repeated(docs, mixing.allot(docs))
+    assert copies.columns == docs.columns and copies.count() == sum(r.copies for r in made)
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(19)
+    sizes = [(f"s{i:03}", rng.choice([1, 5, 50, 1000])) for i in range(150)] + [(None, 70)]
+    made = {r.source: r for r in mixing.source_targets(spark.createDataFrame(sizes, "source string, words long").repartition(7), (5.0, 2.0, 1.0), 1.0, 3.0).collect()}
+    weight = {s: (5.0, 2.0, 1.0)[i % 3] for i, s in enumerate([*sorted(s for s, _ in sizes if s), None])}
+    target, free = {}, dict(sizes)
+    while True:  # pour by weight into what has room
+        level = (sum(n for _, n in sizes) - sum(target.values())) / sum(weight[s] for s in free)
+        full = [s for s, n in free.items() if 3 * n <= weight[s] * level]
+        target |= {s: 3.0 * free.pop(s) for s in full}
+        if not full:
+            break
+    target |= {s: weight[s] * level for s in free}
+    assert {s: r.target for s, r in made.items()} == pytest.approx(target)
+
+
 def spans(spark, text):
     row = secrets.scan(spark.createDataFrame([(1, text)], DOC).withColumn("hex", F.lit("clash"))).first()
     return {k: [(x.start, x.end) for x in row[k]] for k in ("assign", "access", "hex", "linked")}
