@@ -55,7 +55,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as the mix takes them: a row for each copy."""
-    return mixing.repeated(docs.select(*COLUMNS), mixing.mix(docs))
+    return mixing.repeated(docs.select(*COLUMNS), mixing.allot(docs))
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
