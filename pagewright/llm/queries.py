@@ -123,6 +123,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_repeats": sql.REPEATS,
     "op4_mixing": sql.MIXING,
     "op5_neardup": sql.NEAR_DUPLICATES,
-    "op6_secrets": sql.secrets(),
+    "op6_secrets": sql.SECRETS,
     "op8_topk": sql.TOPK,
 }

@@ -56,48 +56,59 @@ from sampled r left join best b on r.row_no = b.row_no
 """
 
 
-def secrets() -> str:
-    """For secrets.scan; patterns are the operator's own, which both engines read alike."""
-    from pagewright.llm import secrets as s
+#: For secrets.scan, with patterns and scope of its own.
+_ASSIGN_HEAD = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']? *[:=] *["']?"""
+_PARTS = {
+    1: _ASSIGN_HEAD + "[A-Za-z0-9+/_.=-]+",
+    2: "AKIA[A-Z0-9]+",
+    3: "[0-9a-f]+",
+    4: "(user|login|client_id|account) *[:=] *[A-Za-z0-9_.@-]{3,}|[A-Z0-9]{16,}",
+    5: "[A-Za-z0-9+/_-]{20,}",
+    6: "[a-z][a-z0-9+]{1,9}://[A-Za-z0-9.-]+(:[0-9]+)?",
+}
 
-    def spans(kind: int, pattern: str) -> str:
-        found, gaps = f"regexp_extract_all(t, $p${pattern}$p$, 0)", f"string_split_regex(t, $p${pattern}$p$)"
-        lengths = "coalesce(list_sum(list_transform({}, lambda w: length(w))), 0)"
-        start = f"({lengths.format('g[1:i]')} + {lengths.format('f[1:i-1]')})::int"
-        return f"(select coalesce(list({{'s': {start}, 'k': {kind}, 'e': ({start} + length(f[i]))::int, 'w': f[i]}} order by i), []) from (select {found} as f, {gaps} as g) q, unnest(range(1, len(f) + 1)) u(i))"
 
-    name = "['assign', 'access', 'hex', 'weak_id', 'weak_secret', 'endpoint']"
+def _found(kind: int) -> str:
+    found, gaps = f"regexp_extract_all(t, $p${_PARTS[kind]}$p$, 0)", f"string_split_regex(t, $p${_PARTS[kind]}$p$)"
+    lengths = "coalesce(list_sum(list_transform({}, lambda w: length(w))), 0)"
+    start = f"({lengths.format('g[1:i]')} + {lengths.format('f[1:i-1]')})::int"
+    return f"(select coalesce(list({{'s': {start}, 'k': {kind}, 'e': ({start} + length(f[i]))::int, 'w': f[i]}} order by i), []) from (select {found} as f, {gaps} as g) q, unnest(range(1, len(f) + 1)) u(i))"
+
+
+def _apart(parts: str, others: str) -> str:
+    return f"list_filter({parts}, lambda x: len(list_filter({others}, lambda y: y.s < x.e and y.e > x.s)) = 0)"
 
-    def apart(parts: str, others: str) -> str:
-        return f"list_filter({parts}, lambda x: len(list_filter({others}, lambda y: y.s < x.e and y.e > x.s)) = 0)"
 
-    def near(parts: str, others: str) -> str:
-        return f"list_filter({parts}, lambda x: len(list_filter({others}, lambda y: y.s <= x.e + {s.SCOPE} and y.e >= x.s - {s.SCOPE})) > 0)"
+def _near(parts: str, others: str) -> str:
+    return f"list_filter({parts}, lambda x: len(list_filter({others}, lambda y: y.s <= x.e + 200 and y.e >= x.s - 200)) > 0)"
 
-    def mixed(needed: tuple[str, ...]) -> str:
-        return " and ".join(f"regexp_matches(x.w, '{p}')" for p in needed)
 
-    def spelt(parts: str) -> str:
-        return f"coalesce(list_aggregate(list_transform(list_sort(list_transform({parts}, lambda x: {{'s': x.s, 'k': x.k, 'e': x.e}})), lambda x: {name}[x.k] || ':' || x.s || ':' || x.e), 'string_agg', ','), '')"
+def _spelt(parts: str) -> str:
+    name = "['assign', 'access', 'hex', 'weak_id', 'weak_secret', 'endpoint']"
+    return f"coalesce(list_aggregate(list_transform(list_sort(list_transform({parts}, lambda x: {{'s': x.s, 'k': x.k, 'e': x.e}})), lambda x: {name}[x.k] || ':' || x.s || ':' || x.e), 'string_agg', ','), '')"
+
 
-    return f"""
+SECRETS = f"""
 with texts as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
 found as (
-  select doc_id, {spans(1, s.ASSIGN)} as a0, {spans(2, s.ACCESS)} as c, {spans(3, s.HEX)} as h,
-         {spans(4, s.WEAK_ID)} as i0, {spans(5, s.WEAK_SECRET)} as w0, {spans(6, s.ENDPOINT)} as p
+  select doc_id, {_found(1)} as a0, {_found(2)} as c0, {_found(3)} as h0, {_found(4)} as i0, {_found(5)} as w0, {_found(6)} as p0
   from texts
 ), kept as (
-  select *, list_filter(a0, lambda x: length(regexp_replace(x.w, $p${s.BEFORE_VALUE}$p$, '')) >= {s.VALUE}) as a from found
+  select *, list_filter(a0, lambda x: length(regexp_replace(x.w, $p$^{_ASSIGN_HEAD}$p$, '')) >= 8) as a,
+         list_filter(c0, lambda x: length(x.w) >= 16) as c, list_filter(h0, lambda x: length(x.w) >= 32) as h from found
 ), bases as (
   select *, a || c || h as base from kept
+), ends as (
+  select *, {_apart("p0", "base")} as p,
+         list_filter({_apart("w0", "base")}, lambda x: regexp_matches(x.w, '[a-z]') and regexp_matches(x.w, '[A-Z]') and regexp_matches(x.w, '[0-9]')) as w1 from bases
 ), weak as (
-  select *, {apart(f"list_filter(w0, lambda x: {mixed(s.MIXED_SECRET)})", "base")} as w1 from bases
+  select *, {_apart("w1", "p")} as w from ends
 ), ids as (
-  select *, {apart(f"list_filter(i0, lambda x: ({mixed(s.MIXED_ID)}) or regexp_matches(x.w, '[:=]'))", "(base || w1)")} as i, {apart("w1", "p")} as w from weak
+  select *, list_filter({_apart("i0", "(base || p || w)")}, lambda x: (regexp_matches(x.w, '[A-Z]') and regexp_matches(x.w, '[0-9]')) or regexp_matches(x.w, '[:=]')) as i from weak
 )
 select doc_id, len(a)::bigint as n_assign, len(c)::bigint as n_access, len(h)::bigint as n_hex,
-       sha256({spelt("base")}) as base_sha256,
-       {spelt("(base || " + near("i", "(w || a || h)") + " || " + near("w", "(i || p || c)") + " || " + near("p", "(w || a || h)") + ")")} as spans
+       sha256({_spelt("base")}) as base_sha256,
+       {_spelt("(base || " + _near("i", "(w || a || h)") + " || " + _near("w", "(i || p || c)") + " || " + _near("p", "(w || a || h)") + ")")} as spans
 from ids
 """
 

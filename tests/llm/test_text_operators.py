@@ -295,6 +295,45 @@ def test_weak_parts_need_each_other(spark):
     assert [text[a:b] for a, b in spans(spark, text)["linked"]] == ["user = bob", host]
 
 
+@pytest.mark.parametrize("width", [64, 2])
+def test_passes_over_arrays_by_brute_force(spark, monkeypatch, width):
+    monkeypatch.setattr(secrets, "WIDTH", width)
+    rng = random.Random(20)
+    values = [[rng.randrange(1000) for _ in range(n)] for n in (0, 1, 2, 5, 63, 64, 65, 200)]
+    rows = spark.createDataFrame([(v,) for v in values], "v array<int>")
+    made = rows.select(secrets.running(F.col("v"), lambda a, b: a + b).alias("s"), secrets.running(F.col("v"), F.greatest).alias("m"), "v").collect()
+    for r in made:
+        assert r.s == [sum(r.v[: i + 1]) for i in range(len(r.v))] and r.m == [max(r.v[: i + 1]) for i in range(len(r.v))]
+    parts = "array<struct<start:int,kind:int,end:int,whole:string>>"
+    spans = lambda k: [(a, k, a + rng.randint(1, 40), "w") for a in sorted(rng.randrange(9000) for _ in range(rng.choice([0, 1, 30, 90])))]
+    cases = [(spans(5), spans(6)) for _ in range(12)]
+    made = spark.createDataFrame(cases, f"x {parts}, y {parts}").select("x", "y", secrets.near(F.col("x"), F.col("y")).alias("near"), secrets.apart(F.col("x"), F.col("y")).alias("apart")).collect()
+    for r in made:
+        assert sorted(r.near) == sorted(x for x in r.x if any(y.start <= x.end + secrets.SCOPE and y.end >= x.start - secrets.SCOPE for y in r.y))
+        assert sorted(r.apart) == sorted(x for x in r.x if not any(y.start < x.end and y.end > x.start for y in r.y))
+
+
+def test_an_identifier_inside_an_endpoint_is_not_reported_twice(spark):
+    text = "account=https://vault.example.com password = hunter2222"
+    assert [text[a:b] for a, b in spans(spark, text)["linked"]] == ["https://vault.example.com"]
+
+
+def test_very_long_texts_take_linear_time(spark):
+    import time
+
+    line = "see https://host-{}.example.com/a and user = name{} or aB3" + "xY9" * 8 + "\n"
+    text = "".join(line.format(i, i) for i in range(200_000))  # 20 MB and 600,000 parts
+    rows = spark.createDataFrame([(1, text), (2, text[:2_000_000])], DOC)
+    rows.write.parquet(path := fresh_path(spark, "long"))
+    rows, took = spark.read.parquet(path), {}
+    for i, parts in ((2, 60_000), (1, 600_000)):
+        at = time.time()
+        assert secrets.scan(rows.where(F.col("doc_id") == i)).select(F.size("linked")).first()[0] >= parts
+        took[i] = time.time() - at
+    assert took[1] < 20 * max(took[2], 1)
+    assert "aB3xY9" not in secrets.redact(rows.where("doc_id = 2")).select("text").first()[0]
+
+
 def test_redact(spark):
     text = 'x token = "' + "0f" * 20 + '" y'
     rows = spark.createDataFrame([(1, text), (2, None), (3, "clean")], DOC)
