@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagewright.llm.components import components
-from pagewright.llm.shared import append_columns, checkpointed, written
+from pagewright.llm.shared import SPREAD, append_columns, bounds, checkpointed, mixed, runs, written
 
 COORDINATES, LEAF, BRANCHES, TREES, DEPTH = 128, 256, 2, 5, 4
 #: Sets that one task links, at most; pivots that all parts of a larger group share.
@@ -55,17 +55,9 @@ BROADCAST_IDS = 1_000_000
 NEAR, AROUND = 0.80, 0.38
 CACHE_ENTRIES = 400_000
 
-_K = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
 class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -86,7 +78,7 @@ def shingles(text: str | None, words: int, cache: dict) -> np.ndarray:
     width = min(words, n)
     made = h[: n - width + 1]
     for i in range(1, width):
-        made = mixed(made * _K + h[i : n - width + 1 + i])
+        made = mixed(made * SPREAD + h[i : n - width + 1 + i])
     return np.unique(mixed(made + _U(width)))
 
 
@@ -149,54 +141,30 @@ def _branch(rows: DataFrame, root: bool) -> DataFrame:
             else:
                 nodes = [batch.column(batch.schema.get_field_index("node")).to_numpy().view(np.uint64)]
             for node in nodes:
-                first = mixed(node * _K + _U(1)) % _U(COORDINATES)
-                step = mixed(node * _K + _U(2)) % _U(COORDINATES // BRANCHES) + _U(1)
+                first = mixed(node * SPREAD + _U(1)) % _U(COORDINATES)
+                step = mixed(node * SPREAD + _U(2)) % _U(COORDINATES // BRANCHES) + _U(1)
                 for j in range(BRANCHES):
                     c = ((first + _U(j) * step) % _U(COORDINATES)).astype(np.int64)
                     value = values[np.arange(n), c].astype(np.uint64)
-                    child = mixed(mixed(node * _K + c.astype(np.uint64)) ^ (value * _K))
+                    child = mixed(mixed(node * SPREAD + c.astype(np.uint64)) ^ (value * SPREAD))
                     yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(ids)], names=["node", "id"])
 
     return rows.mapInArrow(run, "node long, id long")
 
 
-def _runs(batches, key: str):
-    """Batches of whole runs of equal keys, in order, from batches sorted by key."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not len(batch):
-            continue
-        keys = batch.column(batch.schema.get_field_index(key)).to_numpy()
-        cut = int(np.searchsorted(keys, keys[-1]))
-        if cut:
-            yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks().to_batches()[0]
-            held = []
-        elif held and held[0].column(held[0].schema.get_field_index(key))[0].as_py() != keys[-1]:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held = []
-        held.append(batch.slice(cut))
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
-def _bounds(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return starts, np.append(starts[1:], len(keys))
-
-
 def _compare_leaves(rows: DataFrame, per: int) -> DataFrame:
     """Links (a, b) that connect the candidates of each node, from rows (node, id, n, brief)."""
     share = per / 100
     least = int(COORDINATES * share - SLACK * np.sqrt(COORDINATES * share * (1 - share)))
 
     def run(batches):
-        for batch in _runs(batches, "node"):
+        for batch in runs(batches, "node"):
             col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             ids, n = col["id"].to_numpy(), col["n"].to_numpy()
             values = np.frombuffer(b"".join(col["brief"].to_pylist()), np.uint8).reshape(len(ids), COORDINATES)
             label = np.arange(len(ids))
             pairs_a, pairs_b = [], []
-            for s, e in zip(*_bounds(col["node"].to_numpy()), strict=True):
+            for s, e in zip(*bounds(col["node"].to_numpy()), strict=True):
                 for i in range(s, e - 1):  # one row against the rest of its node
                     j = np.arange(i + 1, e)
                     j = j[(np.minimum(n[j], n[i]) * 100 >= np.maximum(n[j], n[i]) * per)]
@@ -255,10 +223,10 @@ def _link_parts(rows: DataFrame, per: int) -> DataFrame:
     """Links (a, b) that connect the components of each part, from rows (part, id, shingles)."""
 
     def run(batches):
-        for batch in _runs(batches, "part"):
+        for batch in runs(batches, "part"):
             col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             ids = col["id"].to_numpy()
-            for s, e in zip(*_bounds(col["part"].to_numpy()), strict=True):
+            for s, e in zip(*bounds(col["part"].to_numpy()), strict=True):
                 if e - s < 2:
                     continue
                 sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in col["shingles"].slice(s, e - s)]

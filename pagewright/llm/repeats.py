@@ -4,27 +4,36 @@ Every string of WIDTH bytes that also starts earlier in the corpus (in a documen
 smaller id, or earlier in the same one) is found exactly, and the bytes it covers are
 removed. No window of the corpus is shuffled, nor any text sorted as a whole:
 
-1. Parse. A rolling hash of GRAM bytes triggers phrases: the trigger of a window of
-   WIDTH bytes is the leftmost of its least hashes, so it depends on the window's bytes
-   alone. Consecutive windows of one trigger are a phrase; its string reaches from its
-   first window to the end of its last. Phrases overlap by WIDTH - 1 bytes, so a window
-   lies in one phrase whatever follows, and equal windows have equal triggers.
-2. Dictionary. Equal phrases (trigger and string hash, 128 bits) are one entry. All
-   windows of any but the first occurrence start earlier: those are done. What is left
-   are first occurrences, and a first occurrence whose trigger no other entry has holds
-   only windows that are new.
-3. Suffix order. Entries that share a trigger with others are sorted by suffix, cut at
-   WIDTH bytes, and equal neighbours are in the parse's order (document, start): all but
-   the first of them start earlier. Only those entries' strings travel. Triggers with
-   more than CROWD entries, where one task should not sort them all, are grouped by the
-   hashes of their windows instead, which Spark combines before the shuffle.
+1. Parse. A rolling hash of GRAM bytes triggers phrases where it is a multiple of MODULUS.
+   The trigger of a window of WIDTH bytes is the first in it (of a window without any, its
+   least hash), so it depends on the window's bytes alone. Consecutive windows of one
+   trigger start in one phrase, which ends with that trigger; what the last of them reaches
+   beyond it is the phrase's context, the text of the next phrases of the parse as far as
+   any window needs it. Equal windows start as far before equal triggers.
+2. Dictionary. Equal phrases in equal contexts (trigger and string hash, 128 bits; what is
+   equal in both is taken as equal) are one entry. All windows of any but the first
+   occurrence start earlier: those are done. What is left are first occurrences, and a
+   first occurrence whose trigger no other entry has holds only windows that are new.
+3. Suffix arrays. For each trigger, the phrases that end with it are sorted by suffix, and
+   the contexts, which are the suffixes of the parse cut where no window reaches, are
+   sorted too, with the lengths that neighbours have in common. A window is a suffix of a
+   phrase and the beginning of a context, so two numbers, the rank of the one and the rank
+   of the other at the depth that is left to WIDTH, give the windows' order in the corpus.
+   Windows with equal numbers are equal, and all but the first of them, in the parse's
+   order (document, start), start earlier. Only those entries' strings travel.
+
+Triggers at the edge of a passage that very many documents share have an entry for each of
+them. Those that a sample of about SAMPLE documents shows are known from the start: their
+entries are dealt to SPLIT tasks. They, and all others found to have over CROWD entries,
+which one task should not sort, are settled exactly by the hashes of their windows, which
+Spark combines before the shuffle. Either way gives the same result.
 
 Occurrences that a task has itself seen earlier are settled in that task, so a group of
 copies that holds a third of all rows reaches no task as a whole.
 
 Null and empty texts, and those below WIDTH bytes, lose nothing. Rows without an id come
-last, in the order of their texts' hashes; so do rows that share an id but not the text.
-Rows repeated whole count as one place: neither is earlier. Extra columns are not read.
+last, in the order of their texts' 64-bit hashes; so do rows that share an id but not the
+text. Rows repeated whole count as one place: neither is earlier. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -35,10 +44,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagewright.llm.neardup import mixed
-from pagewright.llm.shared import written
+from pagewright.llm.shared import SPREAD, bounds, mixed, runs, written
 
-WIDTH, GRAM, CROWD = 100, 32, 2000
+WIDTH, GRAM, MODULUS = 100, 32, 32
+#: Entries of a trigger that one task sorts at most. Documents of the sample, entries of a trigger in it that show a crowd, and tasks that it is dealt to.
+CROWD, SAMPLE, SHOWN, SPLIT = 500, 2000, 8, 64
 #: Bytes of text parsed at a time; below 2**22, for places share a number with hashes.
 STEP = 1 << 21
 _U = np.uint64
@@ -51,20 +61,21 @@ def _letters() -> np.ndarray:
 
 def grams(data: np.ndarray, letters: np.ndarray) -> np.ndarray:
     """Hashes of the GRAM bytes from each byte on (GRAM is a power of two)."""
-    h, size, factor = letters[data], 1, _U(0x9E3779B97F4A7C15)
+    h, size, factor = letters[data], 1, int(SPREAD)
     while size < GRAM:
-        h = h[:-size] * factor + h[size:]
-        factor, size = factor * factor, size * 2
+        h = h[:-size] * _U(factor) + h[size:]
+        factor, size = factor * factor % 2**64, size * 2
     return mixed(h)
 
 
-def phrases(data: np.ndarray, stops: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows and trigger hash of each phrase of the texts that end at stops."""
-    none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+def phrases(data: np.ndarray, stops: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows, phrase length and trigger hash of each phrase of the texts that end at stops."""
+    none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
     if len(data) < WIDTH:
         return none
     h = grams(data, letters)
-    least = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
+    place = np.arange(len(h), dtype=np.uint64)
+    least = np.where(h % _U(MODULUS) == 0, place, (h | _U(1 << 63)) & ~_PLACE | place)
     span, size = WIDTH - GRAM + 1, 1
     while size * 2 <= span:
         least, size = np.minimum(least[:-size], least[size:]), size * 2
@@ -80,142 +91,191 @@ def phrases(data: np.ndarray, stops: np.ndarray, letters: np.ndarray) -> tuple[n
     trigger = (least[at] & _PLACE).astype(np.int64)
     new = np.concatenate([[True], (trigger[1:] != trigger[:-1]) | (at[1:] != at[:-1] + 1)])
     first = np.flatnonzero(new)
-    return at[first], np.diff(np.append(first, len(at))), h[trigger[first]]
+    return at[first], np.diff(np.append(first, len(at))), trigger[first] + GRAM - at[first], h[trigger[first]]
+
+
+#: Columns that name a row of docs: whether it has no id, the id, the hash of its text.
+ROW = ("z", "d", "t")
+_PARSED = ["gram", "phrase", *ROW, "s", "n", "cut", "known"]
+
+
+def _phrase_hashes(view, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    import xxhash
+
+    digest = xxhash.xxh3_64_intdigest
+    return np.array([digest(view[i:j]) for i, j in zip(at.tolist(), (at + n + WIDTH - 1).tolist(), strict=True)], np.uint64)
 
 
 def _parse(docs: DataFrame) -> DataFrame:
-    """Occurrences (gram, phrase, d, t, s, n, known) of phrases: n windows from byte s of document (d, t).
+    """Occurrences (gram, phrase, z, d, t, s, n, cut, known) of phrases: n windows from byte s of document (z, d, t), the phrase cut bytes long.
 
     Of equal phrases that a step meets, the first comes as it is; the others are known
     not to be the first, and are spread by a gram of no meaning.
     """
 
     def run(batches):
-        import xxhash
-
-        letters, digest = _letters(), xxhash.xxh3_64_intdigest
+        letters = _letters()
 
-        def step(rows: list[tuple[int, int, bytes]]):
-            rows = sorted({(d, t): x for d, t, x in rows}.items())
+        def step(rows: list[tuple[tuple, bytes]]):
+            rows = sorted(dict(rows).items())
             data = b"".join(x for _, x in rows)
             stops = np.cumsum([len(x) for _, x in rows])
-            at, n, gram = phrases(np.frombuffer(data, np.uint8), stops, letters)
+            at, n, cut, gram = phrases(np.frombuffer(data, np.uint8), stops, letters)
             if not len(at):
                 return None
-            view = memoryview(data)
-            phrase = np.array([digest(view[i:j]) for i, j in zip(at.tolist(), (at + n + WIDTH - 1).tolist(), strict=True)], np.uint64)
+            phrase = _phrase_hashes(memoryview(data), at, n)
             doc = np.searchsorted(stops, at, side="right")
-            key = np.array([k for k, _ in rows], np.int64).reshape(-1, 2)[doc]
+            key = np.array([k for k, _ in rows], np.int64).reshape(-1, 3)[doc]
             order = np.lexsort((phrase, gram))
             again = np.zeros(len(at), bool)
             again[order[1:]] = (gram[order[1:]] == gram[order[:-1]]) & (phrase[order[1:]] == phrase[order[:-1]])
             gram = np.where(again, mixed(phrase + at.astype(np.uint64)), gram)
             start = np.concatenate([[0], stops[:-1]])[doc]
-            columns = [gram.view(np.int64), phrase.view(np.int64), key[:, 0], key[:, 1].astype(np.int32), (at - start).astype(np.int32), n.astype(np.int32), again]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "phrase", "d", "t", "s", "n", "known"])
+            return parsed(gram, phrase, key, at - start, n, cut, again)
+
+        def long(key: tuple, x: bytes):
+            """One text of any length, in parts that overlap so that no window is lost; phrases at a cut are two, which share no window."""
+            for first in range(0, len(x) - WIDTH + 1, STEP):
+                part = x[first : first + STEP + WIDTH - 1]
+                at, n, cut, gram = phrases(np.frombuffer(part, np.uint8), np.array([len(part)]), letters)
+                if len(at):
+                    yield parsed(gram, _phrase_hashes(part, at, n), np.repeat(np.array([key], np.int64), len(at), 0), at + first, n, cut, np.zeros(len(at), bool))
 
         held, size = [], 0
         for batch in batches:
-            for d, t, x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for *key, x in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if len(x) < WIDTH:
                     continue
                 if held and size + len(x) > STEP:
                     if (made := step(held)) is not None:
                         yield made
                     held, size = [], 0
-                if len(x) > STEP:  # a text of its own, in parts that overlap so that no window is lost
-                    yield from _long(d, t, x, letters, digest)
+                if len(x) > STEP:
+                    yield from long(tuple(key), x)
                     continue
-                held.append((d, t, x))
+                held.append((tuple(key), x))
                 size += len(x)
         if held and (made := step(held)) is not None:
             yield made
 
-    return docs.select("d", "t", "raw").mapInArrow(run, "gram long, phrase long, d long, t int, s int, n int, known boolean")
+    def parsed(gram, phrase, key, s, n, cut, known):
+        columns = [gram.view(np.int64), phrase.view(np.int64), key[:, 0].astype(np.int8), key[:, 1], key[:, 2], s.astype(np.int32), n.astype(np.int16), cut.astype(np.int16), known]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=_PARSED)
+
+    return docs.select(*ROW, "raw").mapInArrow(run, "gram long, phrase long, z byte, d long, t long, s int, n short, cut short, known boolean")
 
 
-def _long(d: int, t: int, x: bytes, letters: np.ndarray, digest):
-    """As in _parse, for one text of any length; phrases at a cut are two, which share no window."""
-    for cut in range(0, len(x) - WIDTH + 1, STEP):
-        part = x[cut : cut + STEP + WIDTH - 1]
-        at, n, gram = phrases(np.frombuffer(part, np.uint8), np.array([len(part)]), letters)
-        phrase = np.array([digest(part[i:j]) for i, j in zip(at.tolist(), (at + n + WIDTH - 1).tolist(), strict=True)], np.uint64)
-        m = len(at)
-        columns = [gram.view(np.int64), phrase.view(np.int64), np.full(m, d, np.int64), np.full(m, t, np.int32), (at + cut).astype(np.int32), n.astype(np.int32), np.zeros(m, bool)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "phrase", "d", "t", "s", "n", "known"])
+_ENTRY = (pa.int64(), pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.binary())
 
 
 def _strings(texts: DataFrame) -> DataFrame:
-    """Dictionary entries (gram, d, t, s, bytes) of rows (d, t, raw, open: entries to sort)."""
+    """Dictionary entries (gram, z, d, t, s, cut, bytes) of rows (z, d, t, raw, open: entries to sort)."""
+
+    def entries(out: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, _ENTRY, strict=True)], names=["gram", *ROW, "s", "cut", "bytes"])
 
     def run(batches):
         for batch in batches:
-            out = [[], [], [], [], []]
-            for d, t, raw, open_ in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            out = [[] for _ in _ENTRY]
+            for *key, raw, open_ in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 for x in open_ or ():
-                    for c, v in zip(out, (x["gram"], d, t, x["s"], raw[x["s"] : x["s"] + x["n"] + WIDTH - 1]), strict=True):
+                    for c, v in zip(out, (x["gram"], *key, x["s"], x["cut"], raw[x["s"] : x["s"] + x["n"] + WIDTH - 1]), strict=True):
                         c.append(v)
                 if len(out[0]) > 20000:
-                    yield _entries(out)
-                    out = [[], [], [], [], []]
-            yield _entries(out)
+                    yield entries(out)
+                    out = [[] for _ in _ENTRY]
+            yield entries(out)
+
+    return texts.select(*ROW, "raw", "open").mapInArrow(run, "gram long, z byte, d long, t long, s int, cut short, bytes binary")
 
-    return texts.select("d", "t", "raw", "open").mapInArrow(run, "gram long, d long, t int, s int, bytes binary")
 
+def _fixed(strings: list[bytes], group: np.ndarray, width: int) -> np.ndarray:
+    """Strings behind the number of their group, filled up with zeros to one width."""
+    out = np.zeros((len(strings), 8 + width), np.uint8)
+    out[:, :8] = group.astype(">u8").view(np.uint8).reshape(-1, 8)
+    sizes = np.array([len(x) for x in strings])
+    inside = np.arange(width) < sizes[:, None]
+    out[:, 8:][inside] = np.frombuffer(b"".join(strings), np.uint8)
+    return out
 
-def _entries(out: list[list]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["gram", "d", "t", "s", "bytes"])
 
+def suffix_ranks(dictionary: list[bytes], group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array of a dictionary as dense ranks, of all suffixes that reach over the trigger, and where each entry's begin.
 
-def suffixes(entries: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All suffixes of WIDTH bytes and more, cut at WIDTH: as an array of strings, with entry and place of each."""
-    data = np.frombuffer(b"".join(entries), np.uint8)
-    sizes = np.array([len(x) for x in entries])
-    n = sizes - WIDTH + 1
+    Entries end with their trigger and are WIDTH bytes long at most. Equal ranks: equal
+    groups and suffixes.
+    """
+    sizes = np.array([len(x) for x in dictionary])
+    n = sizes - GRAM + 1
+    begin = np.cumsum(n) - n
+    place = np.arange(n.sum()) - np.repeat(begin, n)
+    data = np.concatenate([_fixed(dictionary, group, WIDTH)[:, 8:], np.zeros((len(dictionary), WIDTH), np.uint8)], axis=1)
+    entry = np.repeat(np.arange(len(dictionary)), n)
+    named = np.empty((len(entry), 9 + WIDTH), np.uint8)
+    named[:, :8] = group[entry].astype(">u8").view(np.uint8).reshape(-1, 8)
+    named[:, 8:-1] = np.lib.stride_tricks.sliding_window_view(data, WIDTH, axis=1)[entry, place]
+    named[:, -1] = sizes[entry] - place
+    text = named.view(f"V{9 + WIDTH}")[:, 0]
+    order = np.argsort(text, kind="stable")
+    rank = np.empty(len(text), np.int64)
+    rank[order] = np.cumsum(np.concatenate([[0], text[order[1:]] != text[order[:-1]]]))
+    return rank, begin
+
+
+def context_ranks(contexts: list[bytes], group: np.ndarray) -> np.ndarray:
+    """For each context and depth, a number that those have in common which agree so far (contexts by depths 0 to WIDTH - GRAM)."""
+    fixed = _fixed(contexts, group, WIDTH - GRAM)
+    order = np.argsort(fixed.view(f"V{fixed.shape[1]}")[:, 0], kind="stable")
+    differ = fixed[order[1:]] != fixed[order[:-1]]
+    common = np.where(differ.any(1), differ.argmax(1), fixed.shape[1]) - 8  # negative: another group
+    breaks = common[:, None] < np.arange(WIDTH - GRAM + 1)
+    out = np.empty((len(contexts), WIDTH - GRAM + 1), np.int64)
+    out[order] = np.concatenate([np.zeros((1, WIDTH - GRAM + 1), np.int64), np.cumsum(breaks, axis=0)])
+    return out
+
+
+def later_windows(entries: list[bytes], cuts: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entry and place of each window of the entries that an entry before it, or it itself, has further left."""
+    numbers: dict[tuple[int, bytes], int] = {}
+    of = np.array([numbers.setdefault((g, x[:c]), len(numbers)) for x, c, g in zip(entries, cuts.tolist(), group.tolist(), strict=True)])
+    rank, begin = suffix_ranks([x for _, x in numbers], np.array([g for g, _ in numbers]))
+    deep = context_ranks([x[c:] for x, c in zip(entries, cuts.tolist(), strict=True)], group)
+    n = np.array([len(x) for x in entries]) - WIDTH + 1
     entry = np.repeat(np.arange(len(entries)), n)
     place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    starts = (np.cumsum(sizes) - sizes)[entry] + place
-    windows = np.lib.stride_tricks.sliding_window_view(data, WIDTH)[starts]
-    return np.ascontiguousarray(windows), entry, place
+    key = rank[begin[of[entry]] + place] << 32 | deep[entry, WIDTH - cuts[entry] + place]
+    order = np.argsort(key, kind="stable")  # corpus order; equal windows stay in the order of the parse
+    later = np.zeros(len(key), bool)
+    later[order[1:]] = key[order[1:]] == key[order[:-1]]
+    hit = np.flatnonzero(later)
+    return entry[hit], place[hit]
 
 
 def _later(entries: DataFrame) -> DataFrame:
-    """Runs (d, t, s, n) of windows that start earlier too, from entries that share a trigger."""
+    """Runs (z, d, t, s, n) of windows that start earlier too, from entries that share a trigger."""
 
     def run(batches):
-        from pagewright.llm.neardup import _runs
-
-        for batch in _runs(batches, "gram"):
+        for batch in runs(batches, "gram"):
             gram = batch.column(0).to_numpy()
-            keys = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in (1, 2, 3)], 1)
+            keys = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in (1, 2, 3, 4)], 1)
             same = np.concatenate([[False], (gram[1:] == gram[:-1]) & (keys[1:] == keys[:-1]).all(1)])  # a row that was there twice
             rows = np.flatnonzero(~same)
-            strings = batch.column(4)
+            cuts, strings = batch.column(5).to_numpy().astype(np.int64), batch.column(6)
             group = np.cumsum(np.concatenate([[True], gram[1:] != gram[:-1]]))[rows]
-            cuts = np.searchsorted(group, np.unique(group)[::500])
-            for a, b in zip(cuts, [*cuts[1:], len(rows)], strict=True):
+            starts = bounds(group // 500)[0]
+            for a, b in zip(starts, [*starts[1:], len(rows)], strict=True):
                 mine = rows[a:b]
-                windows, entry, place = suffixes([strings[i].as_py() for i in mine.tolist()])
-                named = np.empty((len(windows), WIDTH + 8), np.uint8)
-                named[:, :8] = group[a:b][entry].astype(">u8").view(np.uint8).reshape(-1, 8)
-                named[:, 8:] = windows
-                text = named.view(f"V{WIDTH + 8}")[:, 0]
-                order = np.argsort(text, kind="stable")  # rows come in order of (document, start)
-                at = text[order]
-                later = np.zeros(len(text), bool)
-                later[order[1:]] = at[1:] == at[:-1]
-                hit = np.flatnonzero(later)
-                if not len(hit):
+                entry, place = later_windows([strings[i].as_py() for i in mine.tolist()], cuts[mine], group[a:b])
+                if not len(entry):
                     continue
-                new = np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (entry[hit[1:]] != entry[hit[:-1]])])
-                first = np.flatnonzero(new)
-                n = np.diff(np.append(first, len(hit)))
-                k = keys[mine[entry[hit[first]]]]
-                yield pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1].astype(np.int32)), pa.array((k[:, 2] + place[hit[first]]).astype(np.int32)), pa.array(n.astype(np.int32))], names=["d", "t", "s", "n"])
+                first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1] + 1) | (entry[1:] != entry[:-1])]))
+                n = np.diff(np.append(first, len(entry)))
+                k = keys[mine[entry[first]]]
+                columns = [k[:, 0].astype(np.int8), k[:, 1], k[:, 2], (k[:, 3] + place[first]).astype(np.int32), n.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=[*ROW, "s", "n"])
 
-    dealt = entries.repartition("gram").sortWithinPartitions("gram", "d", "t", "s")
-    return dealt.mapInArrow(run, "d long, t int, s int, n int")
+    dealt = entries.repartition("gram").sortWithinPartitions("gram", *ROW, "s")
+    return dealt.mapInArrow(run, "z byte, d long, t long, s int, n int")
 
 
 def _later_in_crowds(entries: DataFrame) -> DataFrame:
@@ -227,19 +287,20 @@ def _later_in_crowds(entries: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 2000):
                 part = batch.slice(at, 2000)
-                strings = part.column(4).to_pylist()
+                strings = part.column(6).to_pylist()
                 if not strings:
                     continue
-                windows, entry, place = suffixes(strings)
-                raw = windows.tobytes()
-                made = np.array([xxhash.xxh3_64_intdigest(raw[i : i + WIDTH]) for i in range(0, len(raw), WIDTH)], np.uint64).view(np.int64)
-                keys = [part.column(i).to_numpy()[entry] for i in (0, 1, 2, 3)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (keys[0], made, keys[1], keys[2], (keys[3] + place).astype(np.int32))], names=["gram", "window", "d", "t", "s"])
+                n = np.array([len(x) - WIDTH + 1 for x in strings])
+                entry = np.repeat(np.arange(len(strings)), n)
+                place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                made = np.array([xxhash.xxh3_64_intdigest(x[i : i + WIDTH]) for x in strings for i in range(len(x) - WIDTH + 1)], np.uint64).view(np.int64)
+                gram, z, d, t, s = (part.column(i).to_numpy()[entry] for i in range(5))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (gram, made, z, d, t, (s + place).astype(np.int32))], names=["gram", "window", *ROW, "s"])
 
-    windows = entries.mapInArrow(run, "gram long, window long, d long, t int, s int")
-    first = windows.groupBy("gram", "window").agg(F.min(F.struct("d", "t", "s")).alias("first"))
-    both = windows.join(first, ["gram", "window"]).where(F.struct("d", "t", "s") > F.col("first"))
-    return both.select("d", "t", "s", F.lit(1).alias("n"))
+    windows = entries.mapInArrow(run, "gram long, window long, z byte, d long, t long, s int")
+    first = written(windows.groupBy("gram", "window").agg(F.min(F.struct(*ROW, "s")).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times"), "windows")
+    both = windows.join(first, ["gram", "window"]).where(F.struct(*ROW, "s") > F.col("first"))
+    return both.select(*ROW, "s", F.lit(1).alias("n"))
 
 
 def _removed(texts: DataFrame, doc_id: str) -> DataFrame:
@@ -268,23 +329,39 @@ def _removed(texts: DataFrame, doc_id: str) -> DataFrame:
     return texts.mapInArrow(run, T.StructType([T.StructField(doc_id, T.LongType()), T.StructField("spans", span), T.StructField("kept", T.BinaryType())]))
 
 
+def _crowds(rows: DataFrame) -> DataFrame:
+    """(gram): triggers that show at least SHOWN entries in a sample of documents; at most SAMPLE of them, so they can be broadcast.
+
+    Only where work is done depends on it, not what comes out.
+    """
+    share = max(1, rows.count() // SAMPLE)
+    seen = _parse(rows.where(F.pmod(F.xxhash64("d", "t", F.lit(5)), F.lit(share)) == 0)).where("not known").select("gram", "phrase").distinct()
+    shown = seen.groupBy("gram").count().where(F.col("count") >= SHOWN).orderBy(F.col("count").desc(), "gram").limit(SAMPLE)
+    return written(shown.select("gram", F.lit(True).alias("heavy")), "crowds")
+
+
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, spans (start, end in bytes) removed as maximal runs, and kept, the bytes that remain, for each row."""
     id_ = F.col(doc_id).cast("long")
     raw = F.col(text).cast("string").cast("binary")
-    rows = docs.select(id_.alias("id"), F.coalesce(id_, F.lit(2**63 - 1)).alias("d"), F.hash(raw).alias("t"), raw.alias("raw"))
-    seen = _parse(rows.where(F.octet_length("raw") >= WIDTH)).repartition("gram")
-    entry = Window.partitionBy("gram", "phrase").orderBy("d", "t", "s")
+    rows = docs.select(id_.alias("id"), id_.isNull().cast("byte").alias("z"), F.coalesce(id_, F.lit(0)).alias("d"), F.xxhash64(raw).alias("t"), raw.alias("raw"))
+    parsed = rows.where(F.octet_length("raw") >= WIDTH)
+    heavy = F.coalesce("heavy", F.lit(False)) & ~F.col("known")
+    seen = _parse(parsed).join(F.broadcast(_crowds(parsed)), "gram", "left").withColumn("heavy", heavy)
+    seen = seen.withColumn("salt", F.when(F.col("heavy"), F.pmod("phrase", F.lit(SPLIT))).otherwise(0).cast("int")).repartition("gram", "salt")
+    entry = Window.partitionBy("gram", "salt", "phrase").orderBy(*ROW, "s")
     ranked = seen.withColumn("first", (F.rank().over(entry) == 1) & ~F.col("known"))
-    ranked = ranked.withColumn("entries", F.sum(F.col("first").cast("int")).over(Window.partitionBy("gram")))
-    flagged = written(ranked.where(~F.col("first") | (F.col("entries") > 1)).select("d", "t", "s", "n", "first", F.when(F.col("first"), F.col("gram")).alias("gram"), (F.col("entries") > CROWD).alias("crowd")), "phrases")
-    texts = rows.repartition("d", "t")
-    open_ = flagged.where("first").groupBy("d", "t").agg(F.collect_list(F.struct("gram", "s", "n", "crowd")).alias("open"))
-    strings = texts.join(open_, ["d", "t"], "left")
+    ranked = ranked.withColumn("entries", F.sum(F.col("first").cast("int")).over(Window.partitionBy("gram", "salt")))
+    crowd = F.col("heavy") | (F.col("entries") > CROWD)
+    needed = ranked.where(~F.col("first") | F.col("heavy") | (F.col("entries") > 1))
+    flagged = written(needed.select(*ROW, "s", "n", "cut", "first", F.when(F.col("first"), F.col("gram")).alias("gram"), crowd.alias("crowd")), "phrases")
+    texts = rows.repartition(*ROW)
+    open_ = flagged.where("first").groupBy(*ROW).agg(F.collect_list(F.struct("gram", "s", "n", "cut", "crowd")).alias("open"))
+    strings = texts.join(open_, [*ROW], "left")
     few = _strings(strings.withColumn("open", F.filter("open", lambda x: ~x["crowd"])))
     later = _later(few)
     if not flagged.where("crowd and first").isEmpty():
         later = later.unionByName(_later_in_crowds(_strings(strings.withColumn("open", F.filter("open", lambda x: x["crowd"])))))
-    cover = flagged.where("not first").select("d", "t", "s", "n").unionByName(later)
-    cover = cover.groupBy("d", "t").agg(F.collect_list(F.struct("s", "n")).alias("cover"))
-    return _removed(texts.join(cover, ["d", "t"], "left").select("id", "raw", "cover"), doc_id)
+    cover = flagged.where("not first").select(*ROW, "s", F.col("n").cast("int").alias("n")).unionByName(later)
+    cover = cover.groupBy(*ROW).agg(F.collect_list(F.struct("s", "n")).alias("cover"))
+    return _removed(texts.join(cover, [*ROW], "left").select("id", "raw", "cover"), doc_id)

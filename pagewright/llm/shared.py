@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,11 +15,18 @@ from pyspark.sql import types as T
 #: Text bytes that one Python step holds at a time.
 STEP_BYTES = 4 << 20
 
+_U = np.uint64
+#: An odd number with bits set all over.
+SPREAD = _U(0x9E3779B97F4A7C15)
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of its own where that is unset, as in tests."""
+    """The folder named by spark.checkpoint.dir; one of its own where that is unset, on a local master only."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="pagewright-")
         spark.conf.set("spark.checkpoint.dir", named)
         spark.sparkContext.setCheckpointDir(named)
@@ -90,5 +98,33 @@ def append_columns(df: DataFrame, fields: list[T.StructField], start: Callable[[
     return source.mapInArrow(run, schema)
 
 
-def as_text(df: DataFrame, text: str = "text") -> DataFrame:
-    return df.withColumn(text, F.col(text).cast("string"))
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit."""
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """Batches of whole runs of equal keys, in order, from batches sorted by key."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = batch.column(batch.schema.get_field_index(key)).to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))
+        if cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks().to_batches()[0]
+            held = []
+        elif held and held[0].column(held[0].schema.get_field_index(key))[0].as_py() != keys[-1]:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def bounds(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places of the runs of equal keys, and the places behind them."""
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return starts, np.append(starts[1:], len(keys))

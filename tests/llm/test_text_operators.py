@@ -82,9 +82,10 @@ def removed(docs):
     return kept
 
 
-@pytest.mark.parametrize("crowd", [2000, 1])
-def test_repeats(spark, monkeypatch, crowd):
+@pytest.mark.parametrize(("crowd", "shown"), [(500, 8), (1, 8), (500, 2)])
+def test_repeats(spark, monkeypatch, crowd, shown):
     monkeypatch.setattr(repeats, "CROWD", crowd)
+    monkeypatch.setattr(repeats, "SHOWN", shown)
     rng = random.Random(3)
     passage, text = words(rng, 40), words(rng, 300)
     docs = [(i, words(rng, 30) + passage[rng.randint(0, 30) :] + words(rng, 20)) for i in range(12)]
@@ -94,6 +95,32 @@ def test_repeats(spark, monkeypatch, crowd):
     assert all(sum(s.end - s.start for s in r.spans) + len(r.kept) == len((dict(docs)[i] or "").encode()) for i, r in made.items())
 
 
+def test_a_line_that_all_documents_share(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "CROWD", 5)
+    rng = random.Random(21)
+    line = words(rng, 45)
+    docs = [(i, f"{words(rng, rng.randint(0, 40))} {line} {words(rng, rng.randint(0, 40))}") for i in range(60)]
+    made = repeats.without_repeats(spark.createDataFrame(docs, DOC).repartition(4).withColumn("RAW", F.lit("clash"))).collect()
+    assert {r.doc_id: bytes(r.kept) for r in made} == removed(docs)
+
+
+def test_windows_by_both_suffix_arrays():
+    rng = random.Random(22)
+    data = np.frombuffer(b"".join(words(rng, 40).encode()[:200] * 3 for _ in range(6)), np.uint8)
+    at, n, cut, gram = repeats.phrases(data, np.array([len(data)]), repeats._letters())
+    _, group = np.unique(gram, return_inverse=True)
+    order = np.argsort(group, kind="stable")
+    entries = [data[at[i] : at[i] + n[i] + repeats.WIDTH - 1].tobytes() for i in order]
+    entry, place = repeats.later_windows(entries, cut[order], group[order])
+    seen, expected = set(), set()
+    for i, x in enumerate(entries):
+        for p in range(len(x) - repeats.WIDTH + 1):
+            w = x[p : p + repeats.WIDTH]
+            expected |= {(i, p)} if w in seen else set()
+            seen.add(w)
+    assert set(zip(entry.tolist(), place.tolist(), strict=True)) == expected and expected
+
+
 def test_repeats_in_parts_of_a_long_text(spark, monkeypatch):
     monkeypatch.setattr(repeats, "STEP", 1500)
     rng = random.Random(4)
@@ -105,9 +132,10 @@ def test_repeats_in_parts_of_a_long_text(spark, monkeypatch):
 def test_repeated_rows_are_one_place(spark):
     rng = random.Random(5)
     text = words(rng, 60)
-    rows = spark.createDataFrame([(1, text), (1, text), (None, text)], DOC)
+    rows = spark.createDataFrame([(1, text), (1, text), (None, text), (2**63 - 1, words(rng, 40))], DOC).withColumn("Z", F.lit(1))
     made = repeats.without_repeats(rows).collect()
-    assert sorted((r.doc_id is None, bytes(r.kept) == text.encode()) for r in made) == [(False, True), (False, True), (True, False)]
+    assert sorted((r.doc_id is None, bytes(r.kept) == text.encode()) for r in made if r.doc_id != 2**63 - 1) == [(False, True), (False, True), (True, False)]
+    assert [len(r.spans) for r in made if r.doc_id == 2**63 - 1] == [0]
     assert repeats.without_repeats(rows.limit(0)).count() == 0
 
 
