@@ -1,7 +1,10 @@
 """Connected components of a graph of links.
 
-Up to ONE_TASK links, which are counted first, one task of an executor finds them in
-memory (16 bytes a link); beyond, large-star and small-star take turns, distributed.
+Each task first replaces the links it reads, HELD at a time, by links of every id to the
+least one they connect it to: as many at most, and connected alike. Then large-star and
+small-star take turns, with that step after each turn, until a turn changes nothing. There
+is one way for all sizes. A centre that very many links share is pre-aggregated in its
+minimum; its joins are between written tables, which Spark splits where a key is skewed.
 """
 
 from __future__ import annotations
@@ -11,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.shared import checkpointed
+from pagewright.llm.shared import written
 
 
-#: Links that one task may hold.
-ONE_TASK = 1_000_000
+#: Links that a task holds at a time (16 bytes each).
+HELD = 1_000_000
 
 
 def least_connected(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -34,44 +37,56 @@ def least_connected(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
         label = new
 
 
-def _in_one_task(batches):
-    held = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
-    if held:
+def _contracted(links: DataFrame) -> DataFrame:
+    """Links (a, b) as links of each id to the least that its batch connects it to."""
+
+    def stars(held: list) -> pa.RecordBatch:
         ids, label = least_connected(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        for at in range(0, len(ids), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + (1 << 16)]), pa.array(label[at : at + (1 << 16)])], names=["id", "component"])
+        other = ids != label
+        return pa.RecordBatch.from_arrays([pa.array(ids[other]), pa.array(label[other])], names=["a", "b"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            n += len(batch)
+            if n >= HELD:
+                yield stars(held)
+                held, n = [], 0
+        if n:
+            yield stars(held)
+
+    return links.select("a", "b").mapInArrow(run, "a long, b long")
 
 
-def _both_ways(links: DataFrame) -> DataFrame:
-    return links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+def _tidy(links: DataFrame) -> DataFrame:
+    """Links from the larger id to the smaller, each once, contracted, as a table."""
+    plain = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return written(_contracted(plain), "links")
 
 
-def _star(pairs: DataFrame, kept) -> DataFrame:
-    """For each a with neighbours b: links of the kept b to the least of all of them."""
-    least = pairs.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return pairs.join(least.withColumnRenamed("a", "x"), F.col("a") == F.col("x")).where(kept).select(F.col("b").alias("a"), F.col("m").alias("b"))
+def _least(pairs: DataFrame) -> DataFrame:
+    """(x, m): for each a of the pairs, the least of it and its neighbours b."""
+    return written(pairs.groupBy(F.col("a").alias("x")).agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component): every id of the links (a, b) with the least id it is connected to.
 
     Links only ever shrink towards the least ids; rounds grow with the logarithm of the
-    longest path. Stops when a round changes nothing.
+    longest path.
     """
-    links = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    if links.count() <= ONE_TASK:
-        return links.coalesce(1).mapInArrow(_in_one_task, "id long, component long")
-    before = None
+    links, before = _tidy(links), None
     for _ in range(most_rounds):
         state = links.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first()
         if state == before or not state[0]:
-            return links.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+            return links.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
         before = state
-        large = _star(_both_ways(links), F.col("b") > F.col("a"))
-        large = large.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        # small star: each a with its smaller neighbours; a itself goes to the least too
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least.withColumnRenamed("a", "x"), F.col("a") == F.col("x"))
-        small = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        links = checkpointed(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # large star: the larger neighbours of each a go to the least of a and all its neighbours
+        large = both.join(_least(both), F.col("a") == F.col("x")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = _tidy(large)
+        # small star: the smaller neighbours of each a, and a itself, go to the least of them
+        small = large.join(_least(large), F.col("a") == F.col("x")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        links = _tidy(small)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

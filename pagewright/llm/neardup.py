@@ -19,38 +19,48 @@ leaves or not. Jaccard distance is a metric: what is linked to a set that left i
 103 coordinates at least, one that AROUND leaves out in 48 at most, so the two agree in 73
 at most: the leaf would not pass them either, and no further pair is lost by the leaving.
 Nodes that are still large at depth DEPTH hold sets that agree on every coordinate of
-their path. They become candidates as they are. Candidates are not links: groups of
-connected candidates are brought together with their full sets, and links are confirmed
-exactly. A group of up to GROUP sets is one task's work. A larger one is cut into parts
-that share some sets (pivots); whatever is then outside the group's largest component is
+their path, and are candidates of their hub as they are.
+
+Candidates come in groups: the sets that a leaf connects, and the candidates of a hub.
+Equal groups, which most trees find again, are one. Groups are not joined to larger ones,
+for candidates are not links: the full sets of a group are brought together, and its links
+are confirmed exactly; only confirmed links make components. A group of up to GROUP sets is
+one task's work. The candidates of a hub may be more: they are cut into parts that share
+some sets (the hub and pivots); whatever is then outside the group's largest component is
 compared with all of the group in further parts, so no link is lost, no task holds more
 than about two parts, and no pair is written: a part gives at most one link a set.
 
+What is needed again of the sets or texts of candidates is found by a map of bits, one of
+64 * WORDS for each id's hash, which is broadcast and never larger than WORDS numbers;
+what it lets through is then joined exactly. There is one way for all sizes.
+
 Texts are lower-cased in A-Z only, words are runs of anything but ASCII white space.
 Null texts, and texts without words, have an empty set and are linked with nothing.
-Texts of fewer words than a shingle are one shingle. Rows with a null id take the
-component of their copies with ids, else null, and link nothing else. Rows that repeat
+Texts of fewer words than a shingle are one shingle. Rows with a null id link as others
+do; a component is named by its least id, and has no name if it has no id. Rows that repeat
 an id share a component if their sets are equal or linked; each row goes by its own set.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagewright.llm.components import components
-from pagewright.llm.shared import SPREAD, append_columns, bounds, checkpointed, mixed, runs, written
+from pagewright.llm.components import components, least_connected
+from pagewright.llm.shared import SPREAD, append_columns, bounds, mixed, runs, written
 
 COORDINATES, LEAF, BRANCHES, TREES, DEPTH = 128, 256, 2, 5, 4
 #: Sets that one task links, at most; pivots that all parts of a larger group share.
 GROUP, PIVOTS = 1024, 64
 #: Least share of equal coordinates of a candidate, below the threshold by six deviations.
 SLACK = 6.0
-#: Ids that may be broadcast to find the sketches or texts of candidates again (8 bytes each).
-BROADCAST_IDS = 1_000_000
+#: Numbers of 64 bits in the map of ids that is broadcast.
+WORDS = 1 << 18
 #: Shares of a hub's coordinates at which a set leaves a large node, and is the hub's candidate.
 NEAR, AROUND = 0.80, 0.38
 CACHE_ENTRIES = 400_000
@@ -153,16 +163,17 @@ def _branch(rows: DataFrame, root: bool) -> DataFrame:
 
 
 def _compare_leaves(rows: DataFrame, per: int) -> DataFrame:
-    """Links (a, b) that connect the candidates of each node, from rows (node, id, n, brief)."""
+    """Groups (grp, id) of sets that the candidates of a node connect, from rows (node, id, n, brief)."""
     share = per / 100
     least = int(COORDINATES * share - SLACK * np.sqrt(COORDINATES * share * (1 - share)))
 
     def run(batches):
+        import xxhash
+
         for batch in runs(batches, "node"):
             col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             ids, n = col["id"].to_numpy(), col["n"].to_numpy()
             values = np.frombuffer(b"".join(col["brief"].to_pylist()), np.uint8).reshape(len(ids), COORDINATES)
-            label = np.arange(len(ids))
             pairs_a, pairs_b = [], []
             for s, e in zip(*bounds(col["node"].to_numpy()), strict=True):
                 for i in range(s, e - 1):  # one row against the rest of its node
@@ -174,19 +185,16 @@ def _compare_leaves(rows: DataFrame, per: int) -> DataFrame:
                         pairs_b += j.tolist()
             if not pairs_a:
                 continue
-            a, b = np.array(pairs_a), np.array(pairs_b)
-            while True:  # least row of each group of connected rows
-                before = label.copy()
-                np.minimum.at(label, b, label[a])
-                np.minimum.at(label, a, label[b])
-                label = label[label]
-                if (label == before).all():
-                    break
-            other = np.flatnonzero(label != np.arange(len(ids)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[other]), pa.array(ids[label[other]])], names=["a", "b"])
+            rows_, label = least_connected(np.array(pairs_a), np.array(pairs_b))
+            order = np.lexsort((ids[rows_], label))
+            members, groups = ids[rows_[order]], label[order]
+            name = np.empty(len(members), np.int64)
+            for s, e in zip(*bounds(groups), strict=True):
+                name[s:e] = np.array(xxhash.xxh3_64_intdigest(members[s:e].tobytes()), np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(members)], names=["grp", "id"])
 
     dealt = rows.repartition("node").sortWithinPartitions("node")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "grp long, id long")
 
 
 def link_sets(ids: np.ndarray, sets: list[np.ndarray], per: int) -> np.ndarray:
@@ -257,100 +265,107 @@ def _around_hubs(large: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.select("node", "id", "first", "brief", "hub").mapInArrow(run, "node long, id long, first long, near boolean, around boolean")
 
 
-def _only(sets: DataFrame, rows: DataFrame) -> DataFrame:
-    """The sets whose ids are in rows: found without a shuffle of all sets where the ids are few, by a join beyond."""
-    ids = checkpointed(rows.select("id").distinct())
-    return written(sets.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi"), "narrowed")
+def _among(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose key may be one of ids (id): all that are, and few others, without a shuffle of rows."""
+    place = lambda c: F.pmod(F.shiftrightunsigned(F.xxhash64(c), 6), F.lit(WORDS))
+    bit = lambda c: F.expr(f"shiftleft(1L, cast(xxhash64({c}) & 63 as int))")
+    found = written(ids.groupBy(place("id").alias("word")).agg(F.bit_or(bit("id")).alias("bits")), "bits")
+    return rows.join(F.broadcast(found), place(key) == F.col("word")).where(F.col("bits").bitwiseAND(bit(key)) != 0).drop("word", "bits")
 
 
 def _candidates(sets: DataFrame, per: int) -> DataFrame:
-    """Links (a, b) between sets (id, n, sketch, brief) that may be similar: what the trees find."""
+    """Groups (grp, id, hub) of sets (id, n, sketch, brief) that may be similar: what the trees find; hub is null in groups of leaves."""
     rows = _branch(sets.select("id", "sketch"), root=True)
-    out = None
+    found, none = [], F.lit(None).cast("long").alias("hub")
+    around = lambda rows: rows.select(F.xxhash64("first", F.lit(1)).alias("grp"), "id", F.col("first").alias("hub"))
     for level in range(1, DEPTH + 1):
-        rows = checkpointed(rows)
-        sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("first")).where("size > 1")
-        sized = checkpointed(rows.join(sizes, "node"))
+        rows = written(rows, "nodes")
+        sizes = written(rows.groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("first")).where("size > 1"), "sizes")
+        sized = written(rows.join(sizes, "node"), "sized")
         small = sized.where(F.col("size") <= LEAF).select("node", "id")
-        found = _compare_leaves(small.join(sets, "id").select("node", "id", "n", "brief"), per)
-        out = found if out is None else out.unionByName(found)
+        found.append(_compare_leaves(small.join(sets, "id").select("node", "id", "n", "brief"), per).select("grp", "id", none))
         large = sized.where(F.col("size") > LEAF)
         if large.isEmpty():
-            return out
+            break
         if level == DEPTH:
-            return out.unionByName(large.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")))
-        sets = _only(sets, large)
-        placed = checkpointed(_around_hubs(large.select("node", "id", "first"), sets))
-        out = out.unionByName(placed.where("around and id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")))
+            found.append(around(large))
+            break
+        ids = written(large.select("id").distinct(), "ids")
+        sets = written(_among(sets, "id", ids).join(ids, "id", "left_semi"), "narrowed")
+        placed = written(_around_hubs(large.select("node", "id", "first"), sets), "placed")
+        found.append(around(placed.where("around")))
         rows = _branch(placed.where("not near").select("node", "id").join(sets.select("id", "sketch"), "id"), root=False)
-    return out
+    return written(reduce(DataFrame.unionByName, found).distinct(), "groups")
 
 
 def _confirmed(full: DataFrame, per: int) -> DataFrame:
-    """(id, component) from sets (cluster, size, id, shingles), linked exactly within clusters."""
-    few = full.where(F.col("size") <= GROUP).select(F.col("cluster").alias("part"), "id", "shingles")
+    """(id, component) from groups of sets (grp, hub, size, id, shingles), linked exactly within groups."""
+    few = full.where(F.col("size") <= GROUP).select(F.col("grp").alias("part"), "id", "shingles")
     links = _link_parts(few, per)
     many = full.where(F.col("size") > GROUP)
     if many.isEmpty():
-        return links.select(F.col("a").alias("id"), F.col("b").alias("component"))
+        return components(links)
     parts = F.ceil(F.col("size") * 2 / GROUP).cast("int")
-    order = F.xxhash64("id", F.lit(11))
     every = many.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
-    pivots = many.where(order < (F.lit(-(2.0**63)) + F.lit(2.0**64) * PIVOTS / F.col("size"))).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    first = every.select("cluster", "part", "id", "shingles").unionByName(pivots.select("cluster", "part", "id", "shingles"))
-    first = checkpointed(_link_parts(first.select(F.xxhash64("cluster", "part").alias("part"), "id", "shingles"), per))
+    pivot = (F.col("id") == F.col("hub")) | (F.xxhash64("id", F.lit(11)) < (F.lit(-(2.0**63)) + F.lit(2.0**64) * PIVOTS / F.col("size")))
+    pivots = many.where(pivot).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    first = every.select("grp", "part", "id", "shingles").unionByName(pivots.select("grp", "part", "id", "shingles"))
+    first = written(_link_parts(first.select(F.xxhash64("grp", "part").alias("part"), "id", "shingles"), per), "first")
     settled = components(first)
-    slim = many.select("cluster", "size", "id").join(settled, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    slim = checkpointed(slim)
-    sizes = slim.groupBy("cluster", "component").count()
-    largest = sizes.groupBy("cluster").agg(F.max(F.struct("count", "component"))["component"].alias("largest"))
-    rest = slim.join(largest, "cluster").where("component <> largest").select("cluster", "id")
-    counts = rest.groupBy("cluster").agg(F.count("*").alias("n_rest"))
+    slim = many.select("grp", "size", "id").join(settled, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    slim = written(slim, "settled")
+    counts = slim.groupBy("grp", "component").count()
+    largest = written(counts.groupBy("grp").agg(F.max(F.struct("count", "component"))["component"].alias("largest"), F.sum("count").alias("n")), "largest")
+    rest = written(slim.join(largest, "grp").where("component <> largest").select("grp", "id"), "rest")
+    if rest.isEmpty():
+        return components(links.unionByName(first))
+    counts = written(rest.groupBy("grp").agg(F.count("*").alias("n_rest")), "counts")
     batches = F.ceil(F.col("n_rest") * 2 / GROUP).cast("int")
-    rest_sets = many.join(rest, ["cluster", "id"], "left_semi").join(counts, "cluster").withColumn("batch", F.pmod(F.xxhash64("id", F.lit(3)), batches).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    whole = every.join(counts, "cluster").withColumn("batch", F.explode(F.sequence(F.lit(0), batches - 1)))
-    second = rest_sets.select("cluster", "part", "batch", "id", "shingles").unionByName(whole.select("cluster", "part", "batch", "id", "shingles"))
-    second = _link_parts(second.select(F.xxhash64("cluster", "part", "batch").alias("part"), "id", "shingles"), per)
+    rest_sets = many.join(rest, ["grp", "id"], "left_semi").join(counts, "grp").withColumn("batch", F.pmod(F.xxhash64("id", F.lit(3)), batches).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    whole = every.join(counts, "grp").withColumn("batch", F.explode(F.sequence(F.lit(0), batches - 1)))
+    second = rest_sets.select("grp", "part", "batch", "id", "shingles").unionByName(whole.select("grp", "part", "batch", "id", "shingles"))
+    second = _link_parts(second.select(F.xxhash64("grp", "part", "batch").alias("part"), "id", "shingles"), per)
     return components(links.unionByName(first).unionByName(second))
 
 
 def _keyed(sets: DataFrame) -> tuple[DataFrame, bool]:
-    """sets with `id` unique and the document's as `own`, and whether they differ: sets that share an id get a hash of the set."""
-    shared = checkpointed(sets.groupBy("id").count().where("count > 1").select(F.col("id").alias("shared")))
+    """sets with `id` unique and never null, and the document's as `own`, and whether they differ: sets without an id, or that share one, get a hash of the set."""
+    shared = written(sets.groupBy("id").count().where("count > 1 or id is null").select(F.col("id").alias("shared"), F.lit(True).alias("twice")), "shared")
     if shared.isEmpty():
         return sets.withColumn("own", F.col("id")), False
-    both = sets.join(shared, F.col("id") == F.col("shared"), "left").withColumn("own", F.col("id"))
-    both = both.withColumn("id", F.when(F.col("shared").isNotNull(), F.xxhash64("set_hash")).otherwise(F.col("id")))
-    return written(both.drop("shared"), "keyed"), True
+    both = sets.join(shared, F.col("id").eqNullSafe(F.col("shared")), "left").withColumn("own", F.col("id"))
+    both = both.withColumn("id", F.when(F.col("twice"), F.xxhash64("set_hash")).otherwise(F.col("id")))
+    return written(both.drop("shared", "twice"), "keyed"), True
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, per: int = 80, text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs, after the columns named in `also`.
+    """doc_id, n_shingles, component_id, kept, group_key for each row of docs, after the columns named in `also`.
 
     Two sets are linked if 100 * intersection >= per * union. component_id is the least
-    doc_id reachable over links, kept whether it is the row's own. Other columns of docs
-    are not returned.
+    doc_id reachable over links, kept whether it is the row's own (without any id: true).
+    group_key is the same for the rows of a component, with ids or without, null for empty
+    sets. Other columns of docs are not returned.
     """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    slim = docs.select(F.col(text).cast("string").alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("known_by"))
     rows = docs.select(*also, F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     described = written(_described(rows, words, full=False, text="text"), "sketches")
-    own = described.where("set_hash is not null and doc_id is not null")
+    own = described.where("set_hash is not null")
     reps = written(own.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("brief").alias("brief")), "sets")
     reps, differ = _keyed(reps)
-    clusters = checkpointed(components(_candidates(reps.select("id", "n", "sketch", "brief"), per)).distinct())
-    sizes = clusters.groupBy(F.col("component").alias("cluster")).agg(F.count("*").alias("size"))
-    members = clusters.join(sizes, F.col("component") == F.col("cluster")).join(reps.select("id", "own", "set_hash"), "id").select("id", "own", "cluster", "size", F.col("set_hash").alias("own_hash"))
-    members = checkpointed(members)
-    ids = members.select("own").distinct()
-    wanted = F.broadcast(ids) if members.count() <= BROADCAST_IDS else ids
-    again = _described(slim.join(wanted, F.col("doc_id") == F.col("own"), "left_semi"), words, full=True, text="text")
-    full = again.join(members, (F.col("doc_id") == F.col("own")) & (F.col("set_hash") == F.col("own_hash"))).select("cluster", "size", "id", "shingles")
-    labels = _confirmed(written(full, "members"), per).groupBy("id").agg(F.min("component").alias("component"))
-    named = reps.select("set_hash", "id", "own").join(labels, "id", "left").select("set_hash", "own", F.coalesce("component", "id").alias("component"))
+    groups = _candidates(reps.select("id", "n", "sketch", "brief"), per)
+    sizes = written(groups.groupBy("grp").agg(F.count("*").alias("size")), "sizes")
+    mine = groups.join(sizes, "grp").groupBy("id").agg(F.collect_list(F.struct("grp", "hub", "size")).alias("groups"))
+    members = written(mine.join(reps.select("id", F.coalesce("own", F.lit(0)).alias("own"), F.col("set_hash").alias("own_hash")), "id"), "members")
+    again = _described(_among(slim, "known_by", members.select(F.col("own").alias("id"))), words, full=True, text="text")
+    full = again.join(members, (F.col("known_by") == F.col("own")) & (F.col("set_hash") == F.col("own_hash"))).dropDuplicates(["id"])
+    full = written(full.select("id", "groups", "shingles"), "full").select("id", "shingles", F.explode("groups").alias("g")).select("g.*", "id", "shingles")
+    labels = _confirmed(full, per)
+    named = reps.select("set_hash", "id", "own").join(labels, "id", "left").select("set_hash", "own", F.coalesce("component", "id").alias("group_key"))
     if differ:  # components are named by keys: name them by the least document
-        least = named.groupBy("component").agg(F.min("own").alias("least"))
-        named = named.join(least, "component").select("set_hash", F.col("least").alias("component"))
-    named = named.select("set_hash", "component")
-    out = described.select(*also, "doc_id", "n_shingles", "set_hash").join(named, "set_hash", "left")
+        least = named.groupBy("group_key").agg(F.min("own").alias("component"))
+        named = named.join(least, "group_key").select("set_hash", "group_key", "component")
+    else:
+        named = named.select("set_hash", "group_key", F.col("group_key").alias("component"))
+    out = described.select(*also, "doc_id", "n_shingles", "set_hash").join(written(named, "named"), "set_hash", "left")
     component = F.when(F.col("set_hash").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select(*also, "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    return out.select(*also, "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), "group_key")

@@ -65,7 +65,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, per=80)
+    made = neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, per=80)
+    return made.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,12 +173,23 @@ def test_near_duplicates(spark, monkeypatch, leaf, group):
 
 
 def test_near_duplicates_of_odd_rows(spark):
-    rows = spark.createDataFrame([(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (9, "a b c d e f"), (None, "x")], DOC)
+    rows = spark.createDataFrame([(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (9, "a b c d e f"), (None, "x")], DOC).withColumn("SET_HASH", F.lit(b"clash"))
     made = sorted(((r.doc_id or 0, r.component_id or 0, r.kept) for r in neardup.near_duplicates(rows).collect()))
     assert made == [(0, 0, True), (0, 7, False), (7, 7, True), (7, 7, True), (9, 7, False)]
     assert neardup.near_duplicates(rows.limit(0)).count() == 0
 
 
+def test_near_duplicates_without_ids_and_very_long(spark):
+    rng = random.Random(23)
+    long = words(rng, 60_000)
+    texts = [long, long + " end", words(rng, 30), "other " + long[: len(long) // 2]]
+    rows = spark.createDataFrame([(None, t) for t in texts] + [(3, texts[2]), (3, long + " more")], DOC)
+    made = neardup.near_duplicates(rows.withColumn("at", F.monotonically_increasing_id()), also=("at",)).orderBy("at").collect()
+    keys = [r.group_key for r in made]
+    assert keys[0] == keys[1] == keys[5] and keys[2] == keys[4] and len(set(keys)) == 3
+    assert [r.component_id for r in made] == [3, 3, 3, None, 3, 3]
+
+
 def test_near_duplicates_with_unlucky_sketches(spark):
     base = " ".join(f"w3731x{i}" for i in range(8))  # 8 of 10 words shared; sketches agree in 82 of 128 places
     rows = spark.createDataFrame([(1, f"{base} p3731"), (2, f"{base} q3731")], DOC)
@@ -192,11 +203,12 @@ def test_hubs_lose_no_pair_that_leaves_pass():
     assert n - (leaves - outside) < least
 
 
-@pytest.mark.parametrize("most", [1_000_000, 0])
-def test_components(spark, monkeypatch, most):
-    monkeypatch.setattr("pagewright.llm.components.ONE_TASK", most)
+@pytest.mark.parametrize("held", [1_000_000, 1])
+def test_components(spark, monkeypatch, held):
+    monkeypatch.setattr("pagewright.llm.components.HELD", held)
     links = [(i, i + 1) for i in range(40)] + [(100, 99), (101, 100), (50, 50)]
-    made = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    random.Random(1).shuffle(links)
+    made = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long").repartition(8)).collect()}
     assert made == {i: 0 for i in range(41)} | {99: 99, 100: 99, 101: 99}
 
 
