@@ -7,7 +7,7 @@ the first stage and the tokenizer of the last have no SQL.
 
 Nulls in any column, empty texts, repeated rows and empty tables pass every stage: an
 empty text is not toxic, has no twin, holds no secret, costs the mix nothing, and encodes
-to no tokens.
+to no tokens. Rows without an id, or that share one, are told apart by their texts.
 """
 
 from __future__ import annotations
@@ -35,15 +35,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, that of the least doc_id; documents without words all stay.
+    """One row of each group, that of the least doc_id (no id: last); documents without words all stay.
 
-    Rows of a group that repeat that doc_id are the same document and stay; rows without an
-    id stay. Rows that repeat an id with another text are decided each by its own text.
+    Rows that repeat an id with another text are decided each by its own text; of rows alike
+    in id and text one stays, the least by its other columns.
     """
     digest = F.xxhash64(F.col("text"))
     found = neardup.near_duplicates(docs.select("doc_id", "text", digest.alias("digest")), WORDS, PER, also=("digest",))
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone"), "digest").distinct()
-    return docs.select(*COLUMNS).join(gone, (F.col("doc_id") == F.col("gone")) & (digest == F.col("digest")), "left_anti")
+    rows = found.where("group_key is not null").groupBy("group_key", F.col("doc_id").alias("d"), F.col("digest").alias("t")).agg(F.count("*").alias("times"))
+    rows = written(rows, "rows")
+    stays = F.min(F.struct(F.col("d").isNull(), "d", "t"))
+    stays = written(rows.groupBy(F.col("group_key").alias("g")).agg(stays.alias("stays")).select("g", F.col("stays.t").alias("kept_t"), F.col("stays.d").alias("kept_d")), "stays")
+    judged = rows.join(stays, F.col("group_key") == F.col("g")).withColumn("keep", F.col("d").eqNullSafe(F.col("kept_d")) & (F.col("t") == F.col("kept_t")))
+    gone = written(judged.where("not keep or times > 1").select("d", "t", "keep"), "gone")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("d")) & (digest == F.col("t"))
+    plain = docs.select(*COLUMNS)
+    left = plain.join(gone, same, "left_anti")
+    twice = gone.where("keep")
+    if twice.isEmpty():
+        return left
+    one = plain.join(twice, same).groupBy("d", "t").agg(F.min(F.struct(*COLUMNS)).alias("row"))
+    return left.unionByName(one.select("row.*"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
