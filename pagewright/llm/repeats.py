@@ -46,7 +46,7 @@ from pyspark.sql import types as T
 
 from pagewright.llm.shared import SPREAD, bounds, mixed, runs, written
 
-WIDTH, GRAM, MODULUS = 100, 32, 32
+WIDTH, GRAM, MODULUS = 100, 32, 64
 #: Entries of a trigger that one task sorts at most. Documents of the sample, entries of a trigger in it that show a crowd, and tasks that it is dealt to.
 CROWD, SAMPLE, SHOWN, SPLIT = 500, 2000, 8, 64
 #: Bytes of text parsed at a time; below 2**22, for places share a number with hashes.
@@ -165,28 +165,28 @@ def _parse(docs: DataFrame) -> DataFrame:
     return docs.select(*ROW, "raw").mapInArrow(run, "gram long, phrase long, z byte, d long, t long, s int, n short, cut short, known boolean")
 
 
-_ENTRY = (pa.int64(), pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.binary())
+_ENTRY = (pa.int64(), pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.bool_(), pa.binary())
 
 
 def _strings(texts: DataFrame) -> DataFrame:
-    """Dictionary entries (gram, z, d, t, s, cut, bytes) of rows (z, d, t, raw, open: entries to sort)."""
+    """Dictionary entries (gram, z, d, t, s, cut, crowd, bytes) of rows (z, d, t, raw, open: entries to sort)."""
 
     def entries(out: list[list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, _ENTRY, strict=True)], names=["gram", *ROW, "s", "cut", "bytes"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, _ENTRY, strict=True)], names=["gram", *ROW, "s", "cut", "crowd", "bytes"])
 
     def run(batches):
         for batch in batches:
             out = [[] for _ in _ENTRY]
             for *key, raw, open_ in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 for x in open_ or ():
-                    for c, v in zip(out, (x["gram"], *key, x["s"], x["cut"], raw[x["s"] : x["s"] + x["n"] + WIDTH - 1]), strict=True):
+                    for c, v in zip(out, (x["gram"], *key, x["s"], x["cut"], x["crowd"], raw[x["s"] : x["s"] + x["n"] + WIDTH - 1]), strict=True):
                         c.append(v)
                 if len(out[0]) > 20000:
                     yield entries(out)
                     out = [[] for _ in _ENTRY]
             yield entries(out)
 
-    return texts.select(*ROW, "raw", "open").mapInArrow(run, "gram long, z byte, d long, t long, s int, cut short, bytes binary")
+    return texts.select(*ROW, "raw", "open").mapInArrow(run, "gram long, z byte, d long, t long, s int, cut short, crowd boolean, bytes binary")
 
 
 def _fixed(strings: list[bytes], group: np.ndarray, width: int) -> np.ndarray:
@@ -251,56 +251,78 @@ def later_windows(entries: list[bytes], cuts: np.ndarray, group: np.ndarray) ->
     return entry[hit], place[hit]
 
 
+def _spans(keys: np.ndarray, entry: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
+    """Windows by entry and place as runs: z, d, t, s of the first, and their number. keys: z, d, t, s of the entries."""
+    first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1] + 1) | (entry[1:] != entry[:-1])]))
+    k = keys[entry[first]]
+    return [k[:, 0].astype(np.int8), np.ascontiguousarray(k[:, 1]), np.ascontiguousarray(k[:, 2]), (k[:, 3] + place[first]).astype(np.int32), np.diff(np.append(first, len(entry))).astype(np.int32)]
+
+
+def _keys(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([batch.column(i).to_numpy().astype(np.int64) for i in (1, 2, 3, 4)], 1)
+
+
 def _later(entries: DataFrame) -> DataFrame:
     """Runs (z, d, t, s, n) of windows that start earlier too, from entries that share a trigger."""
 
     def run(batches):
         for batch in runs(batches, "gram"):
-            gram = batch.column(0).to_numpy()
-            keys = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in (1, 2, 3, 4)], 1)
+            gram, keys = batch.column(0).to_numpy(), _keys(batch)
             same = np.concatenate([[False], (gram[1:] == gram[:-1]) & (keys[1:] == keys[:-1]).all(1)])  # a row that was there twice
             rows = np.flatnonzero(~same)
-            cuts, strings = batch.column(5).to_numpy().astype(np.int64), batch.column(6)
+            cuts, strings = batch.column(5).to_numpy().astype(np.int64), batch.column(7)
             group = np.cumsum(np.concatenate([[True], gram[1:] != gram[:-1]]))[rows]
             starts = bounds(group // 500)[0]
             for a, b in zip(starts, [*starts[1:], len(rows)], strict=True):
                 mine = rows[a:b]
                 entry, place = later_windows([strings[i].as_py() for i in mine.tolist()], cuts[mine], group[a:b])
-                if not len(entry):
-                    continue
-                first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1] + 1) | (entry[1:] != entry[:-1])]))
-                n = np.diff(np.append(first, len(entry)))
-                k = keys[mine[entry[first]]]
-                columns = [k[:, 0].astype(np.int8), k[:, 1], k[:, 2], (k[:, 3] + place[first]).astype(np.int32), n.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=[*ROW, "s", "n"])
+                if len(entry):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in _spans(keys[mine], entry, place)], names=[*ROW, "s", "n"])
 
     dealt = entries.repartition("gram").sortWithinPartitions("gram", *ROW, "s")
     return dealt.mapInArrow(run, "z byte, d long, t long, s int, n int")
 
 
 def _later_in_crowds(entries: DataFrame) -> DataFrame:
-    """As _later, by the hashes of windows: for triggers with very many entries."""
+    """As _later, by the hashes of windows: for triggers with very many entries.
+
+    Of equal windows that a batch holds only the first goes to the shuffle.
+    """
 
     def run(batches):
         import xxhash
 
+        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            for at in range(0, len(batch), 2000):
-                part = batch.slice(at, 2000)
-                strings = part.column(6).to_pylist()
+            for at in range(0, len(batch), 5000):
+                part = batch.slice(at, 5000)
+                keys, gram, strings = _keys(part), part.column(0).to_numpy(), part.column(7).to_pylist()
                 if not strings:
                     continue
                 n = np.array([len(x) - WIDTH + 1 for x in strings])
                 entry = np.repeat(np.arange(len(strings)), n)
                 place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                made = np.array([xxhash.xxh3_64_intdigest(x[i : i + WIDTH]) for x in strings for i in range(len(x) - WIDTH + 1)], np.uint64).view(np.int64)
-                gram, z, d, t, s = (part.column(i).to_numpy()[entry] for i in range(5))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (gram, made, z, d, t, (s + place).astype(np.int32))], names=["gram", "window", *ROW, "s"])
-
-    windows = entries.mapInArrow(run, "gram long, window long, z byte, d long, t long, s int")
-    first = written(windows.groupBy("gram", "window").agg(F.min(F.struct(*ROW, "s")).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times"), "windows")
-    both = windows.join(first, ["gram", "window"]).where(F.struct(*ROW, "s") > F.col("first"))
-    return both.select(*ROW, "s", F.lit(1).alias("n"))
+                window = np.array([digest(x[i : i + WIDTH]) for x in strings for i in range(len(x) - WIDTH + 1)], np.uint64).view(np.int64)
+                own = keys[entry]
+                own[:, 3] += place
+                order = np.lexsort((own[:, 3], own[:, 2], own[:, 1], own[:, 0], window, gram[entry]))
+                a, b = order[1:], order[:-1]
+                equal = (window[a] == window[b]) & (gram[entry[a]] == gram[entry[b]])
+                again = np.zeros(len(window), bool)
+                again[a] = equal
+                # a row that was there twice is one place: not earlier than itself
+                again[a[equal & (own[a] == own[b]).all(1)]] = False
+                one, hit = np.flatnonzero(~again), np.flatnonzero(again)
+                z, d, t, s, k = _spans(keys, entry[hit], place[hit])
+                known = [np.full(len(z), x, np.int64) for x in (0, 0)]
+                columns = [*(np.concatenate(c) for c in zip([gram[entry[one]], window[one], own[one, 0].astype(np.int8), own[one, 1], own[one, 2], own[one, 3].astype(np.int32), np.ones(len(one), np.int32)], [*known, z, d, t, s, k], strict=True)), np.arange(len(one) + len(z)) >= len(one)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "window", *ROW, "s", "n", "known"])
+
+    windows = written(entries.mapInArrow(run, "gram long, window long, z byte, d long, t long, s int, n int, known boolean"), "windows")
+    new = windows.where("not known")
+    first = new.groupBy("gram", "window").agg(F.min(F.struct(*ROW, "s")).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
+    both = new.join(written(first, "first"), ["gram", "window"]).where(F.struct(*ROW, "s") > F.col("first"))
+    return both.select(*ROW, "s", "n").unionByName(windows.where("known").select(*ROW, "s", "n"))
 
 
 def _removed(texts: DataFrame, doc_id: str) -> DataFrame:
@@ -344,7 +366,9 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """doc_id, spans (start, end in bytes) removed as maximal runs, and kept, the bytes that remain, for each row."""
     id_ = F.col(doc_id).cast("long")
     raw = F.col(text).cast("string").cast("binary")
-    rows = docs.select(id_.alias("id"), id_.isNull().cast("byte").alias("z"), F.coalesce(id_, F.lit(0)).alias("d"), F.xxhash64(raw).alias("t"), raw.alias("raw"))
+    # where every row has an id of its own, the id alone tells rows apart
+    shared = not docs.groupBy(id_.alias("i")).count().where("count > 1").isEmpty()
+    rows = docs.select(id_.alias("id"), id_.isNull().cast("byte").alias("z"), F.coalesce(id_, F.lit(0)).alias("d"), (F.xxhash64(raw) if shared else F.lit(0).cast("long")).alias("t"), raw.alias("raw"))
     parsed = rows.where(F.octet_length("raw") >= WIDTH)
     heavy = F.coalesce("heavy", F.lit(False)) & ~F.col("known")
     seen = _parse(parsed).join(F.broadcast(_crowds(parsed)), "gram", "left").withColumn("heavy", heavy)
@@ -358,10 +382,10 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     texts = rows.repartition(*ROW)
     open_ = flagged.where("first").groupBy(*ROW).agg(F.collect_list(F.struct("gram", "s", "n", "cut", "crowd")).alias("open"))
     strings = texts.join(open_, [*ROW], "left")
-    few = _strings(strings.withColumn("open", F.filter("open", lambda x: ~x["crowd"])))
-    later = _later(few)
-    if not flagged.where("crowd and first").isEmpty():
-        later = later.unionByName(_later_in_crowds(_strings(strings.withColumn("open", F.filter("open", lambda x: x["crowd"])))))
+    entries = written(_strings(strings.where("open is not null")), "entries")
+    later = _later(entries.where("not crowd"))
+    if not entries.where("crowd").isEmpty():
+        later = later.unionByName(_later_in_crowds(entries.where("crowd")))
     cover = flagged.where("not first").select(*ROW, "s", F.col("n").cast("int").alias("n")).unionByName(later)
     cover = cover.groupBy(*ROW).agg(F.collect_list(F.struct("s", "n")).alias("cover"))
     return _removed(texts.join(cover, [*ROW], "left").select("id", "raw", "cover"), doc_id)
