@@ -14,7 +14,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most_of_each
     At most `most_of_each` rows of each class (0, 1): those of least hash of doc_id, so
     that the sample is random, yet the same on every run. Rows held out, rows without a
     label or text, and texts over `longest` characters are not used for fitting. Where a
-    document has several labels, the largest counts; of repeated rows all are used.
+    document has several labels, the largest counts; where an id has several texts, the least.
+    So at most 2 * `most_of_each` rows of `longest` characters come to the driver.
     """
     doc_id = "doc_id"
     known = (
@@ -29,7 +30,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most_of_each
         chosen = part if chosen is None else chosen.unionByName(part)
     rows = (
         docs.select(doc_id, F.col("text").cast("string").alias("text")).where(F.length("text").between(1, longest))
-        .join(F.broadcast(chosen), doc_id).select(doc_id, "text", "__y").collect()
+        .join(F.broadcast(chosen), doc_id).groupBy(doc_id, "__y").agg(F.min("text").alias("text")).select(doc_id, "text", "__y").collect()
     )
     rows.sort(key=lambda r: (r[0], r[1]))
     return [(r[1], r[2]) for r in rows], sizes

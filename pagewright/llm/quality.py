@@ -1,23 +1,23 @@
 """Quality by nearest-neighbour voting in a latent semantic space.
 
-A text becomes three hashed profiles: its words, the shapes of its words (case,
-punctuation, digits), and coarse statistics (how varied the words are, how long, how
-often one follows itself). Each is weighted, scaled to length one, and projected on the
-leading singular vectors of a sample of labelled texts. The sample's vectors are
-broadcast; every document's cosine with every one of them is computed exactly, block
-by block, and the nearest labels vote with their similarity as weight.
+A text becomes its terms: words and runs of punctuation as they stand, and one term, AGAIN,
+for each word that is the same as the one before it. Terms are hashed to BUCKETS, weigh the
+root of their count times their rarity in the sample, and the profile, scaled to length
+one, is projected on the leading singular vectors of a sample of labelled texts. The
+sample's vectors are broadcast; every document's cosine with every one of them is computed
+exactly, block by block, and the labels of the `neighbours` nearest vote with their cosine
+as weight. Nothing else enters a score.
 
 The sample is bounded (`most_of_each` rows of a class, a documented parameter), so what
 is broadcast is too: under 2 MB. Scoring covers whole texts of all documents. Null and
 empty texts have no vector: they score the sample's share of label 1. Repeated rows
-score alike.
+score alike. Columns of documents that bear a new column's name are replaced.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,59 +28,34 @@ from pyspark.sql import types as T
 from pagewright.llm.labelled import labelled_sample
 from pagewright.llm.shared import append_columns
 
-#: Buckets of the word, shape and statistics profiles, and the weight of each.
-WORDS, SHAPES, STATS = 2048, 1024, 128
-WEIGHTS = (0.4, 1.0, 1.5)
+BUCKETS = 4096
 CACHE_ENTRIES = 300_000
+AGAIN = "<again>"
 
-_RUNS = ((re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "X"), (re.compile(r"[a-zß-öø-ÿ]+"), "x"), (re.compile(r"\d+"), "9"))
-
-
-def shape(word: str) -> str:
-    """Runs of upper case, lower case and digits as one letter each; the rest as it is, 12 characters at most."""
-    for run, letter in _RUNS:
-        word = run.sub(letter, word)
-    return word[:12]
+_TERM = re.compile(r"\w+|[^\w\s]+")
 
 
 class _Buckets(dict):
-    """Word to its two buckets, as shape * 65536 + word."""
+    """Term to bucket."""
 
-    def __missing__(self, word: str) -> int:
-        made = zlib.crc32(shape(word).encode()) % SHAPES << 16 | zlib.crc32(word.lower().encode()) % WORDS
-        if len(word) <= 40:
+    def __missing__(self, term: str) -> int:
+        made = zlib.crc32(term.encode()) % BUCKETS
+        if len(term) <= 40:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()
-            self[word] = made
+            self[term] = made
         return made
 
 
 def profile(text: str | None, buckets: dict) -> np.ndarray | None:
-    """Logarithmic counts in all buckets; None without words."""
-    words = (text or "").split()
-    if not words:
+    """Roots of the counts of all terms by bucket; None without terms."""
+    terms = _TERM.findall(text or "")
+    if not terms:
         return None
-    n = len(words)
-    both = np.fromiter(map(buckets.__getitem__, words), np.int64, n)
-    low, high = both & 0xFFFF, both >> 16
-    distinct = len(set(words))
-    out = np.zeros(WORDS + SHAPES + STATS, np.float32)
-    out[:WORDS] = np.log1p(np.bincount(low, minlength=WORDS))
-    out[WORDS : WORDS + SHAPES] = np.bincount(high, minlength=SHAPES) / n
-    np.sqrt(out[WORDS : WORDS + SHAPES], out=out[WORDS : WORDS + SHAPES])
-    stats = (
-        min(15, int(16 * distinct / (n + 1) * min(1, n**0.3 / 4))),
-        min(15, int(sum(map(len, words)) / n)),
-        min(15, int(16 * float((both[1:] == both[:-1]).mean()))) if n > 1 else 0,
-        min(15, int(2 * np.log2(n))),
-        min(15, int(16 * np.bincount(low).max() / n)),
-        min(15, int(16 * np.bincount(high).max() / n)),
-        min(15, int(16 * sum(map(str.isalpha, words)) / n)),
-        min(15, int(16 * sum(map(str.isupper, words)) / n)),
-    )
-    for i, x in enumerate(stats):
-        out[WORDS + SHAPES + 16 * i + x] = 1
-    return out
+    counts = np.bincount(np.fromiter(map(buckets.__getitem__, terms), np.int64, len(terms)), minlength=BUCKETS)
+    words = text.split()
+    counts[buckets[AGAIN]] += sum(map(str.__eq__, words, words[1:]))
+    return np.sqrt(counts, dtype=np.float32)
 
 
 @dataclass(frozen=True)
@@ -94,24 +69,13 @@ class QualityModel:
     prior: float
 
     def project(self, profiles: np.ndarray) -> np.ndarray:
-        x = profiles * self.weight
-        _scale(x)
-        return _unit(x @ self.axes)
+        return _unit(_unit(profiles * self.weight) @ self.axes)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def _scale(x: np.ndarray) -> None:
-    """Each profile to its weight as length, in place."""
-    at = 0
-    for size, weight in zip((WORDS, SHAPES, STATS), WEIGHTS, strict=True):
-        part = x[:, at : at + size]
-        part *= weight / np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-12)
-        at += size
-
-
 def leading_axes(x: np.ndarray, dimensions: int, rounds: int = 8) -> np.ndarray:
     """Right singular vectors of the largest singular values, by subspace iteration from a fixed start."""
     if not len(x):
@@ -125,20 +89,16 @@ def leading_axes(x: np.ndarray, dimensions: int, rounds: int = 8) -> np.ndarray:
 
 
 def fit_texts(texts: list[str], labels: list[int], dimensions: int = 48) -> QualityModel:
-    buckets, width = _Buckets(), WORDS + SHAPES + STATS
-    x, y = np.empty((len(texts), width), np.float32), np.empty(len(texts), np.float32)
+    buckets = _Buckets()
+    x, y = np.empty((len(texts), BUCKETS), np.float32), np.empty(len(texts), np.float32)
     n = 0
     for text, label in zip(texts, labels, strict=True):
         if (made := profile(text, buckets)) is not None:
             x[n], y[n] = made, label
             n += 1
     x, y = x[:n], y[:n]
-    weight = np.ones(width, np.float32)
-    if n:
-        rarity = np.log((1 + n) / (1 + (x[:, :WORDS] > 0).sum(0))) + 0.1
-        weight[:WORDS] = rarity
-    x *= weight
-    _scale(x)
+    weight = (np.log((1 + n) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
+    x = _unit(x * weight)
     axes = leading_axes(x, dimensions)
     prior = float(y.mean()) if n else 0.5
     return QualityModel(weight, axes, _unit(x @ axes), y, prior)
@@ -150,19 +110,19 @@ def fit(docs: DataFrame, labels: DataFrame, most_of_each: int = 1500, longest: i
     return fit_texts([t for t, _ in rows], [y for _, y in rows], dimensions)
 
 
-def vote(vectors: np.ndarray, model: QualityModel, neighbours: int = 15) -> np.ndarray:
-    """Share of label 1 among the nearest, weighted by similarity (negative: none); ties by the sample's order."""
+def vote(vectors: np.ndarray, model: QualityModel, neighbours: int = 7) -> np.ndarray:
+    """Share of label 1 among the nearest, weighted by cosine (negative: none)."""
     if not len(model.vectors) or not len(vectors):
         return np.full(len(vectors), model.prior)
     near = vectors @ model.vectors.T
     k = min(neighbours, near.shape[1])
     at = np.argpartition(-near, k - 1, axis=1)[:, :k]
-    weight = np.maximum(np.take_along_axis(near, at, 1), 0).astype(np.float64) ** 4
+    weight = np.maximum(np.take_along_axis(near, at, 1), 0).astype(np.float64)
     total = weight.sum(1)
     return np.where(total > 0, (weight * model.labels[at]).sum(1) / np.maximum(total, 1e-300), model.prior)
 
 
-def score(docs: DataFrame, model: QualityModel, text: str = "text", neighbours: int = 15) -> DataFrame:
+def score(docs: DataFrame, model: QualityModel, text: str = "text", neighbours: int = 7) -> DataFrame:
     """docs with `score`, 0 to 1: how likely label 1 is. No shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

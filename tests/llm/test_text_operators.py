@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -406,6 +407,64 @@ def test_toxicity_finds_the_sentence():
         assert toxicity.score_text(odd, model)[0] == pytest.approx(model.leak)
 
 
+def test_toxicity_scores_by_brute_force(spark):
+    rng = random.Random(24)
+    model = toxicity.ToxicModel({"grobian": 5.0, "^grob": 2.5, "^schu": 4.0, "bad": 3.0}, -6.0, 0.02)
+
+    def naive(text):
+        clean = 1 - model.leak
+        for sentence in "".join("\n" if c in ".!?" else c for c in text or "").split("\n"):
+            seen = {"".join(c for c in w if c.isalnum()) for w in sentence.lower().split()} - {""}
+            z = model.bias + sum(model.weights.get(w, 0) + sum(model.weights.get(f"^{w[:n]}", 0) for n in (4, 5, 6) if len(w) >= n) for w in seen)
+            if seen:
+                clean *= 1 - 1 / (1 + np.exp(-z))
+        return 1 - clean
+
+    texts = [". ".join(" ".join(rng.choice(["grobian", "Schurke", "bad", "Bad", "fine", "grob", "day"]) for _ in range(rng.randint(0, 5))) for _ in range(rng.randint(0, 6))) for _ in range(60)] + [None, "", "?!", "bad " * 5000]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[0]])], DOC).withColumn("SCORE", F.lit("clash"))
+    made = {r.doc_id: r for r in toxicity.score(rows, model).collect()}
+    assert [made[i].score for i in range(len(texts))] == pytest.approx([naive(t) for t in texts])
+    assert made[0].score == made[len(texts)].score and "SCORE" not in rows.columns[:2]
+
+
+def test_quality_scores_by_brute_force(spark):
+    rng = random.Random(25)
+    sample = [words(rng, 30) + rng.choice([".", " | x", "!!"]) for _ in range(40)]
+    model = quality.fit_texts(sample, [rng.randint(0, 1) for _ in sample], 8)
+
+    def naive(text):
+        counts = [0.0] * quality.BUCKETS
+        import re
+
+        for term in re.findall(r"\w+|[^\w\s]+", text or ""):
+            counts[zlib.crc32(term.encode()) % quality.BUCKETS] += 1
+        if not any(counts):
+            return model.prior
+        w = text.split()
+        counts[zlib.crc32(b"<again>") % quality.BUCKETS] += sum(w[i] == w[i - 1] for i in range(1, len(w)))
+        x = np.array(counts) ** 0.5 * model.weight
+        x = x @ model.axes
+        cosine = [float(x @ v / np.sqrt(x @ x) / np.sqrt(v @ v)) for v in model.vectors.astype(float)]
+        near = sorted(zip(cosine, model.labels.tolist(), strict=True), reverse=True)[:7]
+        return sum(max(c, 0) * y for c, y in near) / sum(max(c, 0) for c, _ in near)
+
+    texts = [words(rng, rng.randint(1, 60)) + rng.choice(["", " | x", " a a a a"]) for _ in range(30)] + [None, "", " \n", "w " * 20000]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[0]])], DOC).withColumn("Score", F.lit("clash"))
+    made = {r.doc_id: r.score for r in quality.score(rows, model).select("doc_id", "score").collect()}
+    assert [made[i] for i in range(len(texts))] == pytest.approx([naive(t) for t in texts], abs=1e-4)
+    assert made[0] == made[len(texts)]
+
+
+def test_samples_are_bounded_by_document(spark):
+    from pagewright.llm.labelled import labelled_sample
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(30)] + [(2, "text 2")] * 50, DOC)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    rows, sizes = labelled_sample(docs, labels, "quality", 100, 1000)
+    kept = [i for i in range(30) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert sorted(rows) == sorted((f"text {i}", i % 2) for i in kept) and sum(sizes.values()) == len(kept)
+
+
 def test_models_without_labels_or_rows(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], DOC)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -426,8 +485,6 @@ def test_quality_votes_by_likeness():
 
 
 def test_held_out_is_crc32_of_the_id(spark):
-    import zlib
-
     rows = spark.range(50).select("id", held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 3 == 1) for r in rows)
 
