@@ -1,9 +1,10 @@
 """Connected components of a graph of links.
 
-Each task first replaces the links it reads, HELD at a time, by links of every id to the
-least one they connect it to: as many at most, and connected alike. Then large-star and
-small-star take turns, with that step after each turn, until a turn changes nothing. There
-is one way for all sizes. A centre that very many links share is pre-aggregated in its
+Links are dealt to tasks of about HELD. Each task replaces those it reads by links of every
+id to the least one they connect it to: as many at most, and connected alike. Then
+large-star and small-star take turns, with that step after each turn, until all links are
+stars: no id has two links downwards, and none that has one is the end of another. There is
+one way for all sizes. A centre that very many links share is pre-aggregated in its
 minimum; its joins are between written tables, which Spark splits where a key is skewed.
 """
 
@@ -59,9 +60,9 @@ def _contracted(links: DataFrame) -> DataFrame:
     return links.select("a", "b").mapInArrow(run, "a long, b long")
 
 
-def _tidy(links: DataFrame) -> DataFrame:
+def _tidy(links: DataFrame, tasks: int) -> DataFrame:
     """Links from the larger id to the smaller, each once, contracted, as a table."""
-    plain = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    plain = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().coalesce(tasks)
     return written(_contracted(plain), "links")
 
 
@@ -70,23 +71,31 @@ def _least(pairs: DataFrame) -> DataFrame:
     return written(pairs.groupBy(F.col("a").alias("x")).agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
 
 
+def _settled(links: DataFrame) -> bool:
+    """Whether every id has one link at most, and those that links end in have none."""
+    ends = links.select(F.col("a").alias("id"), F.lit(1).alias("from"), F.lit(0).alias("to")).unionByName(links.select(F.col("b").alias("id"), F.lit(0).alias("from"), F.lit(1).alias("to")))
+    seen = ends.groupBy("id").agg(F.sum("from").alias("n"), F.max("to").alias("to"))
+    return seen.where("n > 1 or (n = 1 and to = 1)").isEmpty()
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component): every id of the links (a, b) with the least id it is connected to.
 
     Links only ever shrink towards the least ids; rounds grow with the logarithm of the
     longest path.
     """
-    links, before = _tidy(links), None
+    links = written(links.select("a", "b"), "raw")
+    tasks = max(1, -(-links.count() // HELD))
+    links = _tidy(links, tasks)
     for _ in range(most_rounds):
-        state = links.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first()
-        if state == before or not state[0]:
-            return links.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
-        before = state
+        if _settled(links):
+            ends = links.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
+            return links.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(ends)
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: the larger neighbours of each a go to the least of a and all its neighbours
         large = both.join(_least(both), F.col("a") == F.col("x")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = _tidy(large)
+        large = _tidy(large, tasks)
         # small star: the smaller neighbours of each a, and a itself, go to the least of them
         small = large.join(_least(large), F.col("a") == F.col("x")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        links = _tidy(small)
+        links = _tidy(small, tasks)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

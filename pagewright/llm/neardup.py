@@ -249,20 +249,20 @@ def _link_parts(rows: DataFrame, per: int) -> DataFrame:
     return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, "a long, b long")
 
 
-def _around_hubs(large: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows (node, id) of large nodes (node, id, first) as (node, id, first, near, around): how they stand to their hub."""
-    hubs = large.select("node", "first").distinct().join(sets.select(F.col("id").alias("first"), F.col("brief").alias("hub")), "first").select("node", "hub")
-    rows = large.join(sets.select("id", "brief"), "id").join(hubs, "node")
+def _around_hubs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (id, first) of a set and a hub as (id, first, near, around): how the set stands to the hub."""
+    briefs = sets.select("id", "brief")
+    rows = pairs.join(briefs, "id").join(briefs.select(F.col("id").alias("first"), F.col("brief").alias("hub")), "first")
 
     def run(batches):
         for batch in batches:
             if not len(batch):
                 continue
-            mine, hub = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(len(batch), COORDINATES) for i in (3, 4))
+            mine, hub = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(len(batch), COORDINATES) for i in (2, 3))
             share = (mine == hub).mean(1)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(share >= NEAR), pa.array(share >= AROUND)], names=["node", "id", "first", "near", "around"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(2)), pa.array(share >= NEAR), pa.array(share >= AROUND)], names=["id", "first", "near", "around"])
 
-    return rows.select("node", "id", "first", "brief", "hub").mapInArrow(run, "node long, id long, first long, near boolean, around boolean")
+    return rows.select("id", "first", "brief", "hub").mapInArrow(run, "id long, first long, near boolean, around boolean")
 
 
 def _among(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
@@ -275,26 +275,27 @@ def _among(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
 
 def _candidates(sets: DataFrame, per: int) -> DataFrame:
     """Groups (grp, id, hub) of sets (id, n, sketch, brief) that may be similar: what the trees find; hub is null in groups of leaves."""
-    rows = _branch(sets.select("id", "sketch"), root=True)
-    found, none = [], F.lit(None).cast("long").alias("hub")
+    every, leaves, found = sets, [], []
     around = lambda rows: rows.select(F.xxhash64("first", F.lit(1)).alias("grp"), "id", F.col("first").alias("hub"))
+    rows = _branch(sets.select("id", "sketch"), root=True)
     for level in range(1, DEPTH + 1):
         rows = written(rows, "nodes")
         sizes = written(rows.groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("first")).where("size > 1"), "sizes")
         sized = written(rows.join(sizes, "node"), "sized")
-        small = sized.where(F.col("size") <= LEAF).select("node", "id")
-        found.append(_compare_leaves(small.join(sets, "id").select("node", "id", "n", "brief"), per).select("grp", "id", none))
-        large = sized.where(F.col("size") > LEAF)
+        leaves.append(sized.where(F.col("size") <= LEAF).select("node", "id"))
+        large = sized.where(F.col("size") > LEAF).select("node", "id", "first")
         if large.isEmpty():
             break
         if level == DEPTH:
             found.append(around(large))
             break
-        ids = written(large.select("id").distinct(), "ids")
-        sets = written(_among(sets, "id", ids).join(ids, "id", "left_semi"), "narrowed")
-        placed = written(_around_hubs(large.select("node", "id", "first"), sets), "placed")
-        found.append(around(placed.where("around")))
-        rows = _branch(placed.where("not near").select("node", "id").join(sets.select("id", "sketch"), "id"), root=False)
+        sets = written(_among(sets, "id", large), "narrowed")
+        judged = written(_around_hubs(large.select("id", "first").distinct(), sets), "judged")
+        found.append(around(judged.where("around")))
+        stay = large.join(judged.where("not near"), ["id", "first"]).select("node", "id")
+        rows = _branch(stay.join(sets.select("id", "sketch"), "id"), root=False)
+    small = reduce(DataFrame.unionByName, leaves).join(every.select("id", "n", "brief"), "id").select("node", "id", "n", "brief")
+    found.append(_compare_leaves(small, per).select("grp", "id", F.lit(None).cast("long").alias("hub")))
     return written(reduce(DataFrame.unionByName, found).distinct(), "groups")
 
 
@@ -315,11 +316,11 @@ def _confirmed(full: DataFrame, per: int) -> DataFrame:
     slim = many.select("grp", "size", "id").join(settled, "id", "left").withColumn("component", F.coalesce("component", "id"))
     slim = written(slim, "settled")
     counts = slim.groupBy("grp", "component").count()
-    largest = written(counts.groupBy("grp").agg(F.max(F.struct("count", "component"))["component"].alias("largest"), F.sum("count").alias("n")), "largest")
+    largest = written(counts.groupBy("grp").agg(F.max(F.struct("count", "component"))["component"].alias("largest"), (F.sum("count") - F.max("count")).alias("n_rest")), "largest")
     rest = written(slim.join(largest, "grp").where("component <> largest").select("grp", "id"), "rest")
     if rest.isEmpty():
         return components(links.unionByName(first))
-    counts = written(rest.groupBy("grp").agg(F.count("*").alias("n_rest")), "counts")
+    counts = largest.where("n_rest > 0").select("grp", "n_rest")
     batches = F.ceil(F.col("n_rest") * 2 / GROUP).cast("int")
     rest_sets = many.join(rest, ["grp", "id"], "left_semi").join(counts, "grp").withColumn("batch", F.pmod(F.xxhash64("id", F.lit(3)), batches).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
     whole = every.join(counts, "grp").withColumn("batch", F.explode(F.sequence(F.lit(0), batches - 1)))
