@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import argparse
+import posixpath
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.operators.recognise import ENGINES, Settings
 from pagewright.plans import workflows
-from pagewright.sources import writers
+from pagewright.sources import renderers, writers
 
 
 def parser() -> argparse.ArgumentParser:
@@ -19,17 +20,24 @@ def parser() -> argparse.ArgumentParser:
     ocr.add_argument("input_path")
     ocr.add_argument("--output-dir", default="outputs")
     ocr.add_argument("--engine", choices=["ensemble", *sorted(ENGINES)], default="ensemble")
-    for option, default, kind in (("--languages", "tha+eng", str), ("--paddle-lang", "th", str), ("--dpi", 300, int), ("--min-confidence", 0.0, float), ("--device", "cpu", str)):
-        ocr.add_argument(option, default=default, type=kind)
-    for flag in ("--no-preprocess", "--no-deskew", "--save-debug-images"):
-        ocr.add_argument(flag, action="store_true")
+    ocr.add_argument("--languages", default="tha+eng")
+    ocr.add_argument("--paddle-lang", default="th")
+    ocr.add_argument("--dpi", default=300, type=int)
+    ocr.add_argument("--min-confidence", default=0.0, type=float)
+    ocr.add_argument("--device", default="cpu")
+    ocr.add_argument("--renderer", default="poppler", help="of PDF pages: poppler, or module:function")
+    ocr.add_argument("--no-preprocess", action="store_true")
+    ocr.add_argument("--no-deskew", action="store_true")
+    ocr.add_argument("--save-debug-images", action="store_true")
+    ocr.add_argument("--no-text-files", action="store_true", help="only JSON lines, for large corpora")
     evaluate = commands.add_parser("evaluate", help="compare a prediction with ground truth")
     evaluate.add_argument("ground_truth_json")
     evaluate.add_argument("prediction_json")
     evaluate.add_argument("--output", default="outputs/evaluation_result.json")
+    evaluate.add_argument("--strip-page-markers", action="store_true")
     extract = commands.add_parser("curriculum", help="extract courses from recognised lines")
     extract.add_argument("input_path", nargs="?", default="outputs/sample_ocr.json")
-    extract.add_argument("--output", default="outputs/extracted_curriculum.json")
+    extract.add_argument("--output", help="beside the input unless given")
     return top
 
 
@@ -44,14 +52,15 @@ def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("pagewright").getOrCreate()
     if args.command == "ocr":
-        workflows.run_recognition(spark, args.input_path, args.output_dir, settings_of(args)).select("source_path", "email", "date", "numeric_id", "phone").show(truncate=False)
+        made = workflows.run_recognition(spark, args.input_path, args.output_dir, settings_of(args), renderers.named(args.renderer), not args.no_text_files)
+        made.select("source_path", "email", "date", "numeric_id", "phone").show(truncate=False)
     elif args.command == "evaluate":
-        result = workflows.evaluate_files(spark, args.ground_truth_json, args.prediction_json)
+        result = workflows.evaluate_files(spark, args.ground_truth_json, args.prediction_json, args.strip_page_markers)
         writers.save_json(result, args.output)
         result.show(truncate=False)
     else:
         made = workflows.extract_curriculum_from_file(spark, args.input_path)
-        writers.save_json(made.drop("doc"), args.output)
+        writers.save_json(made.drop("doc"), args.output or posixpath.join(posixpath.dirname(args.input_path), "extracted_curriculum.json"))
         made.select("source", "program", "plan", F.size("courses").alias("courses")).show(truncate=False)
 
 

@@ -12,8 +12,12 @@ def with_ground_truth(predictions: DataFrame, truth: DataFrame, path: str = "sou
     """predictions with reference, from truth (key, reference), by file name, or else by stem.
 
     An empty reference under the name counts as none. Without any, strict fails; otherwise
-    reference is null. The planner chooses the joins: truth may be as large as predictions.
+    reference is null. Of references with one key the last counts, by column `at` where truth
+    has it, else the greatest text. The planner chooses the joins: truth may be as large as
+    predictions.
     """
+    last = F.max_by("reference", "at") if "at" in truth.columns else F.max("reference")
+    truth = truth.groupBy("key").agg(last.alias("reference"))
     named = predictions.withColumns({"__name": file_name(F.col(path)), "__stem": file_stem(F.col(path))})
     one = truth.select(F.col("key").alias("__name"), F.col("reference").alias("__by_name"))
     two = truth.select(F.col("key").alias("__stem"), F.col("reference").alias("__by_stem"))

@@ -99,3 +99,8 @@ def split_pages(docs: DataFrame, text: str = "text") -> DataFrame:
     pages = F.arrays_zip(numbers.alias("n"), bodies.alias("b"))
     rows = docs.select("*", F.posexplode(pages).alias("__i", "__page"))
     return rows.withColumns({"page_index": F.col("__i") + 1, "page": F.col("__page.n").cast("int"), "body": F.col("__page.b")}).drop("__i", "__page")
+
+
+def without_markers(text: Column) -> Column:
+    """A document's text without the headings of its pages."""
+    return F.regexp_replace(text, r"--- Page \d+ ---\n?", "")

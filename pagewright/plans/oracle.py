@@ -79,7 +79,8 @@ _PLAN = r"""items as (
     when 3 then case l_partkey % 3 when 0 then '77' when 1 then '|' else ' ' end
     when 4 then case when l_suppkey % 5 = 0 then '(3-0-6)' else q || ' (' || q || ' - 0 - 6))' end
     when 5 then 'flag  ' || l_returnflag || ' status ' || l_linestatus
-    when 6 then case when l_partkey % 7 = 0 then 'Total' else '12345 6' end
+    when 6 then [' Total ', '12345 6', 'รวม', 'เธฃเธงเธก', 'รวม 3', 'รวมตลอด 120', 'x เธฃเธงเธกเธ•เธฅเธญเธ” y', 'วท.บ.',
+                 'เธงเธ— 2560', 'เธ' || chr(132) || 'เธ“เธฐ', 'เธชเธ' || chr(136) || 'เธฅ', 'มคอ 2', 'คณะ', 'สจล', 'total 9', '12345 6'][(l_partkey % 16 + 1)::int]
     else 'last line' end as text
   from items, unnest(range(1, 8)) u(i)
 ), ordered as (
@@ -93,7 +94,8 @@ _PLAN = r"""items as (
 ), opened as (
   select * from blocked where blk > 0
 ), trimmed as (
-  select * from (select *, max((not code_row and lower(t) = 'total')::int) over (partition by doc, page, blk order by pos rows unbounded preceding) as stopped from opened) where stopped = 0
+  select * from (select *, max((not code_row and (lower(t) in ('total', 'รวม', 'เธฃเธงเธก') or contains(t, 'รวมตลอด') or contains(t, 'เธฃเธงเธกเธ•เธฅเธญเธ”')
+    or contains(t, 'เธงเธ—') or contains(t, 'เธ' || chr(132) || 'เธ“เธฐ') or contains(t, 'เธชเธ' || chr(136) || 'เธฅ') or contains(t, 'มคอ')))::int) over (partition by doc, page, blk order by pos rows unbounded preceding) as stopped from opened) where stopped = 0
 ), credited as (
   select *, case when not code_row then nullif(regexp_extract(replace(tight, '))', ')'), '\d+\(\d+-\d+-\d+\)'), '') end as credit from trimmed
 ), split as (

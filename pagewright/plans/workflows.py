@@ -22,25 +22,35 @@ def recognised_documents(pages: DataFrame, settings: Settings = Settings()) -> D
     return whole.select(F.col("doc").alias("source_path"), F.lit(settings.engine).alias("engine"), "text", full.alias("pages"))
 
 
-def run_recognition(spark: SparkSession, path: str, folder: str, settings: Settings = Settings(), renderer=None) -> DataFrame:
-    """Recognises the documents at a path, writes them and their fields under folder, and returns them."""
+def run_recognition(spark: SparkSession, path: str, folder: str, settings: Settings = Settings(), renderer=None, text_files: bool = False) -> DataFrame:
+    """Recognises the documents at a path, writes them and their fields under folder, and returns them.
+
+    text_files: a plain text file for each document too.
+    """
     pages = readers.document_pages(spark, path, renderer, settings.dpi)
     if settings.preprocess and settings.save_debug_images:
         writers.save_images(prepared_images(pages, settings), folder)
     writers.save_documents(recognised_documents(pages, settings), folder)
     written = readers.recognised_json(spark, f"{folder}/json")
+    if text_files:
+        writers.save_text_files(written, folder)
     written.select(fields_json(F.col("text")).alias("value")).write.mode("overwrite").text(f"{folder}/fields")
     return with_fields(written)
 
 
-def evaluate(predictions: DataFrame, truth: DataFrame, strict: bool = True, tokenizer: str = "compat") -> DataFrame:
-    """One result for each prediction (source_path, text) against truth (key, reference)."""
+def evaluate(predictions: DataFrame, truth: DataFrame, strict: bool = True, tokenizer: str = "compat", strip_page_markers: bool = False) -> DataFrame:
+    """One result for each prediction (source_path, text) against truth (key, reference).
+
+    The headings of pages that documents carry count as text, unless they are stripped.
+    """
     both = joins.with_ground_truth(predictions, truth, strict=strict)
+    if strip_page_markers:
+        both = both.withColumn("text", lines.without_markers(F.col("text")))
     return both.select(*evaluation(file_name(F.col("source_path")), F.col("reference"), F.col("text"), tokenizer))
 
 
-def evaluate_files(spark: SparkSession, truth_path: str, prediction_path: str) -> DataFrame:
-    return evaluate(readers.recognised_json(spark, prediction_path), readers.ground_truth(spark, truth_path))
+def evaluate_files(spark: SparkSession, truth_path: str, prediction_path: str, strip_page_markers: bool = False) -> DataFrame:
+    return evaluate(readers.recognised_json(spark, prediction_path), readers.ground_truth(spark, truth_path), strip_page_markers=strip_page_markers)
 
 
 def extract_curriculum(found: DataFrame, program: str = "DSBA", plan: str = "no_coop", repair_footers: bool = False) -> DataFrame:

@@ -53,8 +53,21 @@ def decoded_images(spark: SparkSession, path: str, invalid: str = "raise") -> Da
 
 
 def recognised_json(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each JSON document; keys that are missing are null."""
-    return spark.read.schema(schemas.DOCUMENT).option("multiLine", True).json(path)
+    """One row for each JSON document: a file with one document at a path that ends in .json, else a document a line. Keys that are missing are null."""
+    return spark.read.schema(schemas.DOCUMENT).option("multiLine", path.lower().endswith(".json")).json(path)
+
+
+def loose_json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """As json_lines of one JSON document, with texts as a loose reader takes them: null is "None", a missing text is empty."""
+    line = "map<string,string>"
+    whole = spark.read.text(path, wholetext=True)
+    docs = whole.select(F.from_json("value", f"source_path string, pages array<struct<page:int,lines:array<{line}>>>").alias("d")).select(F.coalesce("d.source_path", F.lit(path)).alias("doc"), "d.pages")
+    pages = docs.select("doc", F.posexplode("pages").alias("__i", "p"))
+    lines = pages.select("doc", F.col("p.page").alias("page"), (F.col("__i") + 1).alias("page_index"), F.posexplode("p.lines").alias("__j", "line"))
+    given = F.when(F.map_contains_key("line", "text"), F.coalesce(F.try_element_at("line", F.lit("text")), F.lit("None"))).otherwise("")
+    part = lambda name: F.try_element_at("line", F.lit(name))
+    box = F.from_json(part("box"), "array<array<double>>")
+    return lines.select("doc", "page", "page_index", (F.col("__j") + 1).alias("seq"), given.alias("text"), part("confidence").try_cast("double").alias("confidence"), box.alias("box"), part("engine").alias("engine"))
 
 
 def json_lines(docs: DataFrame) -> DataFrame:
@@ -80,15 +93,15 @@ def text_lines(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFra
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of one path: JSON by its suffix in any case, else text."""
     if path.lower().endswith(".json"):
-        return json_lines(recognised_json(spark, path).withColumn("source_path", F.coalesce("source_path", F.lit(path))))
+        return loose_json_lines(spark, path)
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc"), F.col("value").alias("text"))
     return text_lines(whole)
 
 
 def ground_truth(spark: SparkSession, path: str) -> DataFrame:
-    """key, reference of a JSON object of texts."""
+    """at, key, reference of a JSON object of texts, at being the place of a pair in it."""
     whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.explode(F.from_json("value", schemas.GROUND_TRUTH)).alias("key", "reference"))
+    return whole.select(F.posexplode(F.from_json("value", schemas.GROUND_TRUTH)).alias("at", "key", "reference"))
 
 
 def rules(spark: SparkSession, path: str) -> DataFrame:

@@ -94,3 +94,27 @@ def test_paths(spark):
     assert column(spark, given, tx.file_stem) == ["b", "x.tar", ".hidden", ".b", "dir", "noext"]
     assert column(spark, given, tx.is_image) == [False, False, False, True, False, False]
     assert column(spark, given, tx.is_pdf) == [True, False, False, False, False, False]
+
+
+def test_word_error_rate_of_long_turns_by_brute_force(spark):
+    import random
+
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 3)))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    pairs = []
+    for _ in range(12):
+        ref = [word() for _ in range(rng.randint(1, 400))]
+        pairs.append((" ".join(ref), " ".join(w for w in ref if rng.random() > 0.2)))
+    rows = spark.createDataFrame(pairs, "ref string, hyp string")
+    made = rows.select("ref", "hyp", metrics.word_error_rate(F.col("ref"), F.col("hyp")).alias("wer")).collect()
+    for r in made:
+        assert r.wer == pytest.approx(distance(r.ref.split(), r.hyp.split()) / len(r.ref.split()))

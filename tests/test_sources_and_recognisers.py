@@ -34,6 +34,50 @@ def test_documents_from_images(spark, scan, tmp_path):
     assert json.loads(back) == {}
 
 
+def test_documents_that_share_a_stem(spark, tmp_path):
+    for name, rows in (("a", 4), ("b", 7)):
+        (tmp_path / name).mkdir()
+        image = np.full((60, 80), 255, np.uint8)
+        image[10 : 10 + rows] = 0
+        (tmp_path / name / "x.png").write_bytes(encoded(image))
+    settings = recognise.Settings(engine="blocks", preprocess=False)
+    made = workflows.run_recognition(spark, f"{tmp_path}/*/x.png", str(tmp_path / "out"), settings, text_files=True).collect()
+    assert sorted((r.source_path[-7:], r.text[-10:]) for r in made) == [("a/x.png", "band 10-14"), ("b/x.png", "band 10-17")]
+    texts = sorted(p.read_text()[-10:] for p in (tmp_path / "out/text").glob("x-*_ocr.txt"))
+    assert texts == ["band 10-14", "band 10-17"]
+
+
+def test_renderers_by_name(spark, tmp_path):
+    from pagewright.sources import renderers
+
+    assert renderers.named("poppler") is renderers.poppler and renderers.named("json:dumps") is json.dumps
+    with pytest.raises(ValueError, match="unknown renderer: none"):
+        renderers.named("none")
+
+
+def test_texts_of_a_loose_reader(spark, tmp_path):
+    lines = [{"text": None, "box": [[1, 2], [3, 4]]}, {"text": "a", "confidence": 0.5}, {"engine": "e"}]
+    (tmp_path / "l.json").write_text(json.dumps({"pages": [{"page": 1, "lines": lines}]}))
+    made = readers.read_lines(spark, str(tmp_path / "l.json")).orderBy("seq").collect()
+    assert [(r.text, r.confidence, r.box, r.engine) for r in made] == [("None", None, [[1.0, 2.0], [3.0, 4.0]], None), ("a", 0.5, None, None), ("", None, None, "e")]
+
+
+def test_the_curriculum_lies_beside_its_input(spark, tmp_path):
+    line = {"text": "01236049", "box": [[0, 1]]}
+    (tmp_path / "o.json").write_text(json.dumps({"pages": [{"page": 1, "lines": [line, {"text": "NAME", "box": [[0, 2]]}]}]}))
+    cli.main(["curriculum", str(tmp_path / "o.json")])
+    made = "".join(p.read_text() for p in (tmp_path / "extracted_curriculum.json").glob("part-*"))
+    assert json.loads(made)["courses"][0]["code"] == "01236049"
+
+
+def test_page_headings_may_be_stripped(spark, tmp_path):
+    (tmp_path / "gt.json").write_text('{"doc.pdf": "old", "doc.pdf": "a b"}')
+    (tmp_path / "p.json").write_text(json.dumps({"source_path": "x/doc.pdf", "text": "--- Page 1 ---\na b"}))
+    paths = str(tmp_path / "gt.json"), str(tmp_path / "p.json")
+    assert not workflows.evaluate_files(spark, *paths).first().exact_match
+    assert workflows.evaluate_files(spark, *paths, strip_page_markers=True).first().exact_match
+
+
 def test_debug_images_of_all_documents(spark, tmp_path):
     import zlib
 
