@@ -70,7 +70,7 @@ def _marked(text):
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations in ASCII as references, and as a poor recogniser would read them."""
-    turns = table(spark, sf_dir, "conversations")
+    turns = readers.spread(table(spark, sf_dir, "conversations"))
     ref = F.regexp_replace("text", r"[^\x00-\x7f]", "?")
     hyp = F.replace(F.replace(ref, F.lit("rn"), F.lit("m")), F.lit("e"), F.lit("c"))
     return turns.select("conv_id", "turn", ref.alias("ref"), hyp.alias("hyp"))

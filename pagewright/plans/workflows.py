@@ -43,7 +43,7 @@ def evaluate(predictions: DataFrame, truth: DataFrame, strict: bool = True, toke
 
     The headings of pages that documents carry count as text, unless they are stripped.
     """
-    both = joins.with_ground_truth(predictions, truth, strict=strict)
+    both = readers.spread(joins.with_ground_truth(predictions, truth, strict=strict))
     if strip_page_markers:
         both = both.withColumn("text", lines.without_markers(F.col("text")))
     return both.select(*evaluation(file_name(F.col("source_path")), F.col("reference"), F.col("text"), tokenizer))

@@ -14,6 +14,12 @@ from pagewright.operators.lines import split_pages
 PAGES = "doc string, page int, image_path string, content binary"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as the session has cores, where its scan gives fewer: for rows that cost much more to work on than to move."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def document_pages(spark: SparkSession, path: str, renderer: Callable[[bytes, int], Iterator[bytes]] | None = None, dpi: int = 300) -> DataFrame:
     """doc, page, image_path, content of every page of the images and PDFs at a path or pattern.
 
