@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 
 from pagewright.llm import ann, bpe, mixing, neardup, quality, repeats, secrets, sql, tokencount, topk, toxicity
 from pagewright.llm.shared import fresh_path, held_out
+from pagewright.sources.readers import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table; over as many partitions as there are cores where a small file gives fewer."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _vocabulary() -> tuple[str, str]:
     import public_tokenizers
 
@@ -22,13 +28,13 @@ def _vocabulary() -> tuple[str, str]:
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes documents into flat token files, then counts tokens from those files alone."""
     end = 50256  # free in the vocabulary
-    manifest = tokencount.write_flat(table(spark, sf_dir, "documents"), bpe.encoder(spark, *_vocabulary()), end, fresh_path(spark, "tokens"))
+    manifest = tokencount.write_flat(documents(spark, sf_dir), bpe.encoder(spark, *_vocabulary()), end, fresh_path(spark, "tokens"))
     counted = tokencount.token_counts(manifest.select("file", "bytes").distinct(), end)
     return manifest.join(counted, ["file", "ordinal"]).select("doc_id", "n_tokens", "start", "closed")
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     made = bpe.encode(docs, *_vocabulary(), decoded="decoded")
     return made.select(
         "doc_id",
@@ -48,7 +54,7 @@ def _judged(made: DataFrame, line: float) -> DataFrame:
 
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = repeats.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    made = repeats.without_repeats(documents(spark, sf_dir))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + (x["end"] - x["start"]))
     return made.select(
         "doc_id",
@@ -65,7 +71,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, per=80)
+    made = neardup.near_duplicates(documents(spark, sf_dir), words=4, per=80)
     return made.select("doc_id", "n_shingles", "component_id", "kept")
 
 
@@ -83,7 +89,7 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     return _judged(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))), 0.7)
 
 
@@ -96,7 +102,7 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     return _judged(quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"))), 0.5)
 
 

@@ -10,13 +10,16 @@ over stretches, so that a file of any size is no single task's work.
 
 Documents without tokens count 0. What follows the last separator of a file is a
 document that is not closed, if it has any token. A file whose size is no multiple of
-the width is an error. Files without ids give no row.
+the width is an error, and so is a separator that is a token. Files without ids give no
+row. Null texts have no tokens; repeated rows and rows without an id are documents each;
+extra columns are not read; empty tables give no file that is mentioned.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,20 @@ def _open(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def flat_ids(made: list[list[int]], end: int, width: int) -> np.ndarray:
+    """Lists of ids one after another, each closed by end. An id that the width cannot hold, or that is end, is an error."""
+    sizes = np.fromiter(map(len, made), np.int64, len(made))
+    out = np.full(int(sizes.sum()) + len(made), end, np.int64)
+    inside = np.ones(len(out), bool)
+    inside[np.cumsum(sizes + 1) - 1] = False
+    out[inside] = np.fromiter(chain.from_iterable(made), np.int64, int(sizes.sum()))
+    if len(out) and (out.min() < 0 or out.max() >= 1 << 8 * width):
+        raise ValueError(f"an id does not fit in {width} bytes")
+    if (out[inside] == end).any():
+        raise ValueError(f"the separator {end} is a token")
+    return out.astype(f"<u{width}")
+
+
 def write_flat(docs: DataFrame, encoder: Callable[[], Callable[[list], list[list[int]]]], end: int, folder: str, width: int = 2, text: str = "text") -> DataFrame:
     """Encodes docs (doc_id, text) into flat files in a shared folder; returns their manifest (file, bytes, ordinal, doc_id).
 
@@ -50,8 +67,7 @@ def write_flat(docs: DataFrame, encoder: Callable[[], Callable[[list], list[list
         ids, ordinal = [], 0
         with store.open_output_stream(f"{path}/{uri.rpartition('/')[2]}") as out:
             def put(keys: list, texts: list) -> None:
-                flat = [x for made in encode(texts) for x in (*made, end)]
-                out.write(np.array(flat, f"<u{width}").tobytes())
+                out.write(flat_ids(encode(texts), end, width).tobytes())
                 ids.extend(keys)
 
             for batch in batches:

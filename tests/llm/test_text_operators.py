@@ -61,6 +61,23 @@ def test_token_counts(spark, block):
     assert counted.where("not closed").count() == 0
 
 
+def test_token_counts_of_odd_rows(spark):
+    encode, flat = bpe.encoder(spark, RANKS, VOCABULARY.PATTERN), lambda: fresh_path(spark, "flat")
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (None, None), (2, "w " * 30000)], DOC).withColumn("FILE", F.lit("clash"))
+    manifest = tokencount.write_flat(docs, encode, 50256, flat())
+    made = manifest.join(tokencount.token_counts(manifest.select("file", "bytes").distinct(), 50256), ["file", "ordinal"]).collect()
+    codec = bpe.Codec(bpe.read_ranks(RANKS), VOCABULARY.PATTERN)
+    long = len(codec.encode("w " * 30000))
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in made) == [(0, 0), (0, 1), (1, 2), (1, 2), (2, long)]
+    none = tokencount.write_flat(docs.limit(0), encode, 50256, flat())
+    assert none.count() == 0 and tokencount.token_counts(none.select("file", "bytes").distinct(), 50256).count() == 0
+    with pytest.raises(ValueError, match="does not fit in 2 bytes"):
+        tokencount.flat_ids([[1, 65536]], 9, 2)
+    with pytest.raises(ValueError, match="the separator 9 is a token"):
+        tokencount.flat_ids([[], [1, 9]], 9, 2)
+    assert tokencount.flat_ids([[5], [], [6, 7]], 9, 2).tolist() == [5, 9, 9, 6, 7, 9]
+
+
 def test_token_counts_of_an_open_file(spark, tmp_path):
     (tmp_path / "t.bin").write_bytes(np.array([5, 9, 9, 7, 8], "<u2").tobytes())
     (tmp_path / "empty.bin").write_bytes(b"")
