@@ -30,9 +30,9 @@ some sets (the hub and pivots); whatever is then outside the group's largest com
 compared with all of the group in further parts, so no link is lost, no task holds more
 than about two parts, and no pair is written: a part gives at most one link a set.
 
-What is needed again of the sets or texts of candidates is found by a map of bits, one of
-64 * WORDS for each id's hash, which is broadcast and never larger than WORDS numbers;
-what it lets through is then joined exactly. There is one way for all sizes.
+What is needed again of the sets or texts of candidates is found by a map of bits of a
+bounded size (see shared.marked); what it lets through is then joined exactly. There is one
+way for all sizes.
 
 Texts are lower-cased in A-Z only, words are runs of anything but ASCII white space.
 Null texts, and texts without words, have an empty set and are linked with nothing.
@@ -52,15 +52,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagewright.llm.components import components, least_connected
-from pagewright.llm.shared import SPREAD, append_columns, bounds, mixed, runs, written
+from pagewright.llm.shared import SPREAD, append_columns, bounds, marked, mixed, runs, written
 
 COORDINATES, LEAF, BRANCHES, TREES, DEPTH = 128, 256, 2, 5, 4
 #: Sets that one task links, at most; pivots that all parts of a larger group share.
 GROUP, PIVOTS = 1024, 64
 #: Least share of equal coordinates of a candidate, below the threshold by six deviations.
 SLACK = 6.0
-#: Numbers of 64 bits in the map of ids that is broadcast.
-WORDS = 1 << 18
 #: Shares of a hub's coordinates at which a set leaves a large node, and is the hub's candidate.
 NEAR, AROUND = 0.80, 0.38
 CACHE_ENTRIES = 400_000
@@ -266,11 +264,8 @@ def _around_hubs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _among(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """The rows whose key may be one of ids (id): all that are, and few others, without a shuffle of rows."""
-    place = lambda c: F.pmod(F.shiftrightunsigned(F.xxhash64(c), 6), F.lit(WORDS))
-    bit = lambda c: F.expr(f"shiftleft(1L, cast(xxhash64({c}) & 63 as int))")
-    found = written(ids.groupBy(place("id").alias("word")).agg(F.bit_or(bit("id")).alias("bits")), "bits")
-    return rows.join(F.broadcast(found), place(key) == F.col("word")).where(F.col("bits").bitwiseAND(bit(key)) != 0).drop("word", "bits")
+    """The rows whose key may be one of ids (id): all that are, and few others."""
+    return marked(rows, key, ids).where("may").drop("may")
 
 
 def _candidates(sets: DataFrame, per: int) -> DataFrame:

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagewright.llm.shared import SPREAD, bounds, mixed, runs, written
+from pagewright.llm.shared import SPREAD, bounds, marked, mixed, runs, written
 
 WIDTH, GRAM, MODULUS = 100, 32, 64
 #: Entries of a trigger that one task sorts at most. Documents of the sample, entries of a trigger in it that show a crowd, and tasks that it is dealt to.
@@ -379,13 +379,15 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     crowd = F.col("heavy") | (F.col("entries") > CROWD)
     needed = ranked.where(~F.col("first") | F.col("heavy") | (F.col("entries") > 1))
     flagged = written(needed.select(*ROW, "s", "n", "cut", "first", F.when(F.col("first"), F.col("gram")).alias("gram"), crowd.alias("crowd")), "phrases")
-    texts = rows.repartition(*ROW)
     open_ = flagged.where("first").groupBy(*ROW).agg(F.collect_list(F.struct("gram", "s", "n", "cut", "crowd")).alias("open"))
-    strings = texts.join(open_, [*ROW], "left")
-    entries = written(_strings(strings.where("open is not null")), "entries")
+    some = marked(rows, "d", flagged.where("first").select(F.col("d").alias("id"))).where("may")
+    entries = written(_strings(some.repartition(*ROW).join(open_, [*ROW])), "entries")
     later = _later(entries.where("not crowd"))
     if not entries.where("crowd").isEmpty():
         later = later.unionByName(_later_in_crowds(entries.where("crowd")))
     cover = flagged.where("not first").select(*ROW, "s", F.col("n").cast("int").alias("n")).unionByName(later)
-    cover = cover.groupBy(*ROW).agg(F.collect_list(F.struct("s", "n")).alias("cover"))
-    return _removed(texts.join(cover, [*ROW], "left").select("id", "raw", "cover"), doc_id)
+    cover = written(cover.groupBy(*ROW).agg(F.collect_list(F.struct("s", "n")).alias("cover")), "cover")
+    # only texts that may have something removed are shuffled
+    both = marked(rows, "d", cover.select(F.col("d").alias("id")))
+    whole = both.where("not may").select(F.col("id").alias(doc_id), F.array().cast("array<struct<start:int,end:int>>").alias("spans"), F.coalesce("raw", F.lit(b"")).alias("kept"))
+    return _removed(both.where("may").repartition(*ROW).join(cover, [*ROW], "left").select("id", "raw", "cover"), doc_id).unionByName(whole)

@@ -15,6 +15,9 @@ from pyspark.sql import types as T
 #: Text bytes that one Python step holds at a time.
 STEP_BYTES = 4 << 20
 
+#: Numbers of 64 bits in a map of ids that is broadcast.
+WORDS = 1 << 18
+
 _U = np.uint64
 #: An odd number with bits set all over.
 SPREAD = _U(0x9E3779B97F4A7C15)
@@ -52,6 +55,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def marked(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """rows with `may`: true for all whose key is one of ids (id), false for most others. No shuffle of rows.
+
+    A map of 64 * WORDS bits, one for each id's hash, is broadcast: never more than WORDS
+    numbers. The more ids there are, the more others it lets through.
+    """
+    place = lambda c: F.pmod(F.shiftrightunsigned(F.xxhash64(c), 6), F.lit(WORDS))
+    bit = lambda c: F.expr(f"shiftleft(1L, cast(xxhash64({c}) & 63 as int))")
+    found = written(ids.groupBy(place("id").alias("__word")).agg(F.bit_or(bit("id")).alias("__bits")), "bits")
+    both = rows.join(F.broadcast(found), place(key) == F.col("__word"), "left")
+    return both.withColumn("may", F.coalesce(F.col("__bits").bitwiseAND(bit(key)) != 0, F.lit(False))).drop("__word", "__bits")
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows from which no label may be learnt."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from pagewright.llm import vectors
 
