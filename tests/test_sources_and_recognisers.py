@@ -182,6 +182,73 @@ def test_images():
     assert set(np.unique(imaging.prepared(page[:60, :60]))) <= {0, 255}
 
 
+def mirrored(i, n):
+    return -i if i < 0 else 2 * (n - 1) - i if i >= n else i
+
+
+def test_denoising_by_brute_force():
+    image = np.random.default_rng(1).integers(0, 256, (11, 13)).astype(np.uint8)
+    h, w = image.shape
+    plain, want = image.astype(float), np.empty((h, w))
+    at = lambda y, x: plain[mirrored(y, h), mirrored(x, w)]
+    for y in range(h):
+        for x in range(w):
+            total = weights = 0.0
+            for dy in range(-2, 3):
+                for dx in range(-2, 3):
+                    apart = 0.0
+                    for i in range(-1, 2):
+                        for j in range(-1, 2):
+                            a, b = mirrored(y + i, h), mirrored(x + j, w)
+                            apart += (at(a + dy, b + dx) - plain[a, b]) ** 2 / 9
+                    weight = np.exp(-apart / 60.0**2)
+                    total, weights = total + weight * at(y + dy, x + dx), weights + weight
+            want[y, x] = total / weights
+    made = imaging.denoised(image, strength=60, patch=3, search=5)
+    assert np.abs(made - want).max() <= 0.5 + 1e-9
+
+
+def test_local_contrast_by_brute_force():
+    image = np.random.default_rng(2).integers(60, 120, (16, 24)).astype(np.uint8)
+    maps, limit = {}, max(1, int(3.0 * 8 * 12 / 256))
+    for i in range(2):
+        for j in range(2):
+            tile = image[i * 8 : i * 8 + 8, j * 12 : j * 12 + 12].ravel().tolist()
+            counts = [tile.count(v) for v in range(256)]
+            spare = sum(max(c - limit, 0) for c in counts) / 256
+            total, maps[i, j] = 0.0, []
+            for c in counts:
+                total += min(c, limit) + spare
+                maps[i, j].append(total * 255 / 96)
+    want = np.empty(image.shape)
+    for y in range(16):
+        for x in range(24):
+            fy, fx = min(max((y + 0.5) / 8 - 0.5, 0), 1), min(max((x + 0.5) / 12 - 0.5, 0), 1)
+            v = image[y, x]
+            want[y, x] = (maps[0, 0][v] * (1 - fx) + maps[0, 1][v] * fx) * (1 - fy) + (maps[1, 0][v] * (1 - fx) + maps[1, 1][v] * fx) * fy
+    assert np.abs(imaging.equalized(image, clip=3.0, tiles=2).astype(float) - np.clip(want, 0, 255)).max() <= 0.5 + 1e-9
+
+
+def test_threshold_by_brute_force():
+    image = np.random.default_rng(3).integers(0, 256, (9, 10)).astype(np.uint8)
+    sigma = 0.3 * ((5 - 1) * 0.5 - 1) + 0.8
+    weights = {(i, j): np.exp(-(i * i + j * j) / (2 * sigma**2)) for i in range(-2, 3) for j in range(-2, 3)}
+    mean = lambda y, x: sum(v * float(image[min(max(y + i, 0), 8), min(max(x + j, 0), 9)]) for (i, j), v in weights.items()) / sum(weights.values())
+    want = [[255 if image[y, x] > round(mean(y, x)) - 4 else 0 for x in range(10)] for y in range(9)]
+    assert imaging.thresholded(image, block=5, less=4).tolist() == want
+
+
+def test_decoded_images(spark, tmp_path):
+    image = np.arange(30, dtype=np.uint8).reshape(5, 6)
+    (tmp_path / "good.png").write_bytes(imaging.png(image))
+    made = readers.decoded_images(spark, f"{tmp_path}/good.png").first()
+    assert (made.height, made.width, made.origin[-8:]) == (5, 6, "good.png") and bytes(made.data)[:: made.nChannels] == image.tobytes()
+    (tmp_path / "bad.png").write_bytes(b"no image")
+    assert readers.decoded_images(spark, f"{tmp_path}/*.png", invalid="drop").count() == 1
+    with pytest.raises(Exception, match="Cannot read image: .*bad.png"):
+        readers.decoded_images(spark, f"{tmp_path}/*.png").select("origin").collect()
+
+
 def test_blocks_are_drawn_from_whole_pages(spark, tmp_path):
     from pagewright.plans.queries import recognise_blocks
 
