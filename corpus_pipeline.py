@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm import bpe, mixing, neardup, secrets, toxicity
-from pagewright.llm.shared import written
+from pagewright.llm.shared import marked, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -49,12 +49,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     judged = rows.join(stays, F.col("group_key") == F.col("g")).withColumn("keep", F.col("d").eqNullSafe(F.col("kept_d")) & (F.col("t") == F.col("kept_t")))
     gone = written(judged.where("not keep or times > 1").select("d", "t", "keep"), "gone")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("d")) & (digest == F.col("t"))
-    plain = docs.select(*COLUMNS)
-    left = plain.join(gone, same, "left_anti")
+    # most texts are not in question, and are not shuffled
+    named = docs.select(*COLUMNS, F.xxhash64(F.col("doc_id").cast("long"), digest).alias("name"))
+    both = marked(named, "name", gone.select(F.xxhash64("d", "t").alias("id")))
+    asked = both.where("may").select(*COLUMNS)
+    left = both.where("not may").select(*COLUMNS).unionByName(asked.join(gone, same, "left_anti"))
     twice = gone.where("keep")
     if twice.isEmpty():
         return left
-    one = plain.join(twice, same).groupBy("d", "t").agg(F.min(F.struct(*COLUMNS)).alias("row"))
+    one = asked.join(twice, same).groupBy("d", "t").agg(F.min(F.struct(*COLUMNS)).alias("row"))
     return left.unionByName(one.select("row.*"))
 
 
