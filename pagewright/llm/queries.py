@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import ann, bpe, mixing, neardup, quality, repeats, secrets, sql, tokencount, topk, toxicity
+from pagewright.llm import ann, bpe, collocations, contamination, lexical, mixing, neardup, quality, repeats, secrets, sql, tokencount, topk, toxicity
 from pagewright.llm.shared import fresh_path, held_out
 from pagewright.sources.readers import spread
 
@@ -106,6 +106,26 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"))), 0.5)
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build(documents(spark, sf_dir)), table(spark, sf_dir, "benchmark"), 50)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(spread(table(spark, sf_dir, "documents").select("lang", "text")))
+
+
+def op13_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination.scan(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        contamination.n_hit().alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -124,6 +144,9 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_ann": op9_ann,
     "op10_quality": op10_quality,
+    "op11_lexical": op11_lexical,
+    "op12_collocations": op12_collocations,
+    "op13_contamination": op13_contamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -132,4 +155,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_neardup": sql.NEAR_DUPLICATES,
     "op6_secrets": sql.SECRETS,
     "op8_topk": sql.TOPK,
+    "op11_lexical": sql.LEXICAL,
+    "op12_collocations": sql.COLLOCATIONS,
+    "op13_contamination": sql.CONTAMINATION,
 }

@@ -178,3 +178,90 @@ with recursive words as (
 )
 select s.doc_id, len(s.s)::bigint as n_shingles, l.c as component_id, l.c = s.doc_id as kept from sets s join least_of l on l.a = s.doc_id
 """
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _terms(text: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+#: For lexical.search with k = 50. Each item row has a list of its own.
+LEXICAL = f"""
+with docs as (
+  select row_number() over () as row_no, doc_id, {_terms("text")} as w from documents
+), sized as (
+  select row_no, doc_id, w, len(w)::bigint as n from docs where len(w) > 0
+), totals as (
+  select count(*)::bigint as n_docs, sum(n)::bigint as n_terms from sized
+), tf as (
+  select row_no, t, count(*)::bigint as tf from (select row_no, unnest(w) as t from sized) group by row_no, t
+), weights as (
+  select t, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)::double))::bigint as wt from tf, totals group by t, n_docs
+), items as (
+  select row_number() over () as item_no, item_id, list_distinct({_terms("text")}) as w from benchmark
+), wanted as (
+  select item_no, item_id, unnest(w) as t from items
+), lengths as (
+  select row_no, doc_id, 100 - 50 + ((50 * n * n_docs) // n_terms) as m from sized, totals
+), scores as (
+  select item_no, item_id, doc_id, sum(wt * ((1000000000 * tf) // (1000 * tf + 20 * m)))::bigint as score
+  from wanted join weights using (t) join tf using (t) join lengths using (row_no) group by item_no, item_id, row_no, doc_id
+), ranked as (
+  select *, row_number() over (partition by item_no order by score desc, doc_id)::int as rank from scores where score > 0
+)
+select item_id, rank, doc_id, score from ranked where rank <= 50
+"""
+
+#: For collocations.collocations with its default parameters.
+COLLOCATIONS = rf"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda w: w <> '') as w
+  from (select lang, unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) as p from documents)
+), totals as (
+  select lang, sum(len(w))::bigint as n from pieces group by lang
+), counts as (
+  select lang, array_to_string(w[i:i + k - 1], ' ') as phrase, k as words, count(*)::bigint as f
+  from pieces, unnest([1, 2, 3, 4, 5]) s(k), unnest(range(1, len(w) - k + 2)) u(i) group by 1, 2, 3 having count(*) >= 100
+), cuts as (
+  select lang, phrase, words, f as a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') as head, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') as tail
+  from counts, unnest([1, 2, 3, 4]) s(k) where words > 1 and k < words
+), scored as (
+  select c.lang, c.phrase, c.a, h.f as l, t.f as r, n, ((1000::hugeint * c.a::hugeint * n::hugeint) // (h.f::hugeint * t.f::hugeint))::bigint as score,
+         row_number() over (partition by c.lang, c.phrase order by (1000::hugeint * c.a::hugeint * n::hugeint) // (h.f::hugeint * t.f::hugeint), k) as best
+  from cuts c join counts h on h.lang = c.lang and h.phrase = c.head join counts t on t.lang = c.lang and t.phrase = c.tail join totals o on o.lang = c.lang
+), inner_ as (
+  select distinct p.lang, p.phrase from counts p join counts q
+    on p.lang = q.lang and q.words > p.words and q.f = p.f and contains(' ' || q.phrase || ' ', ' ' || p.phrase || ' ')
+  where p.words > 1
+), ranked as (
+  select s.*, row_number() over (partition by s.lang order by score desc, a desc, s.phrase) as rank
+  from scored s anti join inner_ i on s.lang = i.lang and s.phrase = i.phrase where best = 1
+)
+select lang, rank, phrase, a, l, r, n, score from ranked where rank <= 2000
+"""
+
+#: For contamination.scan with windows of 10 words.
+CONTAMINATION = f"""
+with docs as (
+  select row_number() over () as row_no, doc_id, {_terms("text")} as w from documents
+), items as (
+  select item_id, {_terms("text")} as w from benchmark
+), windows as (
+  select distinct item_id, least(len(w), 10) as k, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') as t
+  from items, unnest(range(1, greatest(len(w) - 9, 1) + 1)) u(i) where len(w) > 0
+), places as (
+  select row_no, i, k, array_to_string(w[i:i + k - 1], ' ') as t
+  from docs, (select distinct k from windows) s, unnest(range(1, len(w) - k + 2)) u(i)
+), found as (
+  select row_no, i, k, item_id from places join windows using (k, t)
+), hits as (
+  select row_no, count(distinct p)::bigint as n_hit from (select row_no, unnest(range(i, i + k)) as p from found) group by row_no
+), named as (
+  select row_no, count(distinct item_id)::bigint as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as items from found group by row_no
+)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from docs left join hits using (row_no) left join named using (row_no)
+"""
