@@ -4,11 +4,11 @@ Texts are lower-cased in A-Z, split at PIECE marks into pieces and those at spac
 into words; a phrase is a run of 1 to LONGEST words of one piece. Everything is by language.
 
 1. Sketch. A step of a task hashes every phrase occurrence of its texts and counts them in
-   ROWS rows of CELLS cells. A step touches few of the cells, so it writes them as runs of
+   rows of cells (see Shape). A step touches few of the cells, so it writes them as runs of
    (gap, count), cut into slices of a row. Slices are merged in two rounds, first SPREAD
    groups of each and then the slice as a whole, in counters that stop at 255. A cell never
    counts less than a phrase in it occurs. What is kept is a bit for each cell, whether it
-   reached the least count: CELLS * ROWS bits, 16 MB, whatever the size of the corpus.
+   reached the least count: 16 MB, whatever the size of the corpus.
 2. Exact counts. A second pass over all texts keeps the phrases whose cells are all set, and
    whose parts are kept too (a part of a frequent phrase is frequent), and counts them as
    words, not as hashes: by step, by task, and over all. Nothing frequent is lost. Beyond
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,8 @@ from pagewright.llm.shared import SPREAD as ODD
 from pagewright.llm.shared import mixed, pieces, written
 
 LONGEST, LEAST = 5, 100
-#: Cells of a row of the sketch and of a slice of it (powers of two); rows; groups of a slice in the first round.
-CELLS, SLICE, ROWS, SPREAD = 1 << 26, 1 << 20, 2, 16
+#: Groups of a slice of the sketch in the first round of merging.
+SPREAD = 16
 #: Text bytes of a step, and of a block of one text.
 STEP = 6 << 20
 
@@ -137,10 +138,21 @@ def phrase_hashes(lang: str, token: np.ndarray, room: np.ndarray, hashes: np.nda
         yield n, at, made
 
 
-def cells(made: np.ndarray, row: int) -> np.ndarray:
-    """The cells of hashes in a row of the sketch."""
-    shift = _U(64 - CELLS.bit_length() + 1)
-    return ((made if row == 0 else made * ODD * ODD) >> shift).astype(np.uint32)
+@dataclass(frozen=True)
+class Shape:
+    """Of a sketch: cells of a row and of a slice of it (powers of two), and rows (one or two)."""
+
+    cells: int = 1 << 26
+    slice: int = 1 << 20
+    rows: int = 2
+
+    def of(self, made: np.ndarray, row: int) -> np.ndarray:
+        """The cells of hashes in a row."""
+        shift = _U(64 - self.cells.bit_length() + 1)
+        return ((made if row == 0 else made * ODD * ODD) >> shift).astype(np.uint32)
+
+
+SHAPE = Shape()
 
 
 def packed(cell: np.ndarray, count: np.ndarray) -> tuple[bytes, bytes]:
@@ -164,7 +176,7 @@ def unpacked(gaps: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
 _SLICE = "slice int, turn int, gaps binary, counts binary"
 
 
-def _sketches(texts: DataFrame, step: int) -> DataFrame:
+def _sketches(texts: DataFrame, shape: Shape, step: int) -> DataFrame:
     """Slices (slice, turn, gaps, counts) of the sketch of each step; turn deals them to groups."""
 
     def run(batches):
@@ -173,25 +185,25 @@ def _sketches(texts: DataFrame, step: int) -> DataFrame:
             made = np.concatenate([m for _, _, m in phrase_hashes(lang, token, room, hashes)])
             turn = int(made[0] % _U(1 << 30)) if len(made) else turn
             rows = []
-            for row in range(ROWS):
-                cell = np.sort(cells(made, row))
+            for row in range(shape.rows):
+                cell = np.sort(shape.of(made, row))
                 first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.empty(0, np.int64)
                 count, cell = np.diff(np.append(first, len(cell))), cell[first]
-                cuts = np.searchsorted(cell, np.arange(0, CELLS + 1, SLICE))
+                cuts = np.searchsorted(cell, np.arange(0, shape.cells + 1, shape.slice))
                 for i, (s, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
                     if e > s:
-                        rows.append((row * (CELLS // SLICE) + i, turn, *packed(cell[s:e] - np.uint32(i * SLICE), count[s:e])))
+                        rows.append((row * (shape.cells // shape.slice) + i, turn, *packed(cell[s:e] - np.uint32(i * shape.slice), count[s:e])))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["slice", "turn", "gaps", "counts"])
 
     return texts.mapInArrow(run, _SLICE)
 
 
-def _merged(slices: DataFrame, least: int | None) -> DataFrame:
+def _merged(slices: DataFrame, shape: Shape, least: int | None) -> DataFrame:
     """The sum of slices that share (slice, turn), as slices; or, for a least count, (slice, bits): the cells that reach it."""
 
     def run(batches):
-        total, now = np.zeros(SLICE, np.uint8), None
+        total, now = np.zeros(shape.slice, np.uint8), None
 
         def result():
             slice_, turn = now
@@ -218,17 +230,18 @@ def _merged(slices: DataFrame, least: int | None) -> DataFrame:
     return dealt.mapInArrow(run, _SLICE if least is None else "slice int, bits binary")
 
 
-def sketch_bits(texts: DataFrame, least: int = LEAST, step: int = STEP) -> bytes:
+def sketch_bits(texts: DataFrame, least: int = LEAST, shape: Shape = SHAPE, step: int = STEP) -> bytes:
     """A bit for each cell of the merged sketch of texts (lang, text): whether it counts `least` or more (at most 255)."""
-    slices = _sketches(texts, step).withColumn("turn", F.pmod("turn", F.lit(SPREAD)))
-    first = written(_merged(slices, None), "sketch").withColumn("turn", F.lit(0))
-    out = bytearray(ROWS * CELLS // 8)
-    for r in _merged(first, min(least, 255)).collect():  # CELLS / SLICE * ROWS rows, 16 MB in all
-        out[r["slice"] * (SLICE // 8) : (r["slice"] + 1) * (SLICE // 8)] = r.bits
+    slices = _sketches(texts, shape, step).withColumn("turn", F.pmod("turn", F.lit(SPREAD)))
+    first = written(_merged(slices, shape, None), "sketch").withColumn("turn", F.lit(0))
+    size = shape.slice // 8
+    out = bytearray(shape.rows * shape.cells // 8)
+    for r in _merged(first, shape, min(least, 255)).collect():  # the bits of all slices: 16 MB
+        out[r["slice"] * size : (r["slice"] + 1) * size] = r.bits
     return bytes(out)
 
 
-def _counted(texts: DataFrame, shared, step: int) -> DataFrame:
+def _counted(texts: DataFrame, shared, shape: Shape, step: int) -> DataFrame:
     """(lang, phrase, words, f) of the phrases that the sketch lets through, and (lang, null, 0, all words), by step."""
 
     def run(batches):
@@ -236,8 +249,8 @@ def _counted(texts: DataFrame, shared, step: int) -> DataFrame:
 
         def passes(made: np.ndarray) -> np.ndarray:
             out = np.ones(len(made), bool)
-            for row in range(ROWS):
-                cell = cells(made, row).astype(np.int64) + row * CELLS
+            for row in range(shape.rows):
+                cell = shape.of(made, row).astype(np.int64) + row * shape.cells
                 out &= (bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 > 0
             return out
 
@@ -263,11 +276,11 @@ def _counted(texts: DataFrame, shared, step: int) -> DataFrame:
     return texts.mapInArrow(run, "lang string, phrase string, words int, f long")
 
 
-def phrase_counts(docs: DataFrame, least: int = LEAST, lang: str = "lang", text: str = "text", step: int = STEP) -> DataFrame:
+def phrase_counts(docs: DataFrame, least: int = LEAST, lang: str = "lang", text: str = "text", shape: Shape = SHAPE, step: int = STEP) -> DataFrame:
     """(lang, phrase, words, f): exact counts of all phrases that occur `least` times or more in their language; phrase null: all its words."""
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(sketch_bits(texts, least, step))
-    counts = _counted(texts, shared, step).groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
+    shared = docs.sparkSession.sparkContext.broadcast(sketch_bits(texts, least, shape, step))
+    counts = _counted(texts, shared, shape, step).groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
     return written(counts.where((F.col("f") >= least) | F.col("phrase").isNull()), "phrases")
 
 
@@ -295,9 +308,9 @@ def maximal(candidates: DataFrame) -> DataFrame:
     return candidates.join(inner, (F.col("lang") == F.col("il")) & (F.col("phrase") == F.col("part")) & (F.col("ia") >= F.col("a")), "left_anti")
 
 
-def collocations(docs: DataFrame, least: int = LEAST, most: int = 2000, lang: str = "lang", text: str = "text", step: int = STEP) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, most: int = 2000, lang: str = "lang", text: str = "text", shape: Shape = SHAPE, step: int = STEP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first `most` phrases of 2 to LONGEST words by score, count, and bytes."""
-    left = maximal(written(scored(phrase_counts(docs, least, lang, text, step)), "scored"))
+    left = maximal(written(scored(phrase_counts(docs, least, lang, text, shape, step)), "scored"))
     order = lambda *by: Window.partitionBy("lang", *by).orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
     # a language's best of each of 64 groups first, so that no task sorts a language as a whole
     some = left.withColumn("__group", F.pmod(F.xxhash64("phrase"), F.lit(64))).withColumn("__r", F.row_number().over(order("__group"))).where(F.col("__r") <= most)

@@ -71,7 +71,7 @@ def weight(df: int, n_docs: int) -> int:
     return math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df + 1)))
 
 
-def _block(ids: list, docs: list[np.ndarray], terms: list[bytes], n_docs: int, n_terms: int) -> list:
+def _block(ids: list, docs: list[np.ndarray], terms: list[bytes], n_docs: int, n_terms: int, sample: int) -> list:
     """A row of the index from the term numbers of each document."""
     import xxhash
 
@@ -84,10 +84,10 @@ def _block(ids: list, docs: list[np.ndarray], terms: list[bytes], n_docs: int, n
     whole = b"\n".join(terms)  # no term holds a newline
     arrays = [n, offsets.astype(np.int32), slots.astype(np.int32), level.astype(np.uint8), tf.astype(np.int32)]
     n, offsets, slots, level, tf = (a.tobytes() for a in arrays)
-    return [ids, n, whole, offsets, slots, level, tf, xxhash.xxh3_64_intdigest(whole + n) % SAMPLE == 0]
+    return [ids, n, whole, offsets, slots, level, tf, xxhash.xxh3_64_intdigest(whole + n) % sample == 0]
 
 
-def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, block_docs: int = BLOCK_DOCS) -> Index:
+def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, block_docs: int = BLOCK_DOCS, sample: int = SAMPLE) -> Index:
     """The index of all documents, as a table in the shared folder."""
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     size = word_count(F.col("text"))
@@ -99,7 +99,7 @@ def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_byt
         ids, held, size = [], [], 0
 
         def block() -> pa.RecordBatch:
-            row = _block(ids, held, list(number), n_docs, n_terms)
+            row = _block(ids, held, list(number), n_docs, n_terms, sample)
             kinds = [pa.list_(pa.int64()), *[pa.binary()] * 6, pa.bool_()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
 
