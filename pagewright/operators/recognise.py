@@ -12,11 +12,10 @@ from typing import Any, Protocol
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pagewright.functions import imaging
-from pagewright.operators.lines import merge_engines, min_confidence
-
-LINES = "doc string, page int, seq int, text string, confidence double, box array<array<double>>, engine string"
+from pagewright.operators.lines import best_lines, min_confidence, numbered
 
 
 @dataclass(frozen=True)
@@ -169,45 +168,53 @@ def decode(content: bytes) -> np.ndarray:
     return image
 
 
-def engine_lines(pages: DataFrame, engine: str, settings: Settings) -> DataFrame:
-    """Lines of one engine from pages (doc, page, content), one row of pages after the other in a task."""
-    if engine not in ENGINES:
-        raise ValueError(f"Unknown OCR engine: {engine}")
+PAGE_ROWS = "doc string, page int, image_path string, engine_rank int, seq int, text string, confidence double, box array<array<double>>, engine string, image binary"
 
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
 
-        recogniser = ENGINES[engine](settings)
-        for batch in batches:
-            made = []
-            for row in batch.itertuples(index=False):
-                image = decode(row.content)
-                image = imaging.prepared(image, settings.deskew) if settings.preprocess else image
-                for seq, line in enumerate(recogniser.recognise(image, row.page), 1):
-                    made.append((row.doc, row.page, seq, line.text, line.confidence, line.box, recogniser.name))
-            yield pd.DataFrame(made, columns=["doc", "page", "seq", "text", "confidence", "box", "engine"])
+def engine_names(settings: Settings) -> tuple[str, ...]:
+    names = ENSEMBLE if settings.engine == "ensemble" else (settings.engine,)
+    for name in names:
+        if name not in ENGINES:
+            raise ValueError(f"Unknown OCR engine: {name}")
+    return names
 
-    return pages.select("doc", "page", "content").mapInPandas(run, LINES)
 
+def page_rows(pages: DataFrame, settings: Settings = Settings(), images: bool = False) -> DataFrame:
+    """Rows PAGE_ROWS of pages (doc, page, content, and image_path if known): lines of all engines of the settings, from one pass.
 
-def prepared_images(pages: DataFrame, settings: Settings) -> DataFrame:
-    """doc, page, image: what recognisers see of pages (doc, page, content) after preprocessing, as PNG."""
+    A page is decoded and prepared once, and every engine sees the same image. Besides its
+    lines a page has one row without an engine, of rank -1 and without text, so that pages
+    without lines stay; with `images` that row has what the engines saw, as PNG, if prepared.
+    """
+    makers = [ENGINES[name] for name in engine_names(settings)]
+    path = F.col("image_path") if "image_path" in pages.columns else F.lit(None).cast("string")
+    columns = [part.split()[0] for part in PAGE_ROWS.split(", ")]
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
+        engines = [make(settings) for make in makers]
         for batch in batches:
             for row in batch.itertuples(index=False):
-                image = imaging.png(imaging.prepared(decode(row.content), settings.deskew))
-                yield pd.DataFrame([(row.doc, row.page, image)], columns=["doc", "page", "image"])
+                image = decode(row.content)
+                image = imaging.prepared(image, settings.deskew) if settings.preprocess else image
+                place = (row.doc, row.page, row.image_path)
+                made = [(*place, -1, 0, "", None, None, None, imaging.png(image) if images and settings.preprocess else None)]
+                for rank, engine in enumerate(engines):
+                    made += [(*place, rank, seq, x.text, x.confidence, x.box, engine.name, None) for seq, x in enumerate(engine.recognise(image, row.page), 1)]
+                yield pd.DataFrame(made, columns=columns)
+
+    return pages.select("doc", "page", path.alias("image_path"), "content").mapInPandas(run, PAGE_ROWS)
 
-    return pages.select("doc", "page", "content").mapInPandas(run, "doc string, page int, image binary")
+
+def chosen_lines(rows: DataFrame, settings: Settings) -> DataFrame:
+    """Of page_rows: the lines of the engine, or the ensemble's best, those below the least confidence left out; pages keep the rows that stand for them."""
+    rows = rows.drop("image")
+    lines = best_lines(numbered(rows)) if settings.engine == "ensemble" else rows.drop("engine_rank")
+    return min_confidence(lines, settings.min_confidence)
 
 
 def recognise(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Lines of pages by the engine of the settings, those below its least confidence left out."""
-    if settings.engine == "ensemble":
-        lines = merge_engines(*[engine_lines(pages, e, settings) for e in ENSEMBLE])
-    else:
-        lines = engine_lines(pages, settings.engine, settings)
-    return min_confidence(lines, settings.min_confidence)
+    lines = page_rows(pages, settings).where("engine is not null")
+    return chosen_lines(lines, settings).drop("image_path")

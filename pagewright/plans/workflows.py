@@ -9,15 +9,17 @@ from pagewright.functions.fields import fields_json, with_fields
 from pagewright.functions.metrics import evaluation
 from pagewright.functions.text import file_name
 from pagewright.operators import courses, joins, lines
-from pagewright.operators.recognise import Settings, prepared_images, recognise
+from pagewright.operators.recognise import Settings, chosen_lines, page_rows
 from pagewright.sources import readers, writers
 
 
 def recognised_documents(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """source_path, engine, text, pages of every document of pages (doc, page, image_path, content)."""
-    found = recognise(pages, settings)
-    blank = pages.select("doc", "page").withColumns({"seq": F.lit(0), "text": F.lit(""), "confidence": F.lit(None).cast("double"), "box": F.lit(None).cast("array<array<double>>"), "engine": F.lit(None).cast("string")})
-    whole = lines.documents(found.unionByName(blank.join(found.select("doc", "page").distinct(), ["doc", "page"], "left_anti")), pages.select("doc", "page", "image_path"))
+    """source_path, engine, text, pages of every document of pages (doc, page, image_path, content), each page seen once."""
+    return _documents(page_rows(pages, settings), settings)
+
+
+def _documents(rows: DataFrame, settings: Settings) -> DataFrame:
+    whole = lines.documents(chosen_lines(rows, settings))
     full = F.transform("pages", lambda p: p.withField("lines", F.filter(p["lines"], lambda x: x["engine"].isNotNull())))
     return whole.select(F.col("doc").alias("source_path"), F.lit(settings.engine).alias("engine"), "text", full.alias("pages"))
 
@@ -25,12 +27,16 @@ def recognised_documents(pages: DataFrame, settings: Settings = Settings()) -> D
 def run_recognition(spark: SparkSession, path: str, folder: str, settings: Settings = Settings(), renderer=None, text_files: bool = False) -> DataFrame:
     """Recognises the documents at a path, writes them and their fields under folder, and returns them.
 
-    text_files: a plain text file for each document too.
+    text_files: a plain text file for each document too. With debug images, what a page gave
+    is written once as a table, debug-rows, of which documents and images are made.
     """
-    pages = readers.document_pages(spark, path, renderer, settings.dpi)
-    if settings.preprocess and settings.save_debug_images:
-        writers.save_images(prepared_images(pages, settings), folder)
-    writers.save_documents(recognised_documents(pages, settings), folder)
+    debug = settings.preprocess and settings.save_debug_images
+    rows = page_rows(readers.document_pages(spark, path, renderer, settings.dpi), settings, images=debug)
+    if debug:
+        rows.write.mode("overwrite").parquet(f"{folder}/debug-rows")
+        rows = spark.read.schema(rows.schema).parquet(f"{folder}/debug-rows")
+        writers.save_images(rows.where("image is not null"), folder)
+    writers.save_documents(_documents(rows, settings), folder)
     written = readers.recognised_json(spark, f"{folder}/json")
     if text_files:
         writers.save_text_files(written, folder)

@@ -34,17 +34,16 @@ def document_pages(spark: SparkSession, path: str, renderer: Callable[[bytes, in
     def pages(batches):
         import pandas as pd
 
+        one = lambda *page: pd.DataFrame([page], columns=["doc", "page", "image_path", "content"])
         for batch in batches:
-            made = []
             for row in batch.itertuples(index=False):
                 if row.kind == "image":
-                    made.append((row.path, 1, row.path, row.content))
+                    yield one(row.path, 1, row.path, row.content)
                     continue
                 if renderer is None:
                     raise RuntimeError("pages of a PDF need a renderer")
                 for n, image in enumerate(renderer(row.content, dpi), 1):
-                    made.append((row.path, n, f"{row.stem}_page_{n:03d}.jpg", image))
-            yield pd.DataFrame(made, columns=["doc", "page", "image_path", "content"])
+                    yield one(row.path, n, f"{row.stem}_page_{n:03d}.jpg", image)
 
     return rows.mapInPandas(pages, PAGES)
 

@@ -24,10 +24,6 @@ def save_json(df: DataFrame, path: str, keep_nulls: bool = True) -> None:
     df.select(as_json(F.struct(*df.columns), keep_nulls).alias("value")).write.mode("overwrite").text(path)
 
 
-def save_text(df: DataFrame, path: str, text: str = "text") -> None:
-    df.select(F.col(text).alias("value")).write.mode("overwrite").text(path)
-
-
 def document_name(path: Column) -> Column:
     """The stem of a document's path and a hash of all of it, for stems may repeat."""
     return F.concat(file_stem(path), F.lit("-"), F.substring(F.md5(path.cast("binary")), 1, 8))

@@ -117,7 +117,7 @@ def test_other_files_are_an_error(spark, tmp_path):
 
 def test_engines(spark):
     with pytest.raises(ValueError, match="Unknown OCR engine: none"):
-        recognise.engine_lines(spark.createDataFrame([], "doc string, page int, content binary"), "none", recognise.Settings())
+        recognise.page_rows(spark.createDataFrame([], "doc string, page int, content binary"), recognise.Settings(engine="none"))
     table = {"text": [" a ", "", None, "b"], "conf": ["95", "1", "2", "x"], "left": [1, 0, 0, 2], "top": [2, 0, 0, 3], "width": [3, 0, 0, 4], "height": [4, 0, 0, 5]}
     made = recognise.tesseract_lines(table)
     assert [(x.text, x.confidence) for x in made] == [("a", 0.95), ("b", None)]
@@ -267,3 +267,76 @@ def test_every_query_has_rows(spark):
     missing = set(__spark_entry__.oracle_sql()) - set(__spark_entry__.queries())
     assert not missing
     assert F.lit(1) is not None
+
+
+def encoded(image):
+    np.save(out := io.BytesIO(), image)
+    return out.getvalue()
+
+
+@pytest.fixture
+def counted(tmp_path, monkeypatch):
+    """Two engines and a renderer that leave a mark each time they are called."""
+    marks = tmp_path / "marks"
+    marks.mkdir()
+
+    def mark(kind):
+        import uuid
+
+        (marks / f"{kind}-{uuid.uuid4().hex}").touch()
+
+    def render(content, dpi):
+        for i in range(2):
+            mark("render")
+            np.save(out := io.BytesIO(), np.full((40, 60), 255 if i else int(content[0]), np.uint8))
+            yield out.getvalue()
+
+    def engine(named, text):
+        class Engine:
+            name = named
+
+            def __init__(self, settings):
+                pass
+
+            def recognise(self, image, page):
+                mark(named)
+                seen = "white" if image.mean() > 250 else "grey"
+                return [] if page == 2 else [recognise.Line(f"{seen} {text}", 0.5), recognise.Line("both", 0.4 if text == "one" else 0.9)]
+
+        return Engine
+
+    monkeypatch.setattr(recognise, "ENGINES", {"paddle": engine("paddle", "one"), "tesseract": engine("tesseract", "two")})
+    return render, lambda: {k: len(list(marks.glob(f"{k}-*"))) for k in ("render", "paddle", "tesseract")}
+
+
+@pytest.mark.parametrize("debug", [False, True])
+def test_each_page_is_seen_once(spark, tmp_path, counted, debug):
+    """6 PDFs of 2 pages: 12 renderings and 12 calls of each engine, for documents, fields, texts and debug images."""
+    render, calls = counted
+    (tmp_path / "in").mkdir()
+    for i in range(6):
+        (tmp_path / "in" / f"d{i}.pdf").write_bytes(bytes([100 + i]))
+    settings = recognise.Settings(preprocess=debug, deskew=False, save_debug_images=debug)
+    workflows.run_recognition(spark, f"{tmp_path}/in/*.pdf", str(tmp_path / "out"), settings, render, True).collect()
+    assert calls() == {"render": 12, "paddle": 12, "tesseract": 12}
+    found = readers.recognised_json(spark, f"{tmp_path}/out/json").collect()
+    assert len(found) == 6
+    for doc in found:
+        first, second = doc.pages
+        kind = "white" if debug else "grey"
+        assert [(x.text, x.engine) for x in first.lines] == [(f"{kind} one", "paddle"), ("both", "tesseract"), (f"{kind} two", "tesseract")] and second.lines == [] and second.text == ""
+        assert first.image_path.endswith("_page_001.jpg") and doc.text.endswith("--- Page 2 ---\n")
+    assert len(list((tmp_path / "out").glob("debug/*/*.png"))) == (12 if debug else 0)
+
+
+def test_the_ensemble_reads_its_pages_in_one_plan(spark, counted):
+    pages = spark.createDataFrame([("d", 1, "d_1", b"x")], "doc string, page int, image_path string, content binary")
+    plan = workflows.recognised_documents(pages)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "Join" not in plan
+
+
+def test_confidence_leaves_pages_without_lines(spark, counted):
+    pages = spark.createDataFrame([("d", 1, "d_1", encoded(np.full((9, 9), 7, np.uint8)))], "doc string, page int, image_path string, content binary")
+    settings = recognise.Settings(preprocess=False, min_confidence=0.95)
+    made = workflows.recognised_documents(pages, settings).first()
+    assert made.text == "--- Page 1 ---\n" and made.pages[0].lines == [] and recognise.recognise(pages, settings).count() == 0
