@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm.shared import fresh_path, written
-from pagewright.llm.words import word_blocks, word_count, word_list
+from pagewright.llm.words import word_blocks, word_list
 
 #: Bytes of text and documents in a block, at most but for one longer text. One block in SAMPLE is searched first.
 BLOCK_BYTES, BLOCK_DOCS, SAMPLE = 8 << 20, 4096, 16
@@ -87,11 +87,22 @@ def _block(ids: list, docs: list[np.ndarray], terms: list[bytes], n_docs: int, n
     return [ids, n, whole, offsets, slots, level, tf, xxhash.xxh3_64_intdigest(whole + n) % sample == 0]
 
 
+def _totals(texts: DataFrame) -> tuple[int, int]:
+    """Documents with a term, and all terms: a sum of each batch's."""
+
+    def run(batches):
+        for batch in batches:
+            sizes = [sum(map(len, word_blocks(body.as_py()))) for body in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(n > 0 for n in sizes)], pa.int64()), pa.array([sum(sizes)], pa.int64())], names=["docs", "terms"])
+
+    made = texts.mapInArrow(run, "docs long, terms long").agg(F.sum("docs"), F.sum("terms")).first()
+    return made[0] or 0, made[1] or 0
+
+
 def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, block_docs: int = BLOCK_DOCS, sample: int = SAMPLE) -> Index:
     """The index of all documents, as a table in the shared folder."""
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    size = word_count(F.col("text"))
-    n_docs, n_terms = rows.select(size.alias("n")).where("n > 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n_docs, n_terms = _totals(rows.select("text"))
     names = [part.split()[0] for part in _BLOCK.split(", ")]
 
     def run(batches):

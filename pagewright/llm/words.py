@@ -25,10 +25,6 @@ def word_list(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(lowered(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
-def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(lowered(text), F.lit(WORD)), F.lit(0)).cast("long")
-
-
 def flattened(text: str | None) -> bytes:
     """The text's bytes in their places: words lower-cased, all else spaces."""
     return (text or "").encode().translate(_LETTERS)
