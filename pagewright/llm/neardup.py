@@ -24,8 +24,8 @@ their path, and are candidates of their hub as they are.
 Candidates come in groups: the sets that a leaf connects, and the candidates of a hub.
 Equal groups, which most trees find again, are one. Groups are not joined to larger ones,
 for candidates are not links: the full sets of a group are brought together, and its links
-are confirmed exactly; only confirmed links make components. A group of up to GROUP sets is
-one task's work. The candidates of a hub may be more: they are cut into parts that share
+are confirmed exactly; only confirmed links make components. A group of up to GROUP sets
+and SHINGLES shingles is one part. Larger groups are cut into parts that share
 some sets (the hub and pivots); whatever is then outside the group's largest component is
 compared with all of the group in further parts, so no link is lost, no task holds more
 than about two parts, and no pair is written: a part gives at most one link a set.
@@ -47,7 +47,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,8 +55,8 @@ from pagewright.llm.components import components, least_connected
 from pagewright.llm.shared import SPREAD, append_columns, bounds, marked, mixed, runs, written
 
 COORDINATES, LEAF, BRANCHES, TREES, DEPTH = 128, 256, 2, 5, 4
-#: Sets that one task links, at most; pivots that all parts of a larger group share.
-GROUP, PIVOTS = 1024, 64
+#: Sets, and shingles of them, that one part links at a time, at most but for single larger sets; pivots that all parts of a larger group share.
+GROUP, SHINGLES, PIVOTS = 1024, 4_000_000, 64
 #: Least share of equal coordinates of a candidate, below the threshold by six deviations.
 SLACK = 6.0
 #: Shares of a hub's coordinates at which a set leaves a large node, and is the hub's candidate.
@@ -294,29 +294,38 @@ def _candidates(sets: DataFrame, per: int) -> DataFrame:
     return written(reduce(DataFrame.unionByName, found).distinct(), "groups")
 
 
-def _confirmed(full: DataFrame, per: int) -> DataFrame:
-    """(id, component) from groups of sets (grp, hub, size, id, shingles), linked exactly within groups."""
-    few = full.where(F.col("size") <= GROUP).select(F.col("grp").alias("part"), "id", "shingles")
+def _parts(size: str, weight: str, most: int) -> Column:
+    """How many parts of half GROUP sets and half `most` shingles a group of so many makes."""
+    return F.ceil(F.greatest(F.col(size) * 2 / GROUP, F.col(weight) * 2 / most)).cast("int")
+
+
+def _confirmed(full: DataFrame, per: int, most: int = SHINGLES) -> DataFrame:
+    """(id, component) from groups of sets (grp, hub, size, weight, id, shingles), linked exactly within groups; weight: all shingles of the group."""
+    small = (F.col("size") <= GROUP) & (F.col("weight") <= most)
+    few = full.where(small).select(F.col("grp").alias("part"), "id", "shingles")
     links = _link_parts(few, per)
-    many = full.where(F.col("size") > GROUP)
+    many = full.where(~small)
     if many.isEmpty():
         return components(links)
-    parts = F.ceil(F.col("size") * 2 / GROUP).cast("int")
+    parts = _parts("size", "weight", most)
     every = many.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
-    pivot = (F.col("id") == F.col("hub")) | (F.xxhash64("id", F.lit(11)) < (F.lit(-(2.0**63)) + F.lit(2.0**64) * PIVOTS / F.col("size")))
+    # pivots are half a part at most, of its shingles too
+    share = F.least(F.lit(float(PIVOTS)) / F.col("size"), F.lit(most / 2) / F.col("weight"))
+    pivot = (F.col("id") == F.col("hub")) | (F.xxhash64("id", F.lit(11)) < (F.lit(-(2.0**63)) + F.lit(2.0**64) * share))
     pivots = many.where(pivot).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
     first = every.select("grp", "part", "id", "shingles").unionByName(pivots.select("grp", "part", "id", "shingles"))
     first = written(_link_parts(first.select(F.xxhash64("grp", "part").alias("part"), "id", "shingles"), per), "first")
     settled = components(first)
-    slim = many.select("grp", "size", "id").join(settled, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    slim = many.select("grp", "size", "id", (F.octet_length("shingles") / 8).cast("long").alias("n")).join(settled, "id", "left").withColumn("component", F.coalesce("component", "id"))
     slim = written(slim, "settled")
-    counts = slim.groupBy("grp", "component").count()
-    largest = written(counts.groupBy("grp").agg(F.max(F.struct("count", "component"))["component"].alias("largest"), (F.sum("count") - F.max("count")).alias("n_rest")), "largest")
+    counts = slim.groupBy("grp", "component").agg(F.count("*").alias("count"), F.sum("n").alias("n"))
+    top = F.max(F.struct("count", "component", "n"))
+    largest = written(counts.groupBy("grp").agg(top["component"].alias("largest"), (F.sum("count") - top["count"]).alias("n_rest"), (F.sum("n") - top["n"]).alias("weight_rest")), "largest")
     rest = written(slim.join(largest, "grp").where("component <> largest").select("grp", "id"), "rest")
     if rest.isEmpty():
         return components(links.unionByName(first))
-    counts = largest.where("n_rest > 0").select("grp", "n_rest")
-    batches = F.ceil(F.col("n_rest") * 2 / GROUP).cast("int")
+    counts = largest.where("n_rest > 0").select("grp", "n_rest", "weight_rest")
+    batches = _parts("n_rest", "weight_rest", most)
     rest_sets = many.join(rest, ["grp", "id"], "left_semi").join(counts, "grp").withColumn("batch", F.pmod(F.xxhash64("id", F.lit(3)), batches).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
     whole = every.join(counts, "grp").withColumn("batch", F.explode(F.sequence(F.lit(0), batches - 1)))
     second = rest_sets.select("grp", "part", "batch", "id", "shingles").unionByName(whole.select("grp", "part", "batch", "id", "shingles"))
@@ -349,8 +358,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, per: int = 80, text: str =
     reps = written(own.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("brief").alias("brief")), "sets")
     reps, differ = _keyed(reps)
     groups = _candidates(reps.select("id", "n", "sketch", "brief"), per)
-    sizes = written(groups.groupBy("grp").agg(F.count("*").alias("size")), "sizes")
-    mine = groups.join(sizes, "grp").groupBy("id").agg(F.collect_list(F.struct("grp", "hub", "size")).alias("groups"))
+    sizes = groups.join(reps.select("id", "n"), "id").groupBy("grp").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
+    mine = groups.join(written(sizes, "sizes"), "grp").groupBy("id").agg(F.collect_list(F.struct("grp", "hub", "size", "weight")).alias("groups"))
     members = written(mine.join(reps.select("id", F.coalesce("own", F.lit(0)).alias("own"), F.col("set_hash").alias("own_hash")), "id"), "members")
     again = _described(_among(slim, "known_by", members.select(F.col("own").alias("id"))), words, full=True, text="text")
     full = again.join(members, (F.col("known_by") == F.col("own")) & (F.col("set_hash") == F.col("own_hash"))).dropDuplicates(["id"])

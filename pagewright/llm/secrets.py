@@ -4,7 +4,7 @@ Three base kinds are found by pattern and stand on their own: assignments of a s
 access ids, and long hexadecimal strings. Beside them are weak parts, which alone mean
 little: identifiers (upper-case letters and digits, or the user of an assignment such as
 user=...), secrets (long strings of letters and digits of mixed kinds) and endpoints
-(host names after a scheme, or of a well-known form). Parts of one document are linked
+(host names after a scheme). Parts of one document are linked
 within a scope of SCOPE characters. A weak part is reported only if a complementary one
 lies in its scope: a secret with an identifier or an endpoint, an identifier or an endpoint
 with a secret. Base spans count as partners of their kind, an access id as an identifier,

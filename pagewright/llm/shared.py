@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 #: Text bytes that one Python step holds at a time.
 STEP_BYTES = 4 << 20
 
-#: Numbers of 64 bits in a map of ids that is broadcast.
-WORDS = 1 << 18
+#: Numbers of 64 bits in a map of ids that is broadcast, at most; ids that share a number, about.
+WORDS, SHARE = 1 << 22, 4
 
 _U = np.uint64
 #: An odd number with bits set all over.
@@ -55,13 +55,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def marked(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+def marked(rows: DataFrame, key: str, ids: DataFrame, most: int = WORDS) -> DataFrame:
     """rows with `may`: true for all whose key is one of ids (id), false for most others. No shuffle of rows.
 
-    A map of 64 * WORDS bits, one for each id's hash, is broadcast: never more than WORDS
-    numbers. The more ids there are, the more others it lets through.
+    A map of bits, one for each id's hash, is broadcast. It has a number of 64 bits for each
+    SHARE ids, so one other key in 16 passes at most, up to `most` numbers; beyond
+    64 * most ids it lets most keys through. ids is read twice: pass a written table.
     """
-    place = lambda c: F.pmod(F.shiftrightunsigned(F.xxhash64(c), 6), F.lit(WORDS))
+    words = min(most, 1 << max(4, (ids.count() // SHARE).bit_length()))
+    place = lambda c: F.pmod(F.shiftrightunsigned(F.xxhash64(c), 6), F.lit(words))
     bit = lambda c: F.expr(f"shiftleft(1L, cast(xxhash64({c}) & 63 as int))")
     found = written(ids.groupBy(place("id").alias("__word")).agg(F.bit_or(bit("id")).alias("__bits")), "bits")
     both = rows.join(F.broadcast(found), place(key) == F.col("__word"), "left")
@@ -121,8 +123,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
-    """Batches of whole runs of equal keys, in order, from batches sorted by key."""
+def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables of whole runs of equal keys, in order, from batches sorted by key. A run keeps the chunks it came in, however large."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not len(batch):
@@ -130,14 +132,14 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch
         keys = batch.column(batch.schema.get_field_index(key)).to_numpy()
         cut = int(np.searchsorted(keys, keys[-1]))
         if cut:
-            yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks().to_batches()[0]
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
             held = []
         elif held and held[0].column(held[0].schema.get_field_index(key))[0].as_py() != keys[-1]:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            yield pa.Table.from_batches(held)
             held = []
         held.append(batch.slice(cut))
     if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield pa.Table.from_batches(held)
 
 
 def bounds(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -501,3 +501,74 @@ def test_held_out_is_crc32_of_the_id(spark):
 def test_digests(spark):
     rows = spark.createDataFrame([([5, 17],), ([],)], "ids array<int>")
     assert [r[0] for r in rows.select(bpe.ids_digest(F.col("ids"))).collect()] == [hashlib.sha256(x).hexdigest() for x in (b"5 17", b"")]
+
+
+def test_runs_keep_every_chunk():
+    """A run that spans several batches, of several chunks, comes whole."""
+    import pyarrow as pa
+
+    from pagewright.llm.shared import runs
+
+    keys = [1, 1, 2, 2, 2, 2, 2, 3, 5, 5]
+    for cuts in ([10], [1, 9], [3, 2, 1, 1, 3], [1] * 10):
+        at, batches = 0, []
+        for n in cuts:
+            batches += [pa.RecordBatch.from_arrays([pa.array(keys[at : at + n], pa.int64()), pa.array([bytes([i]) for i in range(at, at + n)], pa.binary())], names=["k", "v"]), pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.binary())], names=["k", "v"])]
+            at += n
+        made = [(t.column(0).to_pylist(), t.column(1).to_pylist()) for t in runs(iter(batches), "k")]
+        assert [k for ks, _ in made for k in ks] == keys and [v for _, vs in made for v in vs] == [bytes([i]) for i in range(10)]
+        assert all(a[0][-1] != b[0][0] for a, b in zip(made, made[1:], strict=False))  # no key is in two
+        if len(cuts) > 3:
+            assert [ks for ks, _ in made if 2 in ks] == [[2] * 5] or cuts[0] == 3
+
+
+@pytest.mark.parametrize("most", [60, 400])
+def test_neardup_in_parts_by_shingles(spark, monkeypatch, most):
+    """Groups with more shingles than a part holds are cut and lose no link."""
+    from functools import partial
+
+    rng = random.Random(most)
+    bases = [words(rng, 40).split() for _ in range(4)]
+    rows = []
+    for i in range(120):
+        w = list(rng.choice(bases))
+        for _ in range(rng.choice([0, 1, 2])):
+            w[rng.randrange(len(w))] = words(rng, 1)
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, DOC)
+    whole = sorted(map(tuple, neardup.near_duplicates(docs, 2, 80).select("doc_id", "component_id").collect()))
+    monkeypatch.setattr(neardup, "_confirmed", partial(neardup._confirmed, most=most))
+    assert sorted(map(tuple, neardup.near_duplicates(docs, 2, 80).select("doc_id", "component_id").collect())) == whole
+    assert 4 <= len({c for _, c in whole}) < 60
+
+
+def test_marks_let_few_others_through(spark):
+    from pagewright.llm.shared import marked
+
+    ids = spark.range(0, 40_000, 8)
+    rows = spark.range(40_000)
+    made = marked(rows, "id", ids).where("may")
+    assert made.join(ids, "id").count() == ids.count() and made.count() < ids.count() + 40_000 // 12
+    assert marked(rows, "id", ids, most=1).where("may").join(ids, "id").count() == ids.count()
+    assert marked(rows, "id", ids.limit(0)).where("may").count() == 0
+
+
+def test_quality_ties_are_shared():
+    """Sample texts that are equal share the last places' votes, in whatever order they come."""
+    rng = random.Random(3)
+    sample = [words(rng, 12)] * 10 + [words(rng, 12) for _ in range(20)]
+    labels = [i % 2 for i in range(30)]
+    seen = set()
+    for _ in range(5):
+        pairs = list(zip(sample, labels, strict=True))
+        rng.shuffle(pairs)
+        model = quality.fit_texts([t for t, _ in pairs], [y for _, y in pairs], 8)
+        profiles = np.array([quality.profile(sample[0], quality._Buckets())])
+        seen.add(round(float(quality.vote(model.project(profiles), model)[0]), 6))
+    assert seen == {0.5}
+
+
+def test_quality_of_empty_tables(spark):
+    docs, labels = spark.createDataFrame([(1, "a b c")], DOC), spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality.score(docs.limit(0), quality.fit(docs, labels)).count() == 0
+    assert [r.score for r in quality.score(docs, quality.fit(docs.limit(0), labels)).collect()] == [0.5]
