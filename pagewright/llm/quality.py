@@ -5,8 +5,10 @@ for each word that is the same as the one before it. Terms are hashed to BUCKETS
 root of their count times their rarity in the sample, and the profile, scaled to length
 one, is projected on the leading singular vectors of a sample of labelled texts. The
 sample's vectors are broadcast; every document's cosine with every one of them is computed
-exactly, block by block, and the labels of the `neighbours` nearest vote with their cosine
-as weight. Nothing else enters a score.
+exactly in double precision, block by block, and the labels of the `neighbours` nearest vote
+with their cosine as weight. Cosines are compared in steps of a billionth; where several are
+equal at the last place, all of those share its votes, so the order of the sample does not
+matter. Nothing else enters a score.
 
 The sample is bounded (`most_of_each` rows of a class, a documented parameter), so what
 is broadcast is too: under 2 MB. Scoring covers whole texts of all documents. Null and
@@ -69,7 +71,7 @@ class QualityModel:
     prior: float
 
     def project(self, profiles: np.ndarray) -> np.ndarray:
-        return _unit(_unit(profiles * self.weight) @ self.axes)
+        return _unit(_unit(profiles.astype(np.float64) * self.weight) @ self.axes)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -101,7 +103,7 @@ def fit_texts(texts: list[str], labels: list[int], dimensions: int = 48) -> Qual
     x = _unit(x * weight)
     axes = leading_axes(x, dimensions)
     prior = float(y.mean()) if n else 0.5
-    return QualityModel(weight, axes, _unit(x @ axes), y, prior)
+    return QualityModel(weight, axes, _unit(x.astype(np.float64) @ axes), y, prior)
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_of_each: int = 1500, longest: int = 20_000, dimensions: int = 48) -> QualityModel:
@@ -114,12 +116,14 @@ def vote(vectors: np.ndarray, model: QualityModel, neighbours: int = 7) -> np.nd
     """Share of label 1 among the nearest, weighted by cosine (negative: none)."""
     if not len(model.vectors) or not len(vectors):
         return np.full(len(vectors), model.prior)
-    near = vectors @ model.vectors.T
+    near = np.round(vectors @ model.vectors.T, 9)
     k = min(neighbours, near.shape[1])
-    at = np.argpartition(-near, k - 1, axis=1)[:, :k]
-    weight = np.maximum(np.take_along_axis(near, at, 1), 0).astype(np.float64)
+    last = np.partition(near, -k, axis=1)[:, -k, None]
+    above, equal = near > last, near == last
+    share = (k - above.sum(1, keepdims=True)) / equal.sum(1, keepdims=True)
+    weight = np.maximum(near, 0) * (above + equal * share)
     total = weight.sum(1)
-    return np.where(total > 0, (weight * model.labels[at]).sum(1) / np.maximum(total, 1e-300), model.prior)
+    return np.where(total > 0, weight @ model.labels / np.maximum(total, 1e-300), model.prior)
 
 
 def score(docs: DataFrame, model: QualityModel, text: str = "text", neighbours: int = 7) -> DataFrame:
