@@ -11,9 +11,9 @@ into words; a phrase is a run of 1 to LONGEST words of one piece. Everything is
    reached the least count: 16 MB, whatever the size of the corpus.
 2. Exact counts. A second pass over all texts keeps the phrases whose cells are all set, and
    whose parts are kept too (a part of a frequent phrase is frequent), and counts them as
-   words, not as hashes: by step, by task, and over all. Nothing frequent is lost. Beyond
+   words, not as hashes: by task, in lists dealt to buckets by a hash of the phrase, and by bucket. Nothing frequent is lost. Beyond
    about 20 billion phrase occurrences the cells fill and the sketch lets more through; the
-   counts stay exact, and the second pass is then an ordinary aggregation of parts.
+   counts stay exact, and the second pass is then an ordinary aggregation.
 3. Score. A cut of a phrase is scored against the counts of both its parts, which are
    frequent too, in decimals of 38 digits. The least score of all cuts counts.
 4. Subsume. A candidate is dropped if it lies in a longer one that occurs as often. Then a
@@ -28,6 +28,8 @@ read in blocks that overlap by LONGEST - 1 words. Empty tables give no rows.
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,6 +44,10 @@ from pagewright.llm.shared import mixed, pieces, written
 LONGEST, LEAST = 5, 100
 #: Groups of a slice of the sketch in the first round of merging.
 SPREAD = 16
+#: Buckets of phrases at least.
+BUCKETS = 128
+#: Phrases whose counts a task holds before it passes them on.
+HELD = 500_000
 #: Text bytes of a step, and of a block of one text.
 STEP = 6 << 20
 
@@ -241,8 +247,8 @@ def sketch_bits(texts: DataFrame, least: int = LEAST, shape: Shape = SHAPE, step
     return bytes(out)
 
 
-def _counted(texts: DataFrame, shared, shape: Shape, step: int) -> DataFrame:
-    """(lang, phrase, words, f) of the phrases that the sketch lets through, and (lang, null, 0, all words), by step."""
+def _counted(texts: DataFrame, shared, shape: Shape, step: int, buckets: int) -> DataFrame:
+    """Lists (bucket, lang, phrase, words, f) of the phrases that the sketch lets through, and (lang, null, 0, all words), by task and bucket."""
 
     def run(batches):
         bits = np.frombuffer(shared.value, np.uint8)
@@ -254,34 +260,75 @@ def _counted(texts: DataFrame, shared, shape: Shape, step: int) -> DataFrame:
                 out &= (bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 > 0
             return out
 
+        seen: Counter = Counter()
+
+        def counted() -> pa.RecordBatch:
+            by: list[list] = [[] for _ in range(buckets)]
+            for (lang, phrase, n), f in seen.items():
+                by[zlib.crc32(phrase or b"") % buckets].append((lang, phrase, n, f))
+            rows = [(b, *(list(c) for c in zip(*rows, strict=True))) for b, rows in enumerate(by) if rows]
+            kinds = (pa.int32(), *(pa.list_(k) for k in (pa.string(), pa.string(), pa.int32(), pa.int64())))
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(columns, names=["bucket", "lang", "phrase", "words", "f"])
+
         for lang, token, room, words, hashes in steps(batches, step):
-            names, sizes, counts = [None], [0], [int((room > 0).sum())]
+            seen[lang, None, 0] += int((room > 0).sum())
             rank = np.full(len(token) + 1, -1, np.int64)  # of the phrase that begins at a place, -1: not let through
             for n, at, made in phrase_hashes(lang, token, room, hashes):
                 # of a phrase's two parts a word shorter, the second may begin where a block's own places end
                 inner = (rank[at] >= 0) & ((rank[at + 1] >= 0) | (room[at + 1] == 0)) if n > 1 else np.ones(len(at), bool)
                 at, made = at[inner], made[inner]
-                good = passes(made)
-                at = at[good]
+                at = at[passes(made)]
                 key = rank[at] * len(words) + token[at + n - 1] if n > 1 else token[at]
                 _, first, rank_, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
                 rank = np.full(len(token) + 1, -1, np.int64)
                 rank[at] = rank_
-                for s in at[first].tolist():
-                    names.append(b" ".join(map(words.__getitem__, token[s : s + n].tolist())))
-                sizes += [n] * len(first)
-                counts += times.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(names), pa.string()), pa.array(names, pa.binary()).cast(pa.string()), pa.array(sizes, pa.int32()), pa.array(counts, pa.int64())], names=["lang", "phrase", "words", "f"])
+                for s, t in zip(at[first].tolist(), times.tolist(), strict=True):
+                    seen[lang, b" ".join(map(words.__getitem__, token[s : s + n].tolist())), n] += t
+            if len(seen) >= HELD:
+                yield counted()
+                seen.clear()
+        if seen:
+            yield counted()
+
+    return texts.mapInArrow(run, "bucket int, lang array<string>, phrase array<string>, words array<int>, f array<long>")
+
+
+def _summed(lists: DataFrame, least: int) -> DataFrame:
+    """(lang, phrase, words, f): the sums of the lists of a bucket, of the phrases that reach the least count, and of all words."""
+
+    def run(batches):
+        total: Counter = Counter()
+        now = None
+
+        def result() -> pa.RecordBatch:
+            kept = [(*k, f) for k, f in total.items() if f >= least or k[1] is None]
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int64())
+            columns = [pa.array(c, k) for c, k in zip(zip(*kept, strict=True) if kept else ((),) * 4, kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "words", "f"])
+
+        for batch in batches:
+            for i in range(len(batch)):
+                row = [c[i].as_py() for c in batch.columns]
+                if row[0] != now:
+                    if total:
+                        yield result()
+                    total.clear()
+                    now = row[0]
+                for lang, phrase, n, f in zip(*row[1:], strict=True):
+                    total[lang, phrase, n] += f
+        if total:
+            yield result()
 
-    return texts.mapInArrow(run, "lang string, phrase string, words int, f long")
+    return lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "lang string, phrase string, words int, f long")
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, lang: str = "lang", text: str = "text", shape: Shape = SHAPE, step: int = STEP) -> DataFrame:
     """(lang, phrase, words, f): exact counts of all phrases that occur `least` times or more in their language; phrase null: all its words."""
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(sketch_bits(texts, least, shape, step))
-    counts = _counted(texts, shared, shape, step).groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
-    return written(counts.where((F.col("f") >= least) | F.col("phrase").isNull()), "phrases")
+    buckets = BUCKETS + 4 * texts.rdd.getNumPartitions()  # so that what a bucket sums does not grow with the corpus
+    return written(_summed(_counted(texts, shared, shape, step, buckets), least), "phrases")
 
 
 def scored(counts: DataFrame) -> DataFrame:
