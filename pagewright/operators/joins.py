@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import file_name, file_stem
+from pagewright.operators.slices import SLICE_ROWS, with_place
 
 
 def with_ground_truth(predictions: DataFrame, truth: DataFrame, path: str = "source_path", strict: bool = True) -> DataFrame:
@@ -13,38 +14,50 @@ def with_ground_truth(predictions: DataFrame, truth: DataFrame, path: str = "sou
 
     An empty reference under the name counts as none. Without any, strict fails; otherwise
     reference is null. Of references with one key the last counts, by column `at` where truth
-    has it, else the greatest text. The planner chooses the joins: truth may be as large as
-    predictions.
+    has it (at one place the greatest text), else the greatest text.
+
+    Which key a path has is settled first, without any text: then the texts of those keys are
+    fetched once and joined to predictions by path. The planner chooses the joins; truth may
+    be as large as predictions.
     """
-    last = F.max_by("reference", "at") if "at" in truth.columns else F.max("reference")
-    truth = truth.groupBy("key").agg(last.alias("reference"))
-    named = predictions.withColumns({"__name": file_name(F.col(path)), "__stem": file_stem(F.col(path))})
-    one = truth.select(F.col("key").alias("__name"), F.col("reference").alias("__by_name"))
-    two = truth.select(F.col("key").alias("__stem"), F.col("reference").alias("__by_stem"))
-    found = F.coalesce(F.nullif("__by_name", F.lit("")), F.col("__by_stem"))
+    given, there = F.coalesce(F.col("reference") != "", F.lit(False)), F.col("reference").isNotNull()
+    at = [F.col("at")] if "at" in truth.columns else []
+    slim = truth.select("key", F.struct(*at, given.alias("given"), there.alias("there")).alias("last"))
+    keys = slim.groupBy("key").agg(F.max("last").alias("last"))
+    paths = predictions.select(F.col(path).alias("__path")).distinct()
+    named = paths.withColumns({"__name": file_name(F.col("__path")), "__stem": file_stem(F.col("__path"))})
+    one = keys.select(F.col("key").alias("__name"), F.col("last").alias("__one")).where("last.given")
+    two = keys.select(F.col("key").alias("__stem"), F.col("last").alias("__two")).where("last.there")
+    found = named.join(one, "__name", "left").join(two, "__stem", "left")
+    chosen = found.select("__path", F.when(F.col("__one").isNotNull(), F.col("__name")).when(F.col("__two").isNotNull(), F.col("__stem")).alias("__key"), F.coalesce("__one", "__two").alias("__last")).where("__key is not null")
+    same = F.col("key") == F.col("__key")
+    for c in at:
+        same = same & (c == F.col("__last.at"))
+    texts = truth.where("reference is not null").join(chosen, same).groupBy("__path").agg(F.max("reference").alias("reference"))
+    both = predictions.drop("reference").join(texts, F.col(path) == F.col("__path"), "left")
+    found = F.col("reference")
     if strict:
-        missing = F.raise_error(F.concat(F.lit("No ground truth found for "), F.col("__name")))
+        missing = F.raise_error(F.concat(F.lit("No ground truth found for "), file_name(F.col(path))))
         found = F.when(found.isNotNull(), found).otherwise(missing.cast("string"))
-    both = named.join(one, "__name", "left").join(two, "__stem", "left")
-    return both.withColumn("reference", found).drop("__name", "__stem", "__by_name", "__by_stem")
+    return both.withColumn("reference", found).drop("__path")
 
 
 def _given(x: Column) -> Column:
     return F.nullif(x, F.lit(""))
 
 
-def merge_template(template: DataFrame, parsed: DataFrame) -> DataFrame:
+def merge_template(template: DataFrame, parsed: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """template (pos, code, name_th, name_en, credits, year, semester, ...) with gaps filled from parsed.
 
     The nth row with a code takes from the nth parsed row with that code; null codes match
     each other. Only nulls and empty strings are filled. All template rows stay, in their
-    places; parsed rows that match none are dropped.
+    places; parsed rows that match none are dropped. A code of very many rows, or none, is
+    numbered in slices.
     """
     key = F.coalesce(F.col("code").cast("string"), F.lit("None"))
-    nth = F.row_number().over(Window.partitionBy("__key").orderBy("pos"))
     names = ("name_th", "name_en", "credits", "year", "semester")
-    left = template.withColumn("__key", key).withColumn("__nth", nth)
-    right = parsed.withColumn("__key", key).withColumn("__nth", nth).select("__key", "__nth", *[F.col(n).alias(f"__{n}") for n in names])
+    left, right = (with_place(df, key, F.col("pos"), "__nth", slice_rows).withColumn("__key", key) for df in (template, parsed))
+    right = right.select("__key", "__nth", *[F.col(n).alias(f"__{n}") for n in names])
     both = left.join(right, ["__key", "__nth"], "left")
     text = {n: F.coalesce(_given(F.col(n)), _given(F.col(f"__{n}")), F.col(n)) for n in names[:3]}
     number = {n: F.coalesce(F.col(n), F.col(f"__{n}")) for n in names[3:]}

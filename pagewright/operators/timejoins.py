@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a key that are one slice of its time, about; slices of a key at most.
-SLICE_ROWS, SLICES = 2_000_000, 1024
+from pagewright.operators.slices import SLICE_ROWS, sliced
 #: Spans and points of a bin that meet in one cell, about.
 CELL = 4096
 
@@ -26,21 +25,6 @@ def _complete(by: list[str], *more: Column) -> Column:
     return whole
 
 
-def _sliced(rows: DataFrame, slice_rows: int) -> DataFrame:
-    """rows (__k, __t, ...) with __slice: 0, or for keys of over slice_rows rows the number of its quantiles of time up to __t.
-
-    A slice depends on the key and time alone, so rows at one time stay together.
-    """
-    counts = rows.groupBy("__k").count().where(F.col("count") > slice_rows).select(F.col("__k").alias("__hot"), F.least(F.ceil(F.col("count") / slice_rows), F.lit(SLICES)).cast("int").alias("__n"))
-    ranks = [i / SLICES for i in range(1, SLICES)]
-    hot = rows.select("__k", "__t").join(counts, F.col("__k") == F.col("__hot"))
-    cuts = hot.groupBy(F.col("__k").alias("__hot")).agg(F.percentile_approx("__t", ranks, 10_000).alias("__q"), F.first("__n").alias("__n"))
-    few = F.expr(f"transform(sequence(1, __n - 1), i -> element_at(__q, cast(i * {SLICES} div __n as int)))")
-    cuts = cuts.select("__hot", few.alias("__cuts"))
-    place = F.when(F.col("__cuts").isNull(), 0).otherwise(F.size(F.filter("__cuts", lambda c: c <= F.col("__t"))))
-    return rows.join(cuts, F.col("__k") == F.col("__hot"), "left").withColumn("__slice", place).drop("__hot", "__cuts")
-
-
 def as_of_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, columns: list[str], tolerance: float | None = None, equal: bool = True, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """left with `columns` of the latest row of right that has its key and is not later.
 
@@ -62,7 +46,7 @@ def as_of_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
     latest = right.where(_complete(by, F.col(right_time))).select(key.alias("__k"), _micros(F.col(right_time)).alias("__t"), F.struct(*columns).alias("__c"))
     latest = latest.groupBy("__k", "__t").agg(F.max("__c").alias("__c"))
     rights = latest.select("__k", "__t", F.lit(0).alias("__side"), F.lit(None).cast(lefts.schema["__left"].dataType).alias("__left"), F.struct(F.col("__t").alias("t"), *[F.col("__c")[c].alias(c) for c in columns]).alias("__right"))
-    rows = _sliced(lefts.unionByName(rights), slice_rows)
+    rows = sliced(lefts.unionByName(rights), slice_rows)
 
     before = Window.partitionBy("__k").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)  # SLICES rows at most
     ends = rows.groupBy("__k", "__slice").agg(F.max_by("__right", F.when(F.col("__right").isNotNull(), F.col("__t"))).alias("__end"))

@@ -37,10 +37,10 @@ def test_as_of_join_is_as_brute_force(spark, equal, tolerance, slice_rows):
 
 def test_as_of_join_cuts_a_hot_key(spark):
     """A key that holds most rows is dealt to many runs, of about slice_rows rows each."""
-    from pagewright.operators.timejoins import _sliced
+    from pagewright.operators.slices import sliced
 
     rows = spark.range(20_000).select(F.when(F.col("id") % 10 > 0, "hot").otherwise(F.col("id").cast("string")).alias("__k"), (F.col("id") * F.col("id")).alias("__t"))
-    sizes = _sliced(rows, 1000).groupBy("__k", "__slice").count().where("__k = 'hot'").collect()
+    sizes = sliced(rows, 1000).groupBy("__k", "__slice").count().where("__k = 'hot'").collect()
     assert len(sizes) == 18 and max(r["count"] for r in sizes) < 1500
 
 
