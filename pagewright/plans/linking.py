@@ -1,4 +1,4 @@
-"""Registered queries of joins over time, windows, fuzzy matches and edits, each beside its SQL.
+"""Registered queries of joins over time, windows, fuzzy matches, edits and summaries, each beside its SQL.
 
 Orders, line items and parts get times within those of the events, and arrival batches and
 misreadings, by rules that the SQL repeats.
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions import edits
-from pagewright.operators import fuzzy, timejoins
+from pagewright.operators import fuzzy, summaries, timejoins
 from pagewright.sources.readers import spread
 from pagewright.streaming import windows
 
@@ -220,6 +220,120 @@ select conv_id, turn, levenshtein(ref, replace(replace(ref, 'rn', 'm'), 'e', 'c'
 from (select *, ref is not null as text_given from pairs)
 """
 
-_NAMES = "as_of_orders interval_events interval_users event_tumbling event_sliding event_sessions fuzzy_labels edit_counts"
+# Summaries
+
+
+def error_subtotals(spark, sf_dir):
+    """Error rates of turns by speaker, recogniser and place in the conversation, with all subtotals."""
+    turns = spread(table(spark, sf_dir, "conversations"))
+    ref = F.regexp_replace("text", r"[^\x00-\x7f]", "?")
+    engine = F.element_at(F.array(F.lit("left"), F.lit("right"), F.lit(None)), (F.col("conv_id") % 3 + 1).cast("int"))
+    stage = F.when(F.col("turn") < 2, "opening").otherwise("rest")
+    pairs = turns.select("conv_id", "role", engine.alias("engine"), stage.alias("stage"), ref.alias("ref"))
+    hyp = F.replace(F.replace("ref", F.lit("rn"), F.lit("m")), F.when(F.col("engine") == "left", "e").otherwise("a"), F.lit("c"))
+    dims = ["role", "engine", "stage"]
+    rows = pairs.select(*dims, "conv_id", edits.edit_distance(F.col("ref"), hyp).cast("long").alias("edits"), F.length("ref").cast("long").alias("chars"))
+    made = summaries.subtotals(rows, dims, summaries.cube_sets(dims), {"n_turns": F.lit(1), "edits": F.col("edits"), "chars": F.col("chars")}, {"n_convs": F.col("conv_id")})
+    return made.withColumn("rate", F.col("edits") / F.col("chars"))
+
+
+ERROR_SUBTOTALS = r"""
+with pairs as (
+  select conv_id, role, case conv_id % 3 when 0 then 'left' when 1 then 'right' end as engine, case when turn < 2 then 'opening' else 'rest' end as stage,
+         regexp_replace(text, '[^\x00-\x7f]', '?', 'g') as ref
+  from conversations
+), rows_ as (
+  select *, levenshtein(ref, replace(replace(ref, 'rn', 'm'), case when engine = 'left' then 'e' else 'a' end, 'c'))::bigint as edits, length(ref)::bigint as chars from pairs
+)
+select role, engine, stage, grouping(role, engine, stage)::int as level, count(*)::bigint as n_turns, sum(edits)::bigint as edits, sum(chars)::bigint as chars,
+       count(distinct conv_id)::bigint as n_convs, sum(edits)::double / sum(chars)::double as rate
+from rows_ group by cube (role, engine, stage)
+"""
+
+
+def sketched_days(spark, sf_dir):
+    """Sketches of events by day and type, merged to types: whether users and values are within the stated bounds of the exact figures."""
+    events = _events(spark, sf_dir)
+    kept = summaries.sketched(events.withColumn("day", F.to_date("ts")), ["day", "event_type"], F.col("user_id"), F.col("value"))
+    made = summaries.estimates(summaries.merged_sketches(kept, ["event_type"]), [0.5, 0.9])
+    ranks = events.select(F.col("event_type").alias("t"), "user_id", "value").join(made, F.col("event_type") == F.col("t"))
+    share = lambda i, upto: F.avg(((F.col("value") <= F.col("quantiles")[i]) if upto else (F.col("value") < F.col("quantiles")[i])).cast("int"))
+    near = lambda i, rank: (share(i, False) - summaries.RANK_ERROR <= rank) & (share(i, True) + summaries.RANK_ERROR >= rank)
+    users = F.count_distinct("user_id")
+    return ranks.groupBy("event_type", "n").agg(
+        users.alias("users"),
+        (F.abs(F.first("distinct_estimate") - users) <= summaries.DISTINCT_ERROR * users).alias("users_near"),
+        near(0, 0.5).alias("median_near"),
+        near(1, 0.9).alias("ninth_near"),
+    )
+
+
+SKETCHED_DAYS = """
+select event_type, count(*)::bigint as n, count(distinct user_id)::bigint as users, true as users_near, true as median_near, true as ninth_near
+from events group by event_type
+"""
+
+
+def best_events(spark, sf_dir):
+    """The five events of the highest value of each type."""
+    events = table(spark, sf_dir, "events").select("event_type", "event_id", "value")
+    return summaries.best_of_each(events, ["event_type"], [F.col("value").desc(), F.col("event_id")], 5)
+
+
+BEST_EVENTS = """
+select event_type, event_id, value, rank::int as rank
+from (select *, row_number() over (partition by event_type order by value desc, event_id) as rank from events) where rank <= 5
+"""
+
+
+def _stocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Parts as a template has them, and as they were read: some otherwise, some twice."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", (F.col("p_size") % 4).alias("size"))
+    read = part.withColumn("p_type", F.when(F.col("p_partkey") % 5 == 0, F.lower("p_type")).otherwise(F.col("p_type")))
+    twice = F.explode(F.sequence(F.lit(1), F.when(F.col("p_partkey") % 7 == 0, 2).otherwise(1)))
+    return part.drop("p_partkey"), read.select("p_brand", "p_type", "size", twice.alias("i")).drop("i")
+
+
+def reconcile_except(spark, sf_dir):
+    return summaries.left_over(*_stocks(spark, sf_dir))
+
+
+def reconcile_intersect(spark, sf_dir):
+    return summaries.in_both(*_stocks(spark, sf_dir))
+
+
+def reconcile_anti(spark, sf_dir):
+    left, right = _stocks(spark, sf_dir)
+    return summaries.without_match(right, left, ["p_brand", "p_type"])
+
+
+def reconcile_counts(spark, sf_dir):
+    return summaries.reconciled(*_stocks(spark, sf_dir))
+
+
+_STOCKS = """
+with template as (
+  select p_brand, p_type, p_size % 4 as size from part
+), read as (
+  select p_brand, case when p_partkey % 5 = 0 then lower(p_type) else p_type end as p_type, p_size % 4 as size
+  from part, unnest(range(0, case when p_partkey % 7 = 0 then 2 else 1 end))
+)
+"""
+RECONCILE_EXCEPT = _STOCKS + "select * from template except all select * from read"
+RECONCILE_INTERSECT = _STOCKS + "select * from template intersect all select * from read"
+RECONCILE_ANTI = _STOCKS + "select r.* from read r where not exists (select 1 from template t where t.p_brand = r.p_brand and t.p_type = r.p_type)"
+RECONCILE_COUNTS = (
+    _STOCKS
+    + """, one as (select p_brand, p_type, size, count(*)::bigint as n_left from template group by all),
+two as (select p_brand, p_type, size, count(*)::bigint as n_right from read group by all)
+select p_brand, p_type, size, coalesce(n_left, 0)::bigint as n_left, coalesce(n_right, 0)::bigint as n_right
+from one full join two using (p_brand, p_type, size) where coalesce(n_left, 0) <> coalesce(n_right, 0)
+"""
+)
+
+_NAMES = (
+    "as_of_orders interval_events interval_users event_tumbling event_sliding event_sessions fuzzy_labels edit_counts "
+    "error_subtotals sketched_days best_events reconcile_except reconcile_intersect reconcile_anti reconcile_counts"
+)
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
 ORACLE_SQL = {name: globals()[name.upper()] for name in _NAMES.split()}
