@@ -6,6 +6,9 @@ only the space; the classes here follow Python instead.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,3 +68,12 @@ def is_image(path: Column) -> Column:
 
 def is_pdf(path: Column) -> Column:
     return F.lower(file_suffix(path)) == ".pdf"
+
+
+_DIGITS = [chr(c) for c in range(128, sys.maxunicode) if unicodedata.category(chr(c)) == "Nd"]
+
+
+def whole_number(digits: Column) -> Column:
+    """The number that digits of any script stand for."""
+    plain = F.translate(digits, "".join(_DIGITS), "".join(str(unicodedata.digit(d)) for d in _DIGITS))
+    return plain.cast("int")

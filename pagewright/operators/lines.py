@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import strip
+from pagewright.functions.text import strip, whole_number
 
 #: The top of a line without a usable box.
 NO_TOP = 1e9
@@ -119,7 +119,7 @@ def split_pages(docs: DataFrame, text: str = "text") -> DataFrame:
     numbers, bodies = F.when(none, F.array(F.lit("1"))).otherwise(numbers), F.when(none, F.array(F.col(text))).otherwise(F.slice(bodies, 2, F.greatest(F.size(bodies) - 1, F.lit(0))))
     pages = F.arrays_zip(numbers.alias("n"), bodies.alias("b"))
     rows = docs.select("*", F.posexplode(pages).alias("__i", "__page"))
-    return rows.withColumns({"page_index": F.col("__i") + 1, "page": F.col("__page.n").cast("int"), "body": F.col("__page.b")}).drop("__i", "__page")
+    return rows.withColumns({"page_index": F.col("__i") + 1, "page": whole_number(F.col("__page.n")), "body": F.col("__page.b")}).drop("__i", "__page")
 
 
 def without_markers(text: Column) -> Column:

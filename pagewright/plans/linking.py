@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions import edits
-from pagewright.operators import fuzzy, summaries, timejoins
+from pagewright.operators import fuzzy, summaries, table_functions, timejoins, variants
+from pagewright.plans import oracle, queries
 from pagewright.sources.readers import spread
 from pagewright.streaming import windows
 
@@ -331,9 +332,64 @@ from one full join two using (p_brand, p_type, size) where coalesce(n_left, 0) <
 """
 )
 
+# Table functions of SQL, and variants
+
+
+def pages_in_sql(spark, sf_dir):
+    """Pages of conversations' texts, by the table function."""
+    table_functions.register(spark)
+    docs = queries.lines.document_texts(queries.lines.page_texts(queries._turn_lines(spark, sf_dir)))
+    return spark.sql("SELECT d.doc, p.* FROM {docs} d, LATERAL pagewright_pages(d.text) p", docs=docs)
+
+
+def best_lines_in_sql(spark, sf_dir):
+    """The merge of two recognisers' lines, by the table function over pages."""
+    table_functions.register(spark)
+    ranked = queries.lines.ranked(*queries._engine_lines(spark, sf_dir)).withColumns({"seq": F.col("seq").cast("int"), "engine_rank": F.col("engine_rank").cast("int")})
+    call = "SELECT page, seq, text, confidence, engine FROM pagewright_best_lines(TABLE(SELECT * FROM {lines}) PARTITION BY (doc, page) ORDER BY (engine_rank, seq))"
+    return spark.sql(call, lines=ranked)
+
+
+PAGES_IN_SQL, BEST_LINES_IN_SQL = oracle.ORACLE_SQL["split_pages"], oracle.ORACLE_SQL["ensemble_merge"]
+
+
+def variant_rules(spark, sf_dir):
+    """Nations as rules of their region's program, in JSON of three shapes by region."""
+    both = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    label = F.collect_list(F.struct(F.concat(F.lit(">= "), F.col("n_nationkey").cast("string")).alias("value"), F.col("n_name").alias("label")))
+    each = both.groupBy("r_regionkey", "r_name").agg(label.alias("labelled"), F.collect_list("n_name").alias("names"))
+    name, nations = F.col("r_name"), F.lit("nations").alias("category")
+    plain = F.to_json(F.struct(F.create_map(name, F.array(F.struct(nations, F.lit(True).alias("present"), F.col("labelled").alias("values")))).alias("programs")))
+    listed = F.to_json(F.struct(F.array(F.struct(name.alias("program"), F.struct(nations, F.lit("yes").alias("present"), F.col("names").alias("values")).alias("rules"))).alias("programs")))
+    bare = F.to_json(F.struct(F.create_map(name, F.struct(nations, F.size("names").alias("values"), F.lit("counted").alias("summary"))).alias("programs")))
+    shape = F.when(F.col("r_regionkey") % 3 == 0, plain).when(F.col("r_regionkey") % 3 == 1, listed).otherwise(bare)
+    return variants.flat_rules(each.select(shape.alias("t")), "t")
+
+
+VARIANT_RULES = """
+select r_name as program, 'nations' as category, true as present, case r_regionkey % 3 when 0 then n_name end as label,
+       case r_regionkey % 3 when 0 then '>= ' || n_nationkey else n_name end as value, null::varchar as summary
+from nation join region on n_regionkey = r_regionkey where r_regionkey % 3 <> 2
+union all
+select r_name, 'nations', null, null, count(*)::varchar, 'counted' from nation join region on n_regionkey = r_regionkey where r_regionkey % 3 = 2 group by r_name
+"""
+
+
+def payload_keys(spark, sf_dir):
+    """Keys of events' payloads by type, whatever they are, with the sum of those that are whole numbers."""
+    rows = variants.payload_keys(table(spark, sf_dir, "events"), "props", ["event_type"])
+    return rows.groupBy("event_type", "key", "kind").agg(F.count("*").alias("n"), F.sum(F.expr("try_cast(value as bigint)")).alias("total"))
+
+
+PAYLOAD_KEYS = r"""
+select event_type, 'k' as key, 'BIGINT' as kind, count(*)::bigint as n, sum(regexp_extract(props, '"k": (-?\d+)', 1)::bigint)::bigint as total
+from events where regexp_matches(props, '"k": -?\d+') group by event_type
+"""
+
 _NAMES = (
     "as_of_orders interval_events interval_users event_tumbling event_sliding event_sessions fuzzy_labels edit_counts "
-    "error_subtotals sketched_days best_events reconcile_except reconcile_intersect reconcile_anti reconcile_counts"
+    "error_subtotals sketched_days best_events reconcile_except reconcile_intersect reconcile_anti reconcile_counts "
+    "pages_in_sql best_lines_in_sql variant_rules payload_keys"
 )
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
 ORACLE_SQL = {name: globals()[name.upper()] for name in _NAMES.split()}
