@@ -5,12 +5,16 @@ from __future__ import annotations
 import argparse
 import posixpath
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.operators.recognise import ENGINES, Settings
 from pagewright.plans import workflows
 from pagewright.sources import renderers, writers
+from pagewright.sources.writers import as_json
+
+#: Rows that a command prints at most.
+SHOWN = 20
 
 
 def parser() -> argparse.ArgumentParser:
@@ -48,20 +52,26 @@ def settings_of(args: argparse.Namespace) -> Settings:
     )
 
 
+def show(rows: DataFrame) -> None:
+    """Prints rows as JSON, the first SHOWN of them: all are written to files."""
+    for row in rows.select(as_json(F.struct(*rows.columns)).alias("value")).limit(SHOWN).collect():
+        print(row.value)
+
+
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("pagewright").getOrCreate()
     if args.command == "ocr":
         made = workflows.run_recognition(spark, args.input_path, args.output_dir, settings_of(args), renderers.named(args.renderer), not args.no_text_files)
-        made.select("source_path", "email", "date", "numeric_id", "phone").show(truncate=False)
+        show(made.select("source_path", "email", "date", "numeric_id", "phone"))
     elif args.command == "evaluate":
         result = workflows.evaluate_files(spark, args.ground_truth_json, args.prediction_json, args.strip_page_markers)
         writers.save_json(result, args.output)
-        result.show(truncate=False)
+        show(result)
     else:
         made = workflows.extract_curriculum_from_file(spark, args.input_path)
         writers.save_json(made.drop("doc"), args.output or posixpath.join(posixpath.dirname(args.input_path), "extracted_curriculum.json"))
-        made.select("source", "program", "plan", F.size("courses").alias("courses")).show(truncate=False)
+        show(made.select("source", "program", "plan", F.size("courses").alias("courses")))
 
 
 if __name__ == "__main__":

@@ -49,6 +49,18 @@ _WER = f"""lettered as (
     select p_partkey, ref, hyp, string_split({_norm("ref")}, ' ') as a, string_split({_norm("hyp")}, ' ') as b from names))
 )"""
 
+#: Word error rates by the table of distances, a row for each word of the prediction: the least of each place and of all before it.
+_WER_ROWS = rf"""words as (
+  select conv_id, turn, list_filter(string_split(regexp_replace(regexp_replace({_norm('ref')}, '\s{{2,}}', ' ', 'g'), '^\s+|\s+$', '', 'g'), ' '), lambda w: w <> '') as a,
+         list_filter(string_split(regexp_replace(regexp_replace({_norm('hyp')}, '\s{{2,}}', ' ', 'g'), '^\s+|\s+$', '', 'g'), ' '), lambda w: w <> '') as b from pairs
+), steps as (
+  select conv_id, turn, len(a) as n, len(b) as m, list_reduce(b, lambda d, w:
+    list_transform(list_reduce(
+      list_transform(range(1, len(a) + 2), lambda k: [case when k = 1 then d[1] else least(d[k] + 1, d[k - 1] + (a[k - 1] <> w)::bigint) - k end]),
+      lambda p, q: list_append(p, least(p[len(p)], q[1]))), lambda x, i: x + i), range(0, len(a) + 1)) as d
+  from words
+)"""
+
 _LINES = r"""lines as (
   select conv_id::varchar as doc, (turn + 1)::int as page, i as seq, parts[i] as text
   from (select *, string_split(text, chr(10)) as parts from conversations), unnest(range(1, len(parts) + 1)) u(i)
@@ -129,6 +141,8 @@ ORACLE_SQL: dict[str, str] = {
     "cer_empty": f"""with {_PAIRS}, blank as (select conv_id, turn, case when turn % 2 = 0 then ' ' || chr(10) else ref end as ref, case when conv_id % 2 = 0 then '' else hyp end as hyp from pairs)
         select conv_id, turn, {_cer('ref', 'hyp')} as cer from blank""",
     "wer": f"with {_NAMES}, {_WER} select p_partkey, levenshtein(la, lb)::double / n as wer from lettered",
+    "wer_turns": f"""with {_PAIRS}, {_WER_ROWS}
+        select conv_id, turn, case when n > 0 then d[n + 1]::double / n when m > 0 then 1.0::double else 0.0::double end as wer from steps""",
     "exact_match": f"with {_PAIRS} select conv_id, turn, {_norm('ref')} = {_norm('hyp')} as exact_match from pairs",
     "evaluate": f"""with {_NAMES}, {_WER} select 'part_' || p_partkey || '.pdf' as file, {_cer('ref', 'hyp')} as cer, levenshtein(la, lb)::double / n as wer,
         {_norm('ref')} = {_norm('hyp')} as exact_match, length({_norm('ref')})::int as reference_chars, length({_norm('hyp')})::int as prediction_chars from lettered""",

@@ -138,6 +138,14 @@ def test_evaluate_files(spark, tmp_path):
     assert tuple(made) == ("doc.pdf", 0.5, 0.5, False, 3, 3)
 
 
+def test_results_are_printed_as_json(spark, tmp_path, capsys):
+    (tmp_path / "truth.json").write_text(json.dumps({"a.pdf": "one two"}))
+    (tmp_path / "p.json").write_text(json.dumps({"source_path": "x/a.pdf", "text": "one tvo", "pages": []}))
+    cli.main(["evaluate", str(tmp_path / "truth.json"), str(tmp_path / "p.json"), "--output", str(tmp_path / "out")])
+    printed = json.loads(capsys.readouterr().out)
+    assert (printed["file"], printed["wer"], printed["exact_match"]) == ("a.pdf", 0.5, False)
+
+
 def test_curriculum_from_json(spark, tmp_path):
     line = lambda t, x, y: {"text": t, "box": [[x, y], [x + 1, y + 1]]}
     pages = [{"page": 5, "lines": [line("3(3-0-6)", 5, 2), line("01236049", 0, 1), line("ชื่อ", 0, 2), line("NAME", 0, 3)]}]
