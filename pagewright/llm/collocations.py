@@ -11,9 +11,10 @@ into words; a phrase is a run of 1 to LONGEST words of one piece. Everything is
    reached the least count: 16 MB, whatever the size of the corpus.
 2. Exact counts. A second pass over all texts keeps the phrases whose cells are all set, and
    whose parts are kept too (a part of a frequent phrase is frequent), and counts them as
-   words, not as hashes: by task, in lists dealt to buckets by a hash of the phrase, and by bucket. Nothing frequent is lost. Beyond
-   about 20 billion phrase occurrences the cells fill and the sketch lets more through; the
-   counts stay exact, and the second pass is then an ordinary aggregation.
+   words, not as hashes: by task, in lists dealt to buckets by a hash of the phrase, then by
+   bucket. Nothing frequent is lost. Beyond about 20 billion phrase occurrences the cells fill
+   and the sketch lets more through; the counts stay exact, and the second pass is then an
+   ordinary aggregation.
 3. Score. A cut of a phrase is scored against the counts of both its parts, which are
    frequent too, in decimals of 38 digits. The least score of all cuts counts.
 4. Subsume. A candidate is dropped if it lies in a longer one that occurs as often. Then a

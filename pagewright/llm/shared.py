@@ -60,9 +60,10 @@ def marked(rows: DataFrame, key: str, ids: DataFrame, most: int = WORDS) -> Data
 
     A map of bits, one for each id's hash, is broadcast. It has a number of 64 bits for each
     SHARE ids, so one other key in 16 passes at most, up to `most` numbers; beyond
-    64 * most ids it lets most keys through. ids is read twice: pass a written table.
+    64 * most ids it lets most keys through. ids, which may repeat, is read twice: pass a written table.
     """
-    words = min(most, 1 << max(4, (ids.count() // SHARE).bit_length()))
+    distinct = ids.agg(F.approx_count_distinct("id")).first()[0]
+    words = min(most, 1 << max(4, (distinct // SHARE).bit_length()))
     place = lambda c: F.pmod(F.shiftrightunsigned(F.xxhash64(c), 6), F.lit(words))
     bit = lambda c: F.expr(f"shiftleft(1L, cast(xxhash64({c}) & 63 as int))")
     found = written(ids.groupBy(place("id").alias("__word")).agg(F.bit_or(bit("id")).alias("__bits")), "bits")

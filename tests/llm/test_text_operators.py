@@ -572,3 +572,24 @@ def test_quality_of_empty_tables(spark):
     docs, labels = spark.createDataFrame([(1, "a b c")], DOC), spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     assert quality.score(docs.limit(0), quality.fit(docs, labels)).count() == 0
     assert [r.score for r in quality.score(docs, quality.fit(docs.limit(0), labels)).collect()] == [0.5]
+
+
+def test_neardup_recall_over_several_levels(spark, monkeypatch):
+    """Pairs at and around the threshold, with leaves so small that four levels and their hubs are crossed: found over true."""
+    monkeypatch.setattr(neardup, "LEAF", 6)
+    rng = random.Random(17)
+    common = [words(rng, 1) for _ in range(400)]
+    rows = []
+    for i in range(250):
+        base = [rng.choice(common) for _ in range(60)]
+        other = list(base)
+        for at in rng.sample(range(60), rng.choice([1, 2, 3, 3, 4, 4])):
+            other[at] = words(rng, 1)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    sets = {i: {tuple(w[j : j + 2]) for j in range(len(w) - 1)} for i, t in rows for w in [t.split()]}
+    true = {(2 * i, 2 * i + 1) for i in range(250) if 100 * len(sets[2 * i] & sets[2 * i + 1]) >= 80 * len(sets[2 * i] | sets[2 * i + 1])}
+    made = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, DOC), 2, 80).collect()}
+    found = {(a, b) for a, b in true if made[a] == made[b]}
+    print(f"recall: {len(found)} of {len(true)} pairs")
+    assert len(true) > 100 and len(found) == len(true)
+    assert all(made[2 * i + 1] == 2 * i + 1 for i in range(250) if (2 * i, 2 * i + 1) not in true)
