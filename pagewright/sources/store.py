@@ -8,8 +8,9 @@ there are when they begin, and nothing else.
 
 A stream's micro-batch has a manifest named by the query and the batch, so a batch that is
 run again after a restart changes nothing. A stream that reads has the number of manifests
-as its offset; manifests are numbered in the order of their commits, by one writer at a time
-(of two that commit at once the later one fails and is to be run again).
+as its offset. Manifests are numbered in the order of their commits, and of two writers
+that commit at once the later one fails, and is to be run again: the name of a manifest is
+taken once (on a store that can replace files by moving, by one writer at a time).
 
 Folders are paths or URIs of a file system that Arrow knows and all executors share.
 """
@@ -17,6 +18,7 @@ Folders are paths or URIs of a file system that Arrow knows and all executors sh
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,6 +33,16 @@ from pyspark.sql.types import StructType
 NAME = "pagewright_store"
 
 
+def _published(store: fs.FileSystem, aside: str, whole: str) -> None:
+    """Gives a file its name, unless there is one of that name: a link on a local disk, else a move, which HDFS refuses then."""
+    if isinstance(store, fs.LocalFileSystem):
+        os.link(aside, whole)
+    elif store.get_file_info(whole).type != fs.FileType.NotFound:
+        raise FileExistsError(whole)
+    else:
+        store.move(aside, whole)
+
+
 class Folder:
     """The files of a store."""
 
@@ -48,31 +60,36 @@ class Folder:
 
     def manifests(self, start: int = 0, end: int | None = None) -> list[dict]:
         """Manifests start to end - 1, in the order of their commits."""
+        return [self._manifest(n) for n in self._numbers()[start:end]]
+
+    def _manifest(self, number: int) -> dict:
         store, root = self._at()
-        out = []
-        for n in self._numbers()[start:end]:
-            with store.open_input_stream(f"{root}/_manifests/{n:012d}.json") as f:
-                out.append(json.loads(f.read()))
-        return out
+        with store.open_input_stream(f"{root}/_manifests/{number:012d}.json") as f:
+            return json.loads(f.read())
 
     def size(self) -> int:
         return len(self._numbers())
 
-    def commit(self, files: list[str], schema: str, batch: str | None, replaces: bool = False) -> None:
-        """Makes files visible, at once; nothing happens if the batch is there already."""
+    def commit(self, files: list[str], schema: str, query: str | None = None, batch: int | None = None, replaces: bool = False) -> None:
+        """Makes files visible, at once; nothing happens if the query's batch is there already. A query's batches only rise, so its last manifest tells."""
         store, root = self._at()
         numbers = self._numbers()
-        if batch is not None and any(m["batch"] == batch for m in self.manifests()):
-            return
+        if query is not None:
+            last = next((m for m in map(self._manifest, reversed(numbers)) if m["query"] == query), None)
+            if last is not None and last["batch"] >= batch:
+                return
         store.create_dir(f"{root}/_manifests", recursive=True)
         n = numbers[-1] + 1 if numbers else 0
         whole, aside = f"{root}/_manifests/{n:012d}.json", f"{root}/_manifests/{uuid.uuid4().hex}.tmp"
         with store.open_output_stream(aside) as f:
-            f.write(json.dumps({"files": files, "schema": schema, "batch": batch, "replaces": replaces}).encode())
-        if store.get_file_info(whole).type != fs.FileType.NotFound:
-            store.delete_file(aside)
-            raise RuntimeError(f"another write has committed to {self.path} meanwhile")
-        store.move(aside, whole)
+            f.write(json.dumps({"files": files, "schema": schema, "query": query, "batch": batch, "replaces": replaces}).encode())
+        try:
+            _published(store, aside, whole)
+        except OSError as e:
+            raise RuntimeError(f"another write has committed to {self.path} meanwhile") from e
+        finally:
+            if store.get_file_info(aside).type != fs.FileType.NotFound:
+                store.delete_file(aside)
 
     def put(self, batches: Iterator[pa.RecordBatch]) -> list[str]:
         """Writes batches to one file that nobody reads yet; gives its name, or none for no rows."""
@@ -124,7 +141,7 @@ class _Writer:
 
 class StoreWriter(_Writer, DataSourceArrowWriter):
     def commit(self, messages: list) -> None:
-        Folder(self.path).commit(_named(messages), self.schema, None, self.replaces)
+        Folder(self.path).commit(_named(messages), self.schema, replaces=self.replaces)
 
     def abort(self, messages: list) -> None:
         Folder(self.path).drop(_named(messages))
@@ -132,7 +149,7 @@ class StoreWriter(_Writer, DataSourceArrowWriter):
 
 class StoreStreamWriter(_Writer, DataSourceStreamArrowWriter):
     def commit(self, messages: list, batchId: int) -> None:
-        Folder(self.path).commit(_named(messages), self.schema, f"{self.query}:{batchId}")
+        Folder(self.path).commit(_named(messages), self.schema, self.query, batchId)
 
     def abort(self, messages: list, batchId: int) -> None:
         Folder(self.path).drop(_named(messages))

@@ -117,14 +117,32 @@ def test_a_task_that_fails_midway_leaves_nothing(stored):
 
 def test_commits_are_whole_and_in_order(tmp_path):
     folder = store.Folder(str(tmp_path / "s"))
-    folder.commit(["a"], "{}", "q:0")
-    folder.commit(["b"], "{}", "q:0")
-    folder.commit(["c"], "{}", "q:1")
+    folder.commit(["a"], "{}", "q", 0)
+    folder.commit(["b"], "{}", "q", 0)
+    folder.commit(["c"], "{}", "q", 1)
     assert [m["files"] for m in folder.manifests()] == [["a"], ["c"]] and folder.size() == 2
     (tmp_path / "s" / "_manifests" / "half.tmp").write_text("{")
     assert folder.size() == 2 and store.visible(folder.manifests()) == ["a", "c"]
 
 
+def test_commits_at_once_are_never_lost(tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    folder = store.Folder(str(tmp_path / "s"))
+
+    def commit(i):
+        try:
+            folder.commit([f"f{i}"], "{}")
+            return f"f{i}"
+        except RuntimeError:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        done = [x for x in pool.map(commit, range(60)) if x]
+    assert sorted(store.visible(folder.manifests())) == sorted(done) and done
+    assert not [f for f in os.listdir(tmp_path / "s" / "_manifests") if f.endswith(".tmp")]
+
+
 def test_streams_into_and_out_of_a_store(stored, tmp_path):
     spark, path, read = stored
     copy = str(tmp_path / "copy")
