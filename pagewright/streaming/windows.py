@@ -100,8 +100,9 @@ class _Sessions(StatefulProcessor):
         mark = timerValues.getCurrentWatermarkInMs()
         held = [list(s) for s in self.open.get()] if self.open.exists() else []
         for batch in rows:
-            fresh = batch[batch["__micros"] // 1000 > mark]
-            held += [[t, t, 1, a] for t, a in zip(fresh["__micros"].tolist(), fresh["__amount"].tolist(), strict=True)]
+            micros, amounts = batch.iloc[:, 2], batch.iloc[:, 3]  # Spark renames computed columns of a group
+            fresh = micros // 1000 > mark
+            held += [[t, t, 1, a] for t, a in zip(micros[fresh].tolist(), amounts[fresh].tolist(), strict=True)]
             held = self._merged(held)
         if held:
             for s in held:
@@ -144,7 +145,7 @@ def session_stream(events: DataFrame, time: str, by: str, amount: str, gap_s: in
     amount is a column of whole numbers. A key's rows of one micro-batch are one task's.
     """
     whole = F.coalesce(F.col(amount).cast("long"), F.lit(0).cast("long"))
-    rows = _instants(events, [by], time).withWatermark(time, delay).select(by, time, F.unix_micros(time).alias("__micros"), whole.alias("__amount"))
+    rows = _instants(events, [by], time).withWatermark(time, delay).select(by, time, F.unix_micros(time), whole)
     kind = events.schema[by].dataType.simpleString()
     made = rows.groupBy(by).transformWithStateInPandas(_Sessions(by, gap_s), f"`{by}` {kind}, {_SESSION}", "Append", "EventTime")
     return made.select(by, F.timestamp_micros("first").alias("start"), F.timestamp_micros(F.col("last") + gap_s * 1_000_000).alias("end"), "n", "total")
