@@ -5,89 +5,114 @@ distance then decides. Texts of up to SHORT characters have the hashes of all th
 of them by at most `most` deletions as keys: two texts within `most` edits have one in
 common. Longer texts would have too many; of those the right one is cut into most + 1
 segments, one of which an alike text holds unchanged, at most `most` characters away. Each
-text of one side counts once, however many rows have it.
+text of one side counts once, however many rows have it. Keys are made in Arrow batches
+and travel with a hash of the text, not with the text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters up to which deletions are the keys.
 SHORT = 40
+#: Keys of a batch, about.
+BATCH = 200_000
+
 
+def deletions(text: str, most: int) -> set[str]:
+    """The text and all that at most `most` deletions leave of it."""
+    made = last = {text}
+    for _ in range(most):
+        last = {x[:i] + x[i + 1 :] for x in last for i in range(len(x))}
+        made = made | last
+    return made
 
-def _without_one(text: Column) -> Column:
-    """All texts with one character less; none for an empty one."""
-    n = F.length(text)
-    each = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, n)))
-    return F.when(n > 0, each).otherwise(F.array().cast("array<string>"))
 
+def _segments(length: int, most: int) -> Iterator[tuple[int, int, int]]:
+    """Number, start and end of the segments of a text."""
+    for i in range(most + 1):
+        yield i, i * length // (most + 1), (i + 1) * length // (most + 1)
 
-def deletions(text: Column, most: int) -> Column:
-    """The text and all that at most `most` deletions leave of it, each once."""
-    made = last = F.array(text)
-    for _ in range(most):
-        last = F.array_distinct(F.flatten(F.transform(last, _without_one)))
-        made = F.concat(made, last)
-    return F.array_distinct(made)
 
+def own_segments(text: str, most: int) -> set[str]:
+    return {f"{len(text)}:{i}:{text[s:e]}" for i, s, e in _segments(len(text), most)}
 
-def _segment(length: Column, i: Column, most: int) -> tuple[Column, Column]:
-    """Start, from 0, and length of segment i of a text."""
-    start = F.floor(i * length / (most + 1)).cast("int")
-    return start, F.floor((i + 1) * length / (most + 1)).cast("int") - start
 
+def sought_segments(text: str, most: int) -> set[str]:
+    """What own_segments of an alike text of any fitting length may have that this text holds."""
+    out = set()
+    for length in range(len(text) - most, len(text) + most + 1):
+        for i, s, e in _segments(length, most):
+            for at in range(max(s - most, 0), min(s + most, len(text) - (e - s)) + 1):
+                out.add(f"{length}:{i}:{text[at : at + e - s]}")
+    return out
 
-def _own_segments(text: Column, most: int) -> Column:
-    def one(i: Column) -> Column:
-        start, size = _segment(F.length(text), i, most)
-        return F.xxhash64(F.length(text), i, F.substring(text, start + 1, size))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(most)), one)
+def keys_of(text: str, most: int, sought: bool, short: int) -> set[str]:
+    made = {f"-{x}" for x in deletions(text, most)} if len(text) <= short + most else set()
+    if len(text) > short:
+        made |= sought_segments(text, most) if sought else own_segments(text, most)
+    return made
 
 
-def _sought_segments(text: Column, most: int) -> Column:
-    """Keys under which an alike text of any fitting length would have a segment that this text holds."""
+def _keyed(texts: DataFrame, most: int, sought: bool, short: int, name: str) -> DataFrame:
+    """(name, length, key) of texts (id, text): the id under that name."""
+    names = [name, f"{name}_length", "key"]
 
-    def of(length: Column) -> Column:
-        def one(i: Column) -> Column:
-            start, size = _segment(length, i, most)
-            places = F.sequence(F.greatest(start - most, F.lit(0)), F.least(start + most, F.length(text) - size))
-            return F.transform(places, lambda p: F.xxhash64(length, i, F.substring(text, p + 1, size)))
+    def run(batches):
+        import xxhash
 
-        # a segment may lie beyond a shorter text
-        fitting = F.filter(F.sequence(F.lit(0), F.lit(most)), lambda i: _segment(length, i, most)[0] - most <= F.length(text) - _segment(length, i, most)[1])
-        return F.flatten(F.transform(fitting, one))
+        digest = xxhash.xxh3_64_intdigest
+        ids, lengths, keys = [], [], []
 
-    return F.flatten(F.transform(F.sequence(F.length(text) - most, F.length(text) + most), of))
+        def made() -> pa.RecordBatch:
+            columns = [pa.array(ids, pa.int64()), pa.array(lengths, pa.int32()), pa.array(keys, pa.uint64()).view(pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=names)
 
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                mine = [digest(k.encode()) for k in keys_of(text, most, sought, short)]
+                ids += [i] * len(mine)
+                lengths += [len(text)] * len(mine)
+                keys += mine
+                if len(keys) >= BATCH:
+                    yield made()
+                    ids, lengths, keys = [], [], []
+        if keys:
+            yield made()
 
-def _keyed(texts: DataFrame, most: int, sought: bool, short: int) -> DataFrame:
-    """(text, __key) of distinct texts."""
-    text = F.col("text")
-    left_over = F.transform(deletions(text, most), lambda v: F.xxhash64(v))
-    cut = _sought_segments(text, most) if sought else _own_segments(text, most)
-    none = F.array().cast("array<bigint>")
-    keys = F.concat(F.when(F.length(text) <= short + most, left_over).otherwise(none), F.when(F.length(text) > short, cut).otherwise(none))
-    return texts.select("text", F.explode(F.array_distinct(keys)).alias("__key"))
+    return texts.select("id", "text").mapInArrow(run, f"{name} long, {name}_length int, key long")
 
 
 def candidates(left: DataFrame, right: DataFrame, most: int, short: int = SHORT) -> DataFrame:
-    """(left_text, right_text): the pairs of distinct texts that share a key, each once."""
+    """(l, r): the pairs of ids of texts (id, text) that share a key, each once."""
     if short < 2 * most:
         raise ValueError("texts beyond `short` must be longer than twice the edits")
-    one = _keyed(left, most, True, short).withColumnRenamed("text", "left_text")
-    two = _keyed(right, most, False, short).withColumnRenamed("text", "right_text")
-    fit = F.abs(F.length("left_text") - F.length("right_text")) <= most
-    return one.join(two, "__key").where(fit).select("left_text", "right_text").distinct()
+    one, two = _keyed(left, most, True, short, "l"), _keyed(right, most, False, short, "r")
+    return one.join(two, "key").where(F.abs(F.col("l_length") - F.col("r_length")) <= most).select("l", "r").distinct()
+
+
+def texts_of(rows: DataFrame, on: str) -> DataFrame:
+    """(id, text): the distinct texts of a column, with a hash; of equal hashes all texts are compared.
+
+    They are few bytes but much work, so they are dealt to as many tasks as the session has.
+    """
+    spark = rows.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    distinct = rows.select(F.col(on).cast("string").alias("text")).where("text is not null").distinct()
+    return distinct.select(F.xxhash64("text").alias("id"), "text").repartition(tasks, "id")
 
 
 def fuzzy_pairs(left: DataFrame, right: DataFrame, left_on: str, right_on: str, most: int = 2, short: int = SHORT) -> DataFrame:
     """(left_text, right_text, edits): distinct texts within `most` edits of each other. Nulls match nothing."""
-    texts = lambda df, on: df.select(F.col(on).cast("string").alias("text")).where("text is not null").distinct()
-    pairs = candidates(texts(left, left_on), texts(right, right_on), most, short)
-    return pairs.withColumn("edits", F.levenshtein("left_text", "right_text", most)).where("edits >= 0")
+    one, two = texts_of(left, left_on), texts_of(right, right_on)
+    pairs = candidates(one, two, most, short)
+    pairs = pairs.join(one.select(F.col("id").alias("l"), F.col("text").alias("left_text")), "l").join(two.select(F.col("id").alias("r"), F.col("text").alias("right_text")), "r")
+    return pairs.select("left_text", "right_text", F.levenshtein("left_text", "right_text", most).alias("edits")).where("edits >= 0")
 
 
 def fuzzy_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, most: int = 2, short: int = SHORT) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright.functions import edits, metrics
-from pagewright.operators.fuzzy import candidates, fuzzy_join, fuzzy_pairs
+from pagewright.operators.fuzzy import candidates, fuzzy_join, fuzzy_pairs, texts_of
 
 
 def plain(a, b):
@@ -94,7 +94,7 @@ def test_fuzzy_candidates_are_few(spark):
     rng = random.Random(3)
     left = spark.createDataFrame([("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.choice([12, 60]))),) for _ in range(2000)], "text string")
     right = left.select(F.concat(F.substring("text", 1, 5), F.expr("substring(text, 7, 100)")).alias("text"))
-    assert candidates(left, right, 2).count() < 2200
+    assert candidates(texts_of(left, "text"), texts_of(right, "text"), 2).count() < 2200
 
 
 def test_fuzzy_join_of_rows(spark):
