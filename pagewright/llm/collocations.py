@@ -8,13 +8,14 @@ into words; a phrase is a run of 1 to LONGEST words of one piece. Everything is
    (gap, count), cut into slices of a row. Slices are merged in two rounds, first SPREAD
    groups of each and then the slice as a whole, in counters that stop at 255. A cell never
    counts less than a phrase in it occurs. What is kept is a bit for each cell, whether it
-   reached the least count: 16 MB, whatever the size of the corpus.
+   reached the least count. A row has a cell for every 8 to 16 bytes of text, LEAST_CELLS
+   at least and MOST_CELLS at most: what is broadcast is 16 to 128 MB.
 2. Exact counts. A second pass over all texts keeps the phrases whose cells are all set, and
    whose parts are kept too (a part of a frequent phrase is frequent), and counts them as
    words, not as hashes: by task, in lists dealt to buckets by a hash of the phrase, then by
-   bucket. Nothing frequent is lost. Beyond about 20 billion phrase occurrences the cells fill
-   and the sketch lets more through; the counts stay exact, and the second pass is then an
-   ordinary aggregation.
+   bucket. Nothing frequent is lost. Beyond about 50 GB of text the cells of a sketch of
+   MOST_CELLS fill and it lets more and more through; the counts stay exact, and the second
+   pass is then an ordinary aggregation.
 3. Score. A cut of a phrase is scored against the counts of both its parts, which are
    frequent too, in decimals of 38 digits. The least score of all cuts counts.
 4. Subsume. A candidate is dropped if it lies in a longer one that occurs as often. Then a
@@ -43,6 +44,8 @@ from pagewright.llm.shared import SPREAD as ODD
 from pagewright.llm.shared import mixed, pieces, written
 
 LONGEST, LEAST = 5, 100
+#: Cells of a row of the sketch (powers of two).
+LEAST_CELLS, MOST_CELLS = 1 << 26, 1 << 29
 #: Groups of a slice of the sketch in the first round of merging.
 SPREAD = 16
 #: Buckets of phrases at least.
@@ -149,7 +152,7 @@ def phrase_hashes(lang: str, token: np.ndarray, room: np.ndarray, hashes: np.nda
 class Shape:
     """Of a sketch: cells of a row and of a slice of it (powers of two), and rows (one or two)."""
 
-    cells: int = 1 << 26
+    cells: int
     slice: int = 1 << 20
     rows: int = 2
 
@@ -159,7 +162,9 @@ class Shape:
         return ((made if row == 0 else made * ODD * ODD) >> shift).astype(np.uint32)
 
 
-SHAPE = Shape()
+def shape_for(text_bytes: int) -> Shape:
+    """A cell of each row for every 8 to 16 bytes of text, so that a cell counts about ten occurrences; within LEAST_CELLS and MOST_CELLS."""
+    return Shape(min(MOST_CELLS, max(LEAST_CELLS, 1 << (text_bytes // 16).bit_length())))
 
 
 def packed(cell: np.ndarray, count: np.ndarray) -> tuple[bytes, bytes]:
@@ -237,13 +242,13 @@ def _merged(slices: DataFrame, shape: Shape, least: int | None) -> DataFrame:
     return dealt.mapInArrow(run, _SLICE if least is None else "slice int, bits binary")
 
 
-def sketch_bits(texts: DataFrame, least: int = LEAST, shape: Shape = SHAPE, step: int = STEP) -> bytes:
+def sketch_bits(texts: DataFrame, least: int, shape: Shape, step: int = STEP) -> bytes:
     """A bit for each cell of the merged sketch of texts (lang, text): whether it counts `least` or more (at most 255)."""
     slices = _sketches(texts, shape, step).withColumn("turn", F.pmod("turn", F.lit(SPREAD)))
     first = written(_merged(slices, shape, None), "sketch").withColumn("turn", F.lit(0))
     size = shape.slice // 8
     out = bytearray(shape.rows * shape.cells // 8)
-    for r in _merged(first, shape, min(least, 255)).collect():  # the bits of all slices: 16 MB
+    for r in _merged(first, shape, min(least, 255)).collect():  # a bit for each cell: 128 MB at most
         out[r["slice"] * size : (r["slice"] + 1) * size] = r.bits
     return bytes(out)
 
@@ -324,9 +329,10 @@ def _summed(lists: DataFrame, least: int) -> DataFrame:
     return lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "lang string, phrase string, words int, f long")
 
 
-def phrase_counts(docs: DataFrame, least: int = LEAST, lang: str = "lang", text: str = "text", shape: Shape = SHAPE, step: int = STEP) -> DataFrame:
+def phrase_counts(docs: DataFrame, least: int = LEAST, lang: str = "lang", text: str = "text", shape: Shape | None = None, step: int = STEP) -> DataFrame:
     """(lang, phrase, words, f): exact counts of all phrases that occur `least` times or more in their language; phrase null: all its words."""
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text"))
+    shape = shape or shape_for(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     shared = docs.sparkSession.sparkContext.broadcast(sketch_bits(texts, least, shape, step))
     buckets = BUCKETS + 4 * texts.rdd.getNumPartitions()  # so that what a bucket sums does not grow with the corpus
     return written(_summed(_counted(texts, shared, shape, step, buckets), least), "phrases")
@@ -356,7 +362,7 @@ def maximal(candidates: DataFrame) -> DataFrame:
     return candidates.join(inner, (F.col("lang") == F.col("il")) & (F.col("phrase") == F.col("part")) & (F.col("ia") >= F.col("a")), "left_anti")
 
 
-def collocations(docs: DataFrame, least: int = LEAST, most: int = 2000, lang: str = "lang", text: str = "text", shape: Shape = SHAPE, step: int = STEP) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, most: int = 2000, lang: str = "lang", text: str = "text", shape: Shape | None = None, step: int = STEP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first `most` phrases of 2 to LONGEST words by score, count, and bytes."""
     left = maximal(written(scored(phrase_counts(docs, least, lang, text, shape, step)), "scored"))
     order = lambda *by: Window.partitionBy("lang", *by).orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")

@@ -243,3 +243,9 @@ def test_steps_of_null_texts():
     batch = pa.RecordBatch.from_arrays([pa.array(["en", "de"]), pa.array([None, "a b"])], names=["lang", "text"])
     made = list(collocations.steps(iter([batch]), 100))
     assert [(lang, room.tolist()) for lang, _, room, _, _ in made] == [("de", [2, 1, 0])]
+
+
+def test_sketches_grow_with_the_corpus():
+    sizes = [collocations.shape_for(b).cells for b in (0, 10**6, 10**8, 10**9, 10**14)]
+    assert sizes == sorted(sizes) and sizes[0] == 1 << 26 and sizes[-1] == 1 << 29
+    assert all(8 <= b / collocations.shape_for(b).cells <= 16 for b in (2 * 10**9, 5 * 10**9))
