@@ -253,7 +253,9 @@ def later_windows(entries: list[bytes], cuts: np.ndarray, group: np.ndarray) ->
 
 def _spans(keys: np.ndarray, entry: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
     """Windows by entry and place as runs: z, d, t, s of the first, and their number. keys: z, d, t, s of the entries."""
-    first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1] + 1) | (entry[1:] != entry[:-1])]))
+    starts = np.ones(len(entry), bool)  # of no windows, none
+    starts[1:] = (place[1:] != place[:-1] + 1) | (entry[1:] != entry[:-1])
+    first = np.flatnonzero(starts)
     k = keys[entry[first]]
     return [k[:, 0].astype(np.int8), np.ascontiguousarray(k[:, 1]), np.ascontiguousarray(k[:, 2]), (k[:, 3] + place[first]).astype(np.int32), np.diff(np.append(first, len(entry))).astype(np.int32)]
 

@@ -122,6 +122,15 @@ def test_a_line_that_all_documents_share(spark, monkeypatch):
     assert {r.doc_id: bytes(r.kept) for r in made} == removed(docs)
 
 
+def test_crowds_without_an_equal_window(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "CROWD", 1)
+    rng = random.Random(23)
+    lines = [words(rng, 40)[:70] for _ in range(20)]  # each shorter than a window
+    docs = [(i, f"{words(rng, 40)} {lines[i % 20]} {words(rng, 40)}") for i in range(60)]
+    made = repeats.without_repeats(spark.createDataFrame(docs, DOC).repartition(4)).collect()
+    assert {r.doc_id: bytes(r.kept) for r in made} == removed(docs) == {i: x.encode() for i, x in docs}
+
+
 def test_windows_by_both_suffix_arrays():
     rng = random.Random(22)
     data = np.frombuffer(b"".join(words(rng, 40).encode()[:200] * 3 for _ in range(6)), np.uint8)
