@@ -6,7 +6,9 @@ of them by at most `most` deletions as keys: two texts within `most` edits have
 common. Longer texts would have too many; of those the right one is cut into most + 1
 segments, one of which an alike text holds unchanged, at most `most` characters away. Each
 text of one side counts once, however many rows have it. Keys are made in Arrow batches
-and travel with a hash of the text, not with the text.
+and travel with a hash of the text, not with the text. A text has hundreds of keys, which
+the planner's guess by the size of the files does not see, so neither keys nor texts are
+ever broadcast.
 """
 
 from __future__ import annotations
@@ -93,7 +95,7 @@ def candidates(left: DataFrame, right: DataFrame, most: int, short: int = SHORT)
     if short < 2 * most:
         raise ValueError("texts beyond `short` must be longer than twice the edits")
     one, two = _keyed(left, most, True, short, "l"), _keyed(right, most, False, short, "r")
-    return one.join(two, "key").where(F.abs(F.col("l_length") - F.col("r_length")) <= most).select("l", "r").distinct()
+    return one.join(two.hint("merge"), "key").where(F.abs(F.col("l_length") - F.col("r_length")) <= most).select("l", "r").distinct()
 
 
 def texts_of(rows: DataFrame, on: str) -> DataFrame:
@@ -111,7 +113,7 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
     """(left_text, right_text, edits): distinct texts within `most` edits of each other. Nulls match nothing."""
     one, two = texts_of(left, left_on), texts_of(right, right_on)
     pairs = candidates(one, two, most, short)
-    pairs = pairs.join(one.select(F.col("id").alias("l"), F.col("text").alias("left_text")), "l").join(two.select(F.col("id").alias("r"), F.col("text").alias("right_text")), "r")
+    pairs = pairs.join(one.select(F.col("id").alias("l"), F.col("text").alias("left_text")).hint("merge"), "l").join(two.select(F.col("id").alias("r"), F.col("text").alias("right_text")).hint("merge"), "r")
     return pairs.select("left_text", "right_text", F.levenshtein("left_text", "right_text", most).alias("edits")).where("edits >= 0")
 
 

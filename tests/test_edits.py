@@ -97,6 +97,15 @@ def test_fuzzy_candidates_are_few(spark):
     assert candidates(texts_of(left, "text"), texts_of(right, "text"), 2).count() < 2200
 
 
+def test_fuzzy_keys_are_never_broadcast(spark, tmp_path):
+    path = f"{tmp_path}/texts"
+    spark.range(500).selectExpr("concat('label ', id) as a", "concat('lobel ', id) as b").write.parquet(path)
+    rows = spark.read.parquet(path)
+    made = fuzzy_pairs(rows.select("a"), rows.select("b"), "a", "b")
+    assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+    assert made.where("replace(left_text, 'a', 'o') = right_text and edits = 1").count() == 500
+
+
 def test_fuzzy_join_of_rows(spark):
     ldf = spark.createDataFrame([(1, "anna"), (1, "anna"), (2, "bo"), (3, None)], "i int, a string")
     rdf = spark.createDataFrame([(7, "ana"), (8, "bo"), (9, None)], "j int, b string")
