@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ def normalized(text: Column) -> Column:
     return strip(F.regexp_replace(text, "\n{3,}", "\n\n"))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once a row, however often it is used and also by the elements of arrays."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _rate(distance: Column, length: Column, other: Column) -> Column:
     return F.when(length > 0, distance / length).otherwise(F.when(other > 0, 1.0).otherwise(0.0))
 
@@ -28,9 +35,10 @@ def char_error_rate(reference: Column, prediction: Column) -> Column:
     Long pairs are counted bit-parallel, which gives the same number.
     """
     ref, hyp = (F.replace(normalized(x), F.lit(" "), F.lit("")) for x in (reference, prediction))
-    short = F.length(ref).cast("long") * F.length(hyp) <= SHORT_CELLS
-    long = edit_distance(F.when(~short, ref), F.when(~short, hyp))
-    return _rate(F.when(short, F.levenshtein(ref, hyp)).otherwise(long), F.length(ref), F.length(hyp))
+    short = lambda a, b: F.length(a).cast("long") * F.length(b) <= SHORT_CELLS
+    long = edit_distance(F.when(~short(ref, hyp), ref), F.when(~short(ref, hyp), hyp))
+    distance = lambda p: F.when(short(p["a"], p["b"]), F.levenshtein(p["a"], p["b"])).otherwise(p["long"])
+    return _once(F.struct(ref.alias("a"), hyp.alias("b"), long.alias("long")), lambda p: _rate(distance(p), F.length(p["a"]), F.length(p["b"])))
 
 
 def words(text: Column, tokenizer: str = "compat") -> Column:
@@ -54,10 +62,11 @@ def _letters(mine: Column, every: Column) -> Column:
 def word_error_rate(reference: Column, prediction: Column, tokenizer: str = "compat") -> Column:
     """Edit distance in words per word of the reference, of normalized texts; of long pairs bit-parallel."""
     ref, hyp = (words(normalized(x), tokenizer) for x in (reference, prediction))
-    short = F.size(ref).cast("long") * F.size(hyp) <= SHORT_CELLS
-    every = F.array_distinct(F.concat(ref, hyp))
-    native = F.levenshtein(_letters(ref, every), _letters(hyp, every))
-    return _rate(F.when(short, native).otherwise(edit_distance(F.when(~short, ref), F.when(~short, hyp))), F.size(ref), F.size(hyp))
+    short = lambda a, b: F.size(a).cast("long") * F.size(b) <= SHORT_CELLS
+    long = edit_distance(F.when(~short(ref, hyp), ref), F.when(~short(ref, hyp), hyp))
+    native = lambda a, b: _once(F.array_distinct(F.concat(a, b)), lambda every: F.levenshtein(_letters(a, every), _letters(b, every)))
+    distance = lambda p: F.when(short(p["a"], p["b"]), native(p["a"], p["b"])).otherwise(p["long"])
+    return _once(F.struct(ref.alias("a"), hyp.alias("b"), long.alias("long")), lambda p: _rate(distance(p), F.size(p["a"]), F.size(p["b"])))
 
 
 def evaluation(file: Column, reference: Column, prediction: Column, tokenizer: str = "compat") -> list[Column]:

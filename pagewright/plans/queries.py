@@ -77,7 +77,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part")
+    part = readers.spread(table(spark, sf_dir, "part"))
     hyp = F.concat(F.replace("p_name", F.lit("a"), F.lit("o")), F.when(F.col("p_partkey") % 3 == 0, F.lit(" more words")).otherwise(F.lit("")))
     return part.select("p_partkey", F.concat(F.col("p_name"), F.lit(" "), F.col("p_type")).alias("ref"), F.concat(hyp, F.lit(" "), F.col("p_type")).alias("hyp"))
 

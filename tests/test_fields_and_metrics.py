@@ -118,3 +118,21 @@ def test_word_error_rate_of_long_turns_by_brute_force(spark):
     made = rows.select("ref", "hyp", metrics.word_error_rate(F.col("ref"), F.col("hyp")).alias("wer")).collect()
     for r in made:
         assert r.wer == pytest.approx(distance(r.ref.split(), r.hyp.split()) / len(r.ref.split()))
+
+
+def test_the_words_of_a_pair_are_parted_once(spark, tmp_path):
+    rows = [(" ".join(f"w{i % 90}" for i in range(150)), " ".join(f"w{i % 70}" for i in range(150)))] * 400
+    spark.createDataFrame(rows, "a string, b string").write.parquet(path := f"{tmp_path}/pairs")
+    pairs = spark.read.parquet(path)
+
+    def body(node, inside=False):
+        """Patterns replaced within the function of an array's elements, where they are once for each element."""
+        name = node.getClass().getSimpleName()
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        return (inside and name == "RegExpReplace") + sum(body(c, inside or name == "LambdaFunction") for c in children)
+
+    for rate in (metrics.word_error_rate, metrics.char_error_rate):
+        made = pairs.select(rate(F.col("a"), F.col("b")).alias("r"))
+        plan = made._jdf.queryExecution().analyzed()
+        assert sum(body(plan.expressions().apply(i)) for i in range(plan.expressions().size())) == 0
+        assert made.distinct().count() == 1
