@@ -97,3 +97,31 @@ def interval_join(points: DataFrame, spans: DataFrame, time: str, start: str, en
     dots = dots.join(hot, place, "left").withColumn("__j", mine("__point", "__np")).withColumn("__i", each("__ns")).drop("__ns", "__np")
     both = in_cells.join(dots, [*place, "__i", "__j"]).where("__s <= __t and __t < __e")
     return both.select(*[F.col(k).alias(b) for k, b in zip(keys, by, strict=True)], "__point.*", "__span.*")
+
+
+def interval_totals(points: DataFrame, spans: DataFrame, time: str, start: str, end: str, count: str, sums: list[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """points with the number of spans with start <= time < end, and their sums of columns of whole numbers; points in no span are left out.
+
+    As counting the rows of interval_join would, without its pairs: a span adds at its start
+    what it takes off at its end, and a point has the sum of all that is not later. Time is
+    cut into slices, and the sum of the slices before is carried into each.
+    """
+    s, e = _micros(F.col(start)), _micros(F.col(end))
+    known = [f"__known{i}" for i in range(len(sums))]
+    adds = [count, *sums, *known]
+    values = [F.lit(1).cast("long").alias(count), *[F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in sums], *[F.col(c).isNotNull().cast("long").alias(k) for c, k in zip(sums, known, strict=True)]]
+    whole = spans.where(_complete([], F.col(start), F.col(end))).select(s.alias("__s"), e.alias("__e"), *values).where("__s < __e")
+    ends = F.array(F.struct(F.col("__s").alias("__t"), *adds), F.struct(F.col("__e").alias("__t"), *[(-F.col(c)).alias(c) for c in adds]))
+    changes = whole.select(F.explode(ends).alias("x")).groupBy("x.__t").agg(*[F.sum(F.col("x")[c]).alias(c) for c in adds])
+    kept = [c for c in points.columns if c.lower() not in {a.lower() for a in adds}]
+    dots = points.where(_complete([], F.col(time))).select(_micros(F.col(time)).alias("__t"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__point"))
+    key = F.struct(F.lit(0).alias("k")).alias("__k")
+    none = F.lit(None).cast(dots.schema["__point"].dataType).alias("__point")
+    rows = changes.select(key, "__t", F.lit(0).alias("__side"), none, *adds).unionByName(dots.select(key, "__t", F.lit(1).alias("__side"), "__point", *[F.lit(0).cast("long").alias(c) for c in adds]))
+    rows = sliced(rows, slice_rows)
+
+    ahead = Window.partitionBy("__k").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)  # SLICES rows at most
+    carried = rows.groupBy("__k", "__slice").agg(*[F.sum(c).alias(c) for c in adds]).select("__k", "__slice", F.lit(-(2**63)).alias("__t"), F.lit(0).alias("__side"), none, *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(c) for c in adds])
+    run = Window.partitionBy("__k", "__slice").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.unionByName(carried).withColumns({c: F.sum(c).over(run) for c in adds}).where(F.col("__point").isNotNull() & (F.col(count) > 0))
+    return found.select("__point.*", count, *[F.when(F.col(k) > 0, F.col(c)).alias(c) for c, k in zip(sums, known, strict=True)])

@@ -74,8 +74,8 @@ def _shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def interval_events(spark, sf_dir):
     """Each event with how many line items were under way, and their quantity."""
     events = _events(spark, sf_dir).select("event_id", "ts")
-    pairs = timejoins.interval_join(events, _shipments(spark, sf_dir), "ts", "shipped", "received")
-    return pairs.groupBy("event_id").agg(F.count("*").alias("n_items"), F.sum("quantity").alias("quantity"))
+    made = timejoins.interval_totals(events, _shipments(spark, sf_dir), "ts", "shipped", "received", "n_items", ["quantity"])
+    return made.groupBy("event_id").agg(F.sum("n_items").alias("n_items"), F.sum("quantity").alias("quantity"))
 
 
 def interval_users(spark, sf_dir):

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright.operators.timejoins import as_of_join, interval_join
+from pagewright.operators.timejoins import as_of_join, interval_join, interval_totals
 
 DAY = dt.datetime(2024, 1, 1)
 
@@ -82,3 +82,27 @@ def test_interval_join_of_empty_tables(spark):
     pdf, sdf = spark.createDataFrame([(1, DAY)], "i int, t timestamp"), spark.createDataFrame([(1, DAY, at(1))], "j int, s timestamp, e timestamp")
     assert interval_join(pdf.limit(0), sdf, "t", "s", "e").count() == 0 == interval_join(pdf, sdf.limit(0), "t", "s", "e").count()
     assert interval_join(pdf, sdf, "t", "s", "e").count() == 1
+
+
+@pytest.mark.parametrize("slice_rows", [10**6, 20])
+def test_interval_totals_are_as_brute_force(spark, slice_rows):
+    rng = random.Random(slice_rows)
+    points = [(i, rng.choice([None, *range(-50, 1000)])) for i in range(200)] + [(500, 5)] * 3
+    spans = [(rng.choice([None, *range(-9, 9)]), s if rng.random() < 0.9 else None, s + rng.choice([0, -3, 1, 2, 40, 300])) for s in (rng.randint(-60, 900) for _ in range(80))]
+    pdf = spark.createDataFrame([(i, at(t)) for i, t in points], "i int, t timestamp").withColumn("N", F.lit("clash"))
+    sdf = spark.createDataFrame([(v, at(s), at(e)) for v, s, e in spans], "v int, s timestamp, e timestamp")
+    made = interval_totals(pdf, sdf, "t", "s", "e", "n", ["v"], slice_rows)
+    assert made.columns == ["i", "t", "n", "v"]
+    over = [(i, [v for v, s, e in spans if None not in (t, s) and s <= t < e]) for i, t in points]
+    total = lambda x: sum(v for v in x if v is not None) if set(x) - {None} else None
+    expected = sorted((i, len(x), str(total(x))) for i, x in over if x)
+    assert sorted((r.i, r.n, str(r.v)) for r in made.collect()) == expected and expected
+    assert interval_totals(pdf.limit(0), sdf, "t", "s", "e", "n", ["v"]).count() == 0 == interval_totals(pdf, sdf.limit(0), "t", "s", "e", "n", ["v"]).count()
+
+
+def test_interval_totals_make_no_pairs(spark):
+    """20,000 spans over all of 20,000 points are 400 million pairs."""
+    pdf = spark.range(20_000).select(F.col("id").alias("i"), F.timestamp_micros(F.col("id") + 10**12).alias("t"))
+    sdf = spark.range(20_000).select(F.col("id").alias("v"), F.timestamp_micros(F.lit(10**12) - F.col("id")).alias("s"), F.timestamp_micros(F.lit(2 * 10**12)).alias("e"))
+    made = interval_totals(pdf, sdf, "t", "s", "e", "n", ["v"], 1000)
+    assert made.agg(F.min("n"), F.max("n"), F.count("*"), F.max("v")).collect() == [(20_000, 20_000, 20_000, 199_990_000)]
