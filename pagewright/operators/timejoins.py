@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.operators.slices import SLICE_ROWS, sliced
+
 #: Spans and points of a bin that meet in one cell, about.
 CELL = 4096
+#: Hashes of bins that are broadcast, at most; and types whose equal values have equal hashes.
+MET, HASHED = 1 << 18, ("tinyint", "smallint", "int", "bigint", "date", "timestamp", "string")
 
 
 def _micros(time: Column) -> Column:
@@ -61,6 +64,12 @@ def as_of_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
     return matched.unionByName(other)
 
 
+def _met(rows: DataFrame, others: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose columns `on` may be those of some of the others, by MET hashes; of some that no other has, too."""
+    place = F.pmod(F.xxhash64(*on), F.lit(MET)).alias("__met")
+    return rows.withColumn("__met", place).join(F.broadcast(others.select(place).distinct()), "__met", "left_semi").drop("__met")
+
+
 def interval_join(points: DataFrame, spans: DataFrame, time: str, start: str, end: str, by: list[str] | None = None, cell: int = CELL) -> DataFrame:
     """Pairs of a point and a span with start <= time < end, and equal keys `by` where given.
 
@@ -70,7 +79,8 @@ def interval_join(points: DataFrame, spans: DataFrame, time: str, start: str, en
     A span goes to the level whose bins are as wide as it is long, up to four times, so it lies
     in two bins at most, however long; a point goes to one bin of each level that spans have.
     So a span is compared with the points of little more than itself. Where many spans or
-    points share a bin, the bin is cut into cells of about `cell` spans by `cell` points.
+    points share a bin, the bin is cut into cells of about `cell` spans by `cell` points. Spans of
+    keys that no point has, and points in bins without a span, are left out before the shuffle.
     """
     by = by or []
     span_columns = [c for c in spans.columns if c not in by]
@@ -81,11 +91,15 @@ def interval_join(points: DataFrame, spans: DataFrame, time: str, start: str, en
     whole = spans.where(_complete(by, F.col(start), F.col(end))).select(*key, s.alias("__s"), e.alias("__e"), F.struct(*[F.col(f"`{c}`") for c in span_columns]).alias("__span")).where("__s < __e")
     level = F.ceil(F.log2((F.col("__e") - F.col("__s")).cast("double")) / 2).cast("int")
     whole = whole.withColumn("__level", level)
+    dots = points.where(_complete(by, F.col(time))).select(*key, _micros(F.col(time)).alias("__t"), F.struct(*[F.col(f"`{c}`") for c in point_columns]).alias("__point"))
+    kinds = dict(dots.dtypes)
+    hashed = [k for k, kind in whole.dtypes if k in keys and kind == kinds[k] and kind in HASHED]
+    whole = _met(whole, dots, hashed) if hashed else whole
     levels = sorted(r[0] for r in whole.select("__level").distinct().collect())  # 32 at most
     bins = F.sequence(F.expr("shiftright(__s, 2 * __level)"), F.expr("shiftright(__e - 1, 2 * __level)"))
     in_bins = whole.withColumn("__bin", F.explode(bins))
-    dots = points.where(_complete(by, F.col(time))).select(*key, _micros(F.col(time)).alias("__t"), F.struct(*[F.col(f"`{c}`") for c in point_columns]).alias("__point"))
     dots = dots.withColumn("__level", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>"))).withColumn("__bin", F.expr("shiftright(__t, 2 * __level)"))
+    dots = _met(dots, in_bins, [*hashed, "__level", "__bin"])
 
     place = [*keys, "__level", "__bin"]
     crowded = lambda df, name: df.groupBy(*place).agg(F.ceil(F.count("*") / cell).cast("int").alias(name)).where(F.col(name) > 1)
@@ -95,7 +109,8 @@ def interval_join(points: DataFrame, spans: DataFrame, time: str, start: str, en
     mine = lambda column, name: F.pmod(F.xxhash64(column), one(name)).cast("int")
     in_cells = in_bins.join(hot, place, "left").withColumn("__i", mine("__span", "__ns")).withColumn("__j", each("__np")).drop("__ns", "__np")
     dots = dots.join(hot, place, "left").withColumn("__j", mine("__point", "__np")).withColumn("__i", each("__ns")).drop("__ns", "__np")
-    both = in_cells.join(dots, [*place, "__i", "__j"]).where("__s <= __t and __t < __e")
+    # rows that pack well look small enough to be broadcast, and are not
+    both = in_cells.join(dots.hint("merge"), [*place, "__i", "__j"]).where("__s <= __t and __t < __e")
     return both.select(*[F.col(k).alias(b) for k, b in zip(keys, by, strict=True)], "__point.*", "__span.*")
 
 

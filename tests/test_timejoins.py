@@ -106,3 +106,14 @@ def test_interval_totals_make_no_pairs(spark):
     sdf = spark.range(20_000).select(F.col("id").alias("v"), F.timestamp_micros(F.lit(10**12) - F.col("id")).alias("s"), F.timestamp_micros(F.lit(2 * 10**12)).alias("e"))
     made = interval_totals(pdf, sdf, "t", "s", "e", "n", ["v"], 1000)
     assert made.agg(F.min("n"), F.max("n"), F.count("*"), F.max("v")).collect() == [(20_000, 20_000, 20_000, 199_990_000)]
+
+
+def test_interval_join_shuffles_what_may_meet(spark):
+    """Spans of keys without points, and points in bins without spans, are gone before the shuffle; keys of two types still meet."""
+    pdf = spark.range(1000).select(F.col("id").alias("i"), (F.col("id") % 10).alias("k"), F.timestamp_micros(F.col("id") * 10**9).alias("t"))
+    sdf = spark.range(5000).select(F.col("id").alias("j"), F.col("id").alias("k"), F.timestamp_micros(F.lit(10**9)).alias("s"), F.timestamp_micros(F.lit(2 * 10**9)).alias("e"))
+    made = interval_join(pdf, sdf, "t", "s", "e", ["k"])
+    assert [(r.i, r.j) for r in made.collect()] == [(1, 1)]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") >= 2
+    assert "SortMergeJoin" in made._jdf.queryExecution().executedPlan().toString()
+    assert [(r.i, r.j) for r in interval_join(pdf, sdf.withColumn("k", F.col("k").cast("int")), "t", "s", "e", ["k"]).collect()] == [(1, 1)]
