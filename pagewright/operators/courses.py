@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import DIGIT as D
-from pagewright.functions.text import first_match, single_spaces, strip, without_space
+from pagewright.functions.text import SPACE, first_match, single_spaces, strip, without_space
 
 #: What codes, credits and totals look like, and footers. The second of the totals, of the
 #: grand totals, and the first three footers are Thai words whose bytes were once read in a Thai code page.
-CODE = rf"(?i)\A(?:{D}{{8}}|{D}{{5}}x{{3}}|{D}{{4}}x{{4}}|x{{4,8}})\z"
+_D, _X = rf"(?:{D}{SPACE}*+)", rf"(?:x{SPACE}*+)"
+SPACED_CODE = rf"(?iU)\A{SPACE}*+(?:{_D}{{8}}|{_D}{{5}}{_X}{{3}}|{_D}{{4}}{_X}{{4}}|{_X}{{4,8}})\z"
+NOT_BLANK = rf"(?U)[^{SPACE[1:]}"
 CREDITS = rf"{D}+\({D}+-{D}+-{D}+\)"
 TOTALS = ("รวม", "เธฃเธงเธก", "total")
 GRAND_TOTALS = ("รวมตลอด", "เธฃเธงเธกเธ•เธฅเธญเธ”")
@@ -32,8 +34,8 @@ def code_of(text: Column) -> Column:
 
 
 def is_code(text: Column) -> Column:
-    code = code_of(text)
-    return F.length(code).between(4, 8) & code.rlike(CODE)
+    """Digits and x's as codes have them, with white space anywhere; most lines differ in their first character."""
+    return text.rlike(SPACED_CODE)
 
 
 def credits_of(text: Column) -> Column:
@@ -54,7 +56,7 @@ def is_footer(text: Column, repair: bool = False) -> Column:
 
 
 def ends_block(text: Column, repair: bool = False) -> Column:
-    total = F.lower(strip(text)).isin(*TOTALS)
+    total = text.rlike(rf"(?iU)\A{SPACE}*+(?:{'|'.join(TOTALS)}){SPACE}*+\z")
     for token in GRAND_TOTALS:
         total = total | text.contains(token)
     return total | is_footer(text, repair)
@@ -78,24 +80,33 @@ def placed(lines: DataFrame, box: str = "box") -> DataFrame:
     return lines.withColumns({"x": least(1), "y": least(2)})
 
 
-def reading_order(lines: DataFrame) -> DataFrame:
-    """Lines (doc, page, seq, text, x, y) that are not blank, stripped as t, with pos: by y, then x, then seq."""
-    order = Window.partitionBy("doc", "page").orderBy("y", "x", "seq")
-    return lines.withColumn("t", strip(F.col("text"))).where("t <> ''").withColumn("pos", F.row_number().over(order))
+def reading_order(lines: DataFrame, repair_footers: bool = False) -> DataFrame:
+    """Lines (doc, page, seq, text, x, y) that are not blank, stripped as t, by y, then x, then seq, with what that order says.
+
+    pos is the place on the page, code_row whether the line is a code, blk the number of codes so far, stopped whether
+    a total or footer lies between the last code and this line or is this line, credit the credits of a line that is no
+    code, credited whether there are some since the last code. Pages are sorted once, for one window of all of these.
+    """
+    text, t = F.col("text"), F.col("t")
+    bare = (text >= "!") & (text < "\x7f") & F.substring(text, -1, 1).between("!", "~")  # begins and ends in ASCII without white space
+    rows = lines.where(text.rlike(NOT_BLANK)).withColumn("t", F.when(bare, text).otherwise(strip(text))).withColumn("code_row", is_code(t))
+    rows = rows.withColumn("credit", F.when(~F.col("code_row"), credits_of(t)))
+    since_code = lambda mark: F.when(F.col("code_row"), False).when(mark, True)
+    rows = rows.withColumns({"code_n": F.col("code_row").cast("int"), "stop": since_code(ends_block(t, repair_footers)), "paid": since_code(F.col("credit").isNotNull())})
+    so_far = Window.partitionBy("doc", "page").orderBy("y", "x", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda name: F.coalesce(F.last(name, ignorenulls=True).over(so_far), F.lit(False))
+    found = {"pos": F.row_number().over(so_far), "blk": F.sum("code_n").over(so_far).cast("int"), "stopped": last("stop"), "credited": last("paid")}
+    return rows.withColumns(found).drop("code_n", "stop", "paid")
 
 
 def blocks(ordered: DataFrame) -> DataFrame:
-    """ordered with code_row and blk, the number of codes so far on the page; lines before the first code are left out."""
-    so_far = Window.partitionBy("doc", "page").orderBy("y", "x", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    marked = ordered.withColumn("code_row", is_code(F.col("t")))
-    return marked.withColumn("blk", F.sum(F.col("code_row").cast("int")).over(so_far).cast("int")).where("blk > 0")
+    """ordered without the lines before the first code of a page."""
+    return ordered.where("blk > 0")
 
 
-def trimmed(blocked: DataFrame, repair_footers: bool = False) -> DataFrame:
+def trimmed(blocked: DataFrame) -> DataFrame:
     """Blocks up to their first total or footer."""
-    so_far = Window.partitionBy("doc", "page", "blk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    stop = ends_block(F.col("t"), repair_footers) & ~F.col("code_row")
-    return blocked.withColumn("stopped", F.max(stop.cast("int")).over(so_far)).where("stopped = 0").drop("stopped")
+    return blocked.where("not stopped")
 
 
 def courses(lines: DataFrame, repair_footers: bool = False) -> DataFrame:
@@ -103,20 +114,17 @@ def courses(lines: DataFrame, repair_footers: bool = False) -> DataFrame:
 
     Blocks without a line after the code give nothing. One shuffle, on (doc, page) and its extensions.
     """
-    rows = trimmed(blocks(reading_order(lines)), repair_footers)
-    rows = rows.withColumn("credit", F.when(~F.col("code_row"), credits_of(F.col("t"))))
-    block = Window.partitionBy("doc", "page", "blk")
-    rows = rows.withColumn("credit_pos", F.min(F.when(F.col("credit").isNotNull(), F.col("pos"))).over(block))
-    t, after = F.col("t"), F.col("pos") > F.col("credit_pos")
-    before = ~F.col("code_row") & (F.col("credit_pos").isNull() | (F.col("pos") < F.col("credit_pos")))
-    english = ~F.col("code_row") & after & F.col("credit").isNull() & looks_english(t)
-    joined = lambda keep: F.array_join(F.array_sort(F.collect_list(F.when(keep, F.struct("pos", "t"))))["t"], " ")
+    t, code_row, credit = F.col("t"), F.col("code_row"), F.col("credit")
+    thai = ~code_row & ~F.col("credited") & ~is_noise(t)
+    english = F.col("credited") & credit.isNull() & looks_english(t)
+    rows = trimmed(blocks(reading_order(lines, repair_footers))).withColumn("name", F.when(thai, "th").when(english, "en"))
+    joined = lambda name: F.array_join(F.sort_array(F.collect_list(F.when(F.col("name") == name, F.struct("pos", "t"))))["t"], " ")
     made = rows.groupBy("doc", "page", "blk").agg(
-        F.max(F.when(F.col("code_row"), code_of(t))).alias("code"),
-        F.min_by("credit", F.when(F.col("credit").isNotNull(), F.col("pos"))).alias("credits"),
-        F.nullif(strip(joined(before & ~is_noise(t))), F.lit("")).alias("name_th"),
-        F.nullif(F.upper(single_spaces(strip(joined(english)))), F.lit("")).alias("name_en"),
-        F.count_if(~F.col("code_row")).alias("rest"),
+        F.max(F.when(code_row, code_of(t))).alias("code"),
+        F.min_by("credit", F.when(credit.isNotNull(), F.col("pos"))).alias("credits"),
+        F.nullif(strip(joined("th")), F.lit("")).alias("name_th"),
+        F.nullif(F.upper(single_spaces(strip(joined("en")))), F.lit("")).alias("name_en"),
+        F.count_if(~code_row).alias("rest"),
     )
     return made.where("rest > 0").drop("rest")
 
@@ -132,7 +140,6 @@ def curriculum(found: DataFrame, program: str = "DSBA", plan: str = "no_coop", s
     """doc and one struct of the document: source, description, program, plan and its courses in order."""
     names = ("code", "name_th", "name_en", "credits", "year", "semester", "category", "type", "prerequisite", "flexible_year_semester", "note")
     course = F.struct("page", "blk", F.struct(*names).alias("course"))
-    by_place = lambda a, b: F.when((a["page"] < b["page"]) | ((a["page"] == b["page"]) & (a["blk"] < b["blk"])), -1).otherwise(1)
-    rows = F.transform(F.array_sort(F.collect_list(course), by_place), lambda c: c["course"])
+    rows = F.sort_array(F.collect_list(course))["course"]
     head = [F.col("doc") if source is None else F.lit(source), F.lit(f"Extracted academic plan from OCR for {program} ({plan})"), F.lit(program), F.lit(plan)]
     return found.groupBy("doc").agg(rows.alias("courses")).select("doc", *[c.alias(n) for c, n in zip(head, ("source", "description", "program", "plan"), strict=True)], "courses")

@@ -215,9 +215,12 @@ _ENDS = (
 
 
 def _plan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as lines in reading order: a code, a name, noise, a credit tuple, an English name, and now and then a total or a footer."""
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus")
-    items = table(spark, sf_dir, "lineitem").withColumn("rn", F.row_number().over(order))
+    """Order lines as lines in reading order: a code, a name, noise, a credit tuple, an English name, and now and then a total or a footer.
+
+    Items are numbered by document, so that they lie together for what reads pages before there are seven lines of each.
+    """
+    order = Window.partitionBy("doc").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus")
+    items = table(spark, sf_dir, "lineitem").withColumn("doc", F.col("l_orderkey").cast("string")).withColumn("rn", F.row_number().over(order))
     q = F.col("l_quantity").cast("int")
     credit = F.concat(q.cast("string"), F.lit(" ("), q.cast("string"), F.lit(" - 0 - 6))"))
     texts = F.array(
@@ -229,12 +232,12 @@ def _plan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(F.array(*[F.lit(x) for x in _ENDS]), (F.col("l_partkey") % 16 + 1).cast("int")),
         F.lit("last line"),
     )
-    each = items.select(F.col("l_orderkey").cast("string").alias("doc"), (F.col("l_orderkey") % 9).cast("int").alias("page"), "rn", F.posexplode(texts).alias("i", "text"))
+    each = items.select("doc", (F.col("l_orderkey") % 9).cast("int").alias("page"), "rn", F.posexplode(texts).alias("i", "text"))
     return each.select("doc", "page", (F.col("rn") * 10 + F.col("i")).alias("seq"), "text", F.lit(0.0).alias("x"), (F.col("rn") * 10 + F.col("i")).cast("double").alias("y"))
 
 
 def code_rows(spark, sf_dir):
-    rows = courses.reading_order(_plan_lines(spark, sf_dir)).where(courses.is_code(F.col("t")))
+    rows = courses.reading_order(_plan_lines(spark, sf_dir)).where("code_row")
     return rows.select("doc", "pos", courses.code_of(F.col("t")).alias("code"))
 
 

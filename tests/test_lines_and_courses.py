@@ -111,3 +111,21 @@ def test_template_query_joins_the_whole_table(spark, monkeypatch):
     made, part = queries.template_merge(spark, sf_dir), queries.table(spark, sf_dir, "part")
     assert seen[0].count() == part.count() == made.count()
     assert seen[0].where("pos % 4 = 1").join(made, "code", "left_semi").count() == 0
+
+
+@pytest.mark.parametrize("name", ["code_rows", "segment_blocks", "trim_blocks", "course_table", "curriculum"])
+def test_pages_are_dealt_and_put_in_order_once(spark, name):
+    from pagewright.plans import queries
+
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1  # items, before there are seven lines of each
+    assert plan.count("Sort [") == plan.count("Window [") == 2  # of items, and of lines
+
+
+def test_what_stands_between_code_and_total_on_a_page(spark):
+    texts = ["x x x X", "a b", "TOTAL　", "lost", "1234 5xxx", "th", "2(1-1-2)", "EN gb", "7(7-7-7)", "รวมตลอด", "12345678", "\x1c", "12345678 9", "xxx", "x มคอ"]
+    rows = [("d", 1, i, t, 0.0, float(i)) for i, t in enumerate(texts)] + [("d", 2, 0, "3(3-0-6)", 0.0, 0.0), ("d", 2, 1, "xxxx", 0.0, 1.0), ("d", 2, 2, "late", 0.0, 1.0)]
+    made = courses.courses(spark.createDataFrame(rows[::-1], "doc string, page int, seq int, text string, x double, y double")).orderBy("page", "blk").collect()
+    assert [(r.page, r.blk, r.code, r.credits, r.name_th, r.name_en) for r in made] == [
+        (1, 1, "xxxx", None, "a b", None), (1, 2, "12345xxx", "2(1-1-2)", "th", "EN GB"), (1, 3, "12345678", None, "12345678 9 xxx", None), (2, 1, "xxxx", None, "late", None),
+    ]
