@@ -168,6 +168,8 @@ def decode(content: bytes) -> np.ndarray:
     return image
 
 
+#: So many rows, or bytes of images, leave a task together at least.
+OUT_ROWS, OUT_BYTES = 4096, 8 << 20
 PAGE_ROWS = "doc string, page int, image_path string, engine_rank int, seq int, text string, confidence double, box array<array<double>>, engine string, image binary"
 
 
@@ -194,15 +196,22 @@ def page_rows(pages: DataFrame, settings: Settings = Settings(), images: bool =
         import pandas as pd
 
         engines = [make(settings) for make in makers]
+        made, held = [], 0
         for batch in batches:
             for row in batch.itertuples(index=False):
                 image = decode(row.content)
                 image = imaging.prepared(image, settings.deskew) if settings.preprocess else image
                 place = (row.doc, row.page, row.image_path)
-                made = [(*place, -1, 0, "", None, None, None, imaging.png(image) if images and settings.preprocess else None)]
+                png = imaging.png(image) if images and settings.preprocess else None
+                made.append((*place, -1, 0, "", None, None, None, png))
                 for rank, engine in enumerate(engines):
                     made += [(*place, rank, seq, x.text, x.confidence, x.box, engine.name, None) for seq, x in enumerate(engine.recognise(image, row.page), 1)]
-                yield pd.DataFrame(made, columns=columns)
+                held += len(png or b"")
+                if len(made) >= OUT_ROWS or held >= OUT_BYTES:
+                    yield pd.DataFrame(made, columns=columns)
+                    made, held = [], 0
+        if made:
+            yield pd.DataFrame(made, columns=columns)
 
     return pages.select("doc", "page", path.alias("image_path"), "content").mapInPandas(run, PAGE_ROWS)
 

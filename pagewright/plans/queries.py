@@ -341,19 +341,27 @@ def recognise_blocks(spark, sf_dir):
         import io
 
         import numpy as np
+        import pyarrow as pa
 
-        for batch in batches:
-            def image(html: str) -> bytes:
-                whole = (html or "").encode()
-                height = max(-(-len(whole) // 64), 1)
-                raw = np.frombuffer(whole.ljust(height * 64, b" "), np.uint8).reshape(height, 64)
-                np.save(out := io.BytesIO(), np.where((raw == 10).any(axis=1)[:, None], 0, 255).astype(np.uint8).repeat(64, axis=1))
-                return out.getvalue()
+        def image(html: str) -> bytes:
+            whole = (html or "").encode()
+            height = max(-(-len(whole) // 64), 1)
+            raw = np.frombuffer(whole.ljust(height * 64, b" "), np.uint8).reshape(height, 64)
+            np.save(out := io.BytesIO(), np.where((raw == 10).any(axis=1)[:, None], 0, 255).astype(np.uint8).repeat(64, axis=1))
+            return out.getvalue()
 
-            yield batch.assign(content=[image(x) for x in batch["html"]]).drop(columns="html")
+        for batch in batches:
+            drawn, held = [], 0
+            for i in range(batch.num_rows):  # about 4 MB of images leave together
+                drawn.append(image(batch["html"][i].as_py()))
+                held += len(drawn[-1])
+                if held >= 4 << 20 or i + 1 == batch.num_rows:
+                    first = i + 1 - len(drawn)
+                    yield pa.RecordBatch.from_arrays([batch["doc"].slice(first, len(drawn)), batch["page"].slice(first, len(drawn)), pa.array(drawn, pa.binary())], ["doc", "page", "content"])
+                    drawn, held = [], 0
 
     pages = table(spark, sf_dir, "pages").select(F.col("url").alias("doc"), F.col("page_id").cast("int").alias("page"), "html")
-    return recognise.recognise(pages.mapInPandas(draw, "doc string, page int, content binary"), recognise.Settings(engine="blocks", preprocess=False))
+    return recognise.recognise(pages.mapInArrow(draw, "doc string, page int, content binary"), recognise.Settings(engine="blocks", preprocess=False))
 
 
 _NAMES = (

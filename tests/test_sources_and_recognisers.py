@@ -349,3 +349,45 @@ def test_confidence_leaves_pages_without_lines(spark, counted):
     settings = recognise.Settings(preprocess=False, min_confidence=0.95)
     made = workflows.recognised_documents(pages, settings).first()
     assert made.text == "--- Page 1 ---\n" and made.pages[0].lines == [] and recognise.recognise(pages, settings).count() == 0
+
+
+class Captured:
+    """Stands for a table: keeps the function that its batches would go through."""
+
+    columns = ()
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+    mapInPandas = mapInArrow
+
+
+def test_pages_leave_their_batch_a_few_at_a_time(spark, monkeypatch):
+    import pandas as pd
+    import pyarrow as pa
+
+    from pagewright.operators import recognise
+    from pagewright.plans import queries
+
+    drawn = Captured()
+    monkeypatch.setattr(queries, "table", lambda *where: drawn)
+    monkeypatch.setattr(recognise, "recognise", lambda pages, settings: pages)
+    queries.recognise_blocks(spark, "")
+    texts = ["x" * 6400 + "\n" + "y" * (i % 70) for i in range(3000)] + [None, ""]
+    whole = pa.table({"doc": [str(i) for i in range(3002)], "page": pa.array(range(3002), pa.int32()), "html": texts}).to_batches()[0]
+    made = list(drawn.run(iter([whole, whole.slice(0, 0)])))
+    assert max(b.nbytes for b in made) < 5 << 20 and len(made) > 3
+    assert [x for b in made for x in b["page"].to_pylist()] == list(range(3002))
+
+    read, left = Captured(), []
+    recognise.page_rows(read, recognise.Settings(engine="blocks", preprocess=False))
+    given = pd.DataFrame({"doc": ["d"] * 9000, "page": range(9000), "image_path": None, "content": [made[0]["content"][0].as_py()] * 9000})
+    monkeypatch.setattr(recognise, "decode", lambda content, decode=recognise.decode: left.append(1) or decode(content))
+    rows = read.run(iter([given]))
+    first = len(next(rows))  # many pages at once, and the rest of the batch still to be decoded
+    assert 4096 <= first <= 4098 and len(left) < 5000
+    assert first + sum(map(len, rows)) == 18000 and len(left) == 9000
